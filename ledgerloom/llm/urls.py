@@ -107,7 +107,7 @@ def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(spark: SparkSession, labelled=LABELLED_URLS, buckets: int = 4096, rounds: int = 300, rate: float = 4.0, l2: float = 5e-4) -> DataFrame:
+def fit(spark: SparkSession, labelled=LABELLED_URLS, buckets: int = 4096, rounds: int = 100, rate: float = 4.0, l2: float = 5e-4) -> DataFrame:
     """One row with `weights`, an array of buckets + 1 doubles.
 
     The labelled table is a bounded parameter (some hundred rows), so its one
