@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import secrets, sharding, urls
+from ledgerloom.llm import secrets, sharding, simhash, urls
 from ledgerloom.llm.common import read_table
 
 
@@ -25,9 +25,14 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_secrets": op4_secrets,
     "op8_urls": op8_urls,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
