@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import secrets, sharding, simhash, urls
+from ledgerloom.llm import packing, secrets, sharding, simhash, toxicity, urls
 from ledgerloom.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=40, buckets=max(16, _parts(spark)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -29,10 +33,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op8_urls": op8_urls,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
