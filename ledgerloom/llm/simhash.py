@@ -196,4 +196,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     component = groups.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     of_fp = distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_fp = stored(of_fp, "components")  # both sides of the last join are then plain shuffles, whose skew Spark can split
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
