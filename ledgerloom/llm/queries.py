@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import packing, secrets, sharding, simhash, toxicity, urls
+from ledgerloom.llm import audio, decontamination, licenses, packing, secrets, sharding, simhash, toxicity, urls
 from ledgerloom.llm.common import read_table
 
 
@@ -25,6 +25,20 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sounds = audio.audio_column(read_table(spark, sf_dir, "documents"))
+    return sounds.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -41,6 +55,9 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
+    "op6_audio": op6_audio,
+    "op7_decontamination": op7_decontamination,
     "op8_urls": op8_urls,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
