@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import audio, decontamination, licenses, packing, secrets, sharding, simhash, toxicity, urls
+from ledgerloom.llm import audio, decontamination, licenses, lines, packing, secrets, sharding, simhash, toxicity, urls
 from ledgerloom.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=40, buckets=max(16, _parts(spark)))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_lines": op2_lines,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
