@@ -174,5 +174,6 @@ def _windows(texts: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with all their columns."""
     bad = contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = stored(bad, "contaminated")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(_small(bad, bad.count()), same, "left_anti")

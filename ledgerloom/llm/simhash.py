@@ -198,3 +198,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = distinct.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     of_fp = stored(of_fp, "components")  # both sides of the last join are then plain shuffles, whose skew Spark can split
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies: of each group the document with the least
+    id stays, with all its columns. Rows that share an id stay or go together;
+    a null id stays only where its group has no other."""
+    found = near_duplicates(docs, id_col, text_col)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
