@@ -1,4 +1,286 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""Registered queries over the driver's events, and the SQL that gives the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.config import GENESIS, LedgerConfig
+from ledgerloom.functions import hashing as H
+from ledgerloom.functions.json_text import json_string, parse_payload
+from ledgerloom.operators import append, bundle, compliance, query, redact, retention, verify
+from ledgerloom.operators.tables import staged
+from ledgerloom.schemas import EVENT_COLUMNS
+from ledgerloom.sources.driver_events import new_events
+
+CONFIG = LedgerConfig(hmac_secret="test-hmac-secret")
+NOW = datetime(2024, 2, 1)
+EXPORTED_AT = "2026-01-01T00:00:00.000000000Z"
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return new_events(spark, sf_dir)
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with commitments and content hashes, not linked: seq is n + 1."""
+    rows = _incoming(spark, sf_dir).withColumn("parsed", parse_payload(F.col("payload")))
+    rows = rows.select((F.col("n") + 1).alias("seq"), F.col("given_id").alias("event_id"), "event_type", "actor_id", "resource_type", "resource_id", F.col("timestamp").alias("event_ts_c"), F.col("timestamp").alias("recorded_at_c"), "parsed")
+    rows = append.committed(rows, append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")))
+    return rows.withColumn("content_hash", H.content_hash())
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as one appended chain, staged once for what reads it."""
+    made = append.append_events(
+        _incoming(spark, sf_dir), order=["n"], event_id=F.col("given_id"), recorded_at=F.col("timestamp"),
+        salts=append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), config=CONFIG,
+    )
+    return staged(made.events, "chain")
+
+
+def _tampered(events: DataFrame) -> DataFrame:
+    """Every kind of change that a check must tell, on rows spread over the chain."""
+    at = F.pmod("seq", F.lit(1009))
+    return events.filter(at != 700).withColumns(
+        {
+            "actor_id": F.when(at == 100, "mallory").otherwise(F.col("actor_id")),
+            "payload_json": F.when(at == 200, '{"k":-1,"value":0}').when(at == 250, '{"k":1}').otherwise(F.col("payload_json")),
+            "leaf_salts_json": F.when(at == 300, "{}").otherwise(F.col("leaf_salts_json")),
+            "record_hash": F.when(at == 400, F.lit("0" * 64)).otherwise(F.col("record_hash")),
+            "prev_hash": F.when((F.col("seq") == 1) | (at == 500), F.lit("0" * 64)).otherwise(F.col("prev_hash")),
+        }
+    )
+
+
+def leaf_commitments(spark, sf_dir):
+    rows = _hashed(spark, sf_dir).select("seq", F.explode(H.entries(F.col("leaf_commitments_json"))).alias("e"))
+    return rows.select("seq", F.col("e.key").alias("pointer"), F.col("e.value").alias("commitment"))
+
+
+def content_hashes(spark, sf_dir):
+    return _hashed(spark, sf_dir).select("seq", "event_id", "content_hash")
+
+
+def append_chain(spark, sf_dir):
+    return _chain(spark, sf_dir).select("seq", "event_id", "event_ts_c", "content_hash", "prev_hash", "record_hash")
+
+
+def append_actor_chains(spark, sf_dir):
+    rows = _hashed(spark, sf_dir).select(F.col("actor_id").alias("chain_id"), "seq", "content_hash")
+    return append.link_chains(rows, "chain_id", GENESIS)
+
+
+def append_head(spark, sf_dir):
+    return _chain(spark, sf_dir).agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_record_hash"))
+
+
+def append_validation(spark, sf_dir):
+    n = F.col("n")
+    rows = _incoming(spark, sf_dir).withColumns(
+        {
+            "actor_id": F.when(n % 11 == 1, " \t").otherwise(F.col("actor_id")),
+            "resource_id": F.when(n % 11 == 2, F.repeat(F.lit("x"), 201)).otherwise(F.col("resource_id")),
+            "payload": F.when(n % 11 == 3, '"nope"').when(n % 11 == 4, None).otherwise(F.col("payload")),
+        }
+    )
+    return rows.withColumn("parsed", parse_payload(F.col("payload"))).select("n", append.rejection().alias("reason"))
+
+
+def verify_report(spark, sf_dir):
+    report = verify.verify_chain(_chain(spark, sf_dir), config=CONFIG)
+    return report.select("intact", "records_checked", "from_seq", "to_seq", F.size("archived_segments").alias("n_segments"), F.col("first_inconsistency.seq").alias("violation_seq"))
+
+
+def verify_tampered_report(spark, sf_dir):
+    events = _chain(spark, sf_dir).filter("seq % 1009 != 700")
+    report = verify.verify_chain(events, config=CONFIG)
+    found = F.col("first_inconsistency")
+    return report.select("intact", "records_checked", "from_seq", "to_seq", found["seq"].alias("violation_seq"), found["violation_type"].alias("violation_type"), found["detail"].alias("detail"))
+
+
+def verify_violations(spark, sf_dir):
+    return verify.row_violations(_tampered(_chain(spark, sf_dir)), config=CONFIG)
+
+
+def verify_gaps(spark, sf_dir):
+    events = _hashed(spark, sf_dir).select("seq").filter("seq % 1009 != 700")
+    last = events.agg(F.max("seq")).first()[0] or 0
+    return verify.missing_after(events, 1, last)
+
+
+def verify_deep(spark, sf_dir):
+    kept = retention.run_retention(_chain(spark, sf_dir), NOW, LedgerConfig(retention_window=timedelta(days=15)))
+    copies = kept.copies.withColumn("payload_json", F.when(F.col("seq") % 97 == 5, '{"k":-1,"value":0}').otherwise(F.col("payload_json"))).filter("seq % 97 != 6")
+    return verify.row_violations(kept.events, archive=copies, deep=True, config=CONFIG)
+
+
+def archived_runs(spark, sf_dir):
+    events = _chain(spark, sf_dir).withColumn("archived_at", F.when(F.pmod(F.floor(F.col("seq") / 7), F.lit(3)) == 1, F.lit(NOW)))
+    last = events.agg(F.max("seq")).first()[0] or 0
+    return verify.archived_runs(events, 1, last)
+
+
+def query_filter(spark, sf_dir):
+    where = query.EventFilter(resource_type="CLIENT_ACCOUNT", event_type="ACCOUNT_VIEWED", from_c="2024-01-05T00:00:00.000000000Z", to_c="2024-01-20T12:00:00.000000000Z")
+    return query.find_events(_chain(spark, sf_dir), where).select("seq", "event_id", "actor_id", "resource_id", "event_ts_c")
+
+
+def query_page(spark, sf_dir):
+    where = query.EventFilter(resource_id="acct-2")
+    return query.page(_chain(spark, sf_dir), where, 1, 20, _redactions(spark, sf_dir)).select("seq", "event_id", "payload_json", F.array_join("redacted_paths", ",").alias("redacted_paths"), "archived")
+
+
+def query_page_after(spark, sf_dir):
+    return query.page_after(_chain(spark, sf_dir), query.EventFilter(event_type="PURCHASE"), 100, 30).select("seq", "event_id", "record_hash")
+
+
+def query_page_info(spark, sf_dir):
+    return query.page_info(_chain(spark, sf_dir), query.EventFilter(resource_id="acct-2"), 1, 20)
+
+
+def _redactions(spark, sf_dir) -> DataFrame:
+    """Redaction rows for every eighth event's value, and its k if a sixteenth."""
+    rows = _hashed(spark, sf_dir).filter("seq % 8 = 3")
+    paths = F.explode(F.when(F.col("seq") % 16 == 3, F.array(F.lit("/value"), F.lit("/k"))).otherwise(F.array(F.lit("/value")))).alias("field_path")
+    rows = rows.select("*", paths)
+    return rows.select(
+        F.lit("r").alias("redaction_id"), F.col("seq").alias("event_seq"), "field_path", H.string_map(F.col("leaf_commitments_json"))[F.col("field_path")].alias("field_commitment"),
+        H.string_map(F.col("leaf_salts_json"))[F.col("field_path")].alias("field_salt"), F.lit(True).alias("salt_retained"), F.lit("test").alias("reason"),
+        F.lit("dpo").alias("redacted_by"), F.lit(NOW).alias("redacted_at"),
+    )
+
+
+def redacted_paths(spark, sf_dir):
+    shown = query.event_view(_chain(spark, sf_dir), _redactions(spark, sf_dir))
+    return shown.select("seq", F.array_join("redacted_paths", ",").alias("redacted_paths"))
+
+
+def _requests(chain: DataFrame) -> DataFrame:
+    n = F.col("seq")
+    paths = (
+        F.when(n % 50 == 1, F.array(F.lit("/value"), F.lit("/none")))
+        .when(n % 50 == 2, F.array(F.lit("/k"), F.lit("/k")))
+        .when(n % 50 == 3, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("/value")))
+    )
+    first = chain.filter("seq % 10 in (1, 2, 3, 4)").select(
+        F.format_string("a%012d", n).alias("request_id"), F.when(n % 50 == 4, F.lit("nobody")).otherwise(F.col("event_id")).alias("event_id"),
+        paths.alias("field_paths"), F.lit("erasure").alias("reason"), F.lit("dpo").alias("redacted_by"), (n % 20 < 10).alias("retain_salt"),
+    )
+    again = first.filter("request_id like '%4'").withColumn("request_id", F.concat(F.lit("b"), F.substr("request_id", F.lit(2))))
+    return first.unionByName(again)
+
+
+def _redacted(spark, sf_dir):
+    chain = _chain(spark, sf_dir)
+    none = spark.createDataFrame([], "event_seq long, field_path string")
+    return redact.redact(chain, none, staged(_requests(chain), "requests"), "run-1", F.lit(NOW), CONFIG)
+
+
+def redact_rejects(spark, sf_dir):
+    return _redacted(spark, sf_dir).rejected
+
+
+def redact_rows(spark, sf_dir):
+    return _redacted(spark, sf_dir).redactions.select("event_seq", "field_path", "redaction_id", "field_commitment", "field_salt", "salt_retained")
+
+
+def redact_events(spark, sf_dir):
+    return _redacted(spark, sf_dir).events.select("seq", "payload_json", "leaf_salts_json", "record_hash")
+
+
+def redact_then_verify(spark, sf_dir):
+    done = _redacted(spark, sf_dir)
+    report = verify.verify_chain(staged(done.events, "redacted"), staged(done.redactions, "redactions"), config=CONFIG)
+    return report.select("intact", "records_checked")
+
+
+def disclosure_proof(spark, sf_dir):
+    disclosed = _hashed(spark, sf_dir).withColumn("parsed", parse_payload(F.col("payload_json"))).filter("seq % 8 in (3, 4)")
+    leaf = F.when(F.col("seq") % 5 == 0, F.lit("N0")).otherwise(F.element_at(F.map_from_entries("parsed.leaves"), F.lit("/value")))
+    return redact.check_disclosures(_redactions(spark, sf_dir), disclosed.select(F.col("seq").alias("event_seq"), F.lit("/value").alias("field_path"), leaf.alias("leaf")))
+
+
+def retention_result(spark, sf_dir):
+    done = retention.run_retention(_chain(spark, sf_dir), NOW, LedgerConfig(retention_window=timedelta(days=15)))
+    return done.result.select("archived", "through_seq")
+
+
+def retention_split(spark, sf_dir):
+    done = retention.run_retention(_chain(spark, sf_dir), NOW, LedgerConfig(retention_window=timedelta(days=15)))
+    kept = done.events.select("seq", F.col("archived_at").isNotNull().alias("archived"), F.col("payload_json").isNull().alias("gone"), "record_hash")
+    return kept.join(done.copies.select("seq", F.col("payload_json").alias("copy")), "seq", "left")
+
+
+def _bundles(spark, sf_dir) -> tuple[DataFrame, bundle.Bundles]:
+    chain = _chain(spark, sf_dir)
+    selection, filters = bundle.select_by(chain, "resource_id", "resourceId")
+    return chain, bundle.export_bundles(chain, selection, filters, EXPORTED_AT, config=CONFIG)
+
+
+def bundle_segments(spark, sf_dir):
+    return _bundles(spark, sf_dir)[1].segments
+
+
+def bundle_headers(spark, sf_dir):
+    return _bundles(spark, sf_dir)[1].headers.select("bundle_key", "filter_type", "filter_value", "bundle_hash", "hmac")
+
+
+def bundle_check(spark, sf_dir):
+    _, made = _bundles(spark, sf_dir)
+    at = F.pmod("seq", F.lit(503))
+    forged = made.records.filter(at != 400).withColumns(
+        {
+            "payload_json": F.when(at == 100, '{"k":-1,"value":0}').otherwise(F.col("payload_json")),
+            "actor_id": F.when(at == 200, "mallory").otherwise(F.col("actor_id")),
+            "record_hash": F.when(at == 300, F.lit("0" * 64)).otherwise(F.col("record_hash")),
+        }
+    )
+    found = bundle.verify_bundles(bundle.Bundles(made.headers, forged, made.segments), CONFIG.hmac_secret)
+    return found.select("bundle_key", "valid", F.array_join("problems", ";").alias("problems"))
+
+
+def _access(spark, sf_dir) -> compliance.AccessReports:
+    chain = _chain(spark, sf_dir)
+    accounts = chain.select("resource_type", "resource_id").distinct()
+    windows = accounts.crossJoin(spark.createDataFrame([("w1", "2024-01-03T00:00:00.000000000Z", "2024-01-09T06:30:00.500000000Z"), ("w2", None, None)], "w string, from_c string, to_c string"))
+    requests = windows.select(F.concat_ws("/", "resource_type", "resource_id", "w").alias("request_id"), "resource_type", "resource_id", "from_c", "to_c", F.lit("auditor").alias("requested_by"))
+    return compliance.access_reports(chain, staged(requests, "requests"), EXPORTED_AT, config=CONFIG)
+
+
+def compliance_headers(spark, sf_dir):
+    return _access(spark, sf_dir).headers.select("request_id", "from_seq", "to_seq", "matched_count", "chain_intact", "bundle_hash", "report_hash")
+
+
+def compliance_entries(spark, sf_dir):
+    return _access(spark, sf_dir).entries.select("request_id", "seq", "event_id", "event_type", "actor_id", "event_ts_c")
+
+
+def compliance_rejects(spark, sf_dir):
+    return _access(spark, sf_dir).rejected
+
+
+def canonical_strings(spark, sf_dir):
+    """JSON strings of the documents' texts, as a hash of each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", H.sha256_hex(json_string(F.col("text"))).alias("json_sha256"))
+
+
+def hmacs(spark, sf_dir):
+    return _incoming(spark, sf_dir).select("n", H.hmac_sha256_hex("test-hmac-secret", F.col("payload")).alias("hmac"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        leaf_commitments, content_hashes, append_chain, append_actor_chains, append_head, append_validation, verify_report, verify_tampered_report, verify_violations,
+        verify_gaps, verify_deep, archived_runs, query_filter, query_page, query_page_after, query_page_info, redacted_paths, redact_rejects, redact_rows, redact_events,
+        redact_then_verify, disclosure_proof, retention_result, retention_split, bundle_segments, bundle_headers, bundle_check, compliance_headers, compliance_entries,
+        compliance_rejects, canonical_strings, hmacs,
+    )
+}
+
+from ledgerloom.plans.oracles import ORACLE_SQL  # noqa: E402
