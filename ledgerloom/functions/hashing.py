@@ -103,5 +103,6 @@ def instant_to_timestamp(text: Column) -> Column:
 
 def short_instant(text: Column) -> Column:
     """An instant with 0, 3, 6 or 9 digits of fraction; null is the text null."""
-    cut = F.regexp_replace(text, r"(\.\d{3}|\.\d{6}|\.)(000)+Z$", "$1Z")
-    return F.coalesce(F.regexp_replace(cut, r"\.Z$", "Z"), F.lit("null"))
+    for digits, zeros in ((0, 9), (3, 6), (6, 3)):
+        text = F.regexp_replace(text, rf"\.(\d{{{digits}}})0{{{zeros}}}Z$", ".$1Z")
+    return F.coalesce(F.replace(text, F.lit(".Z"), F.lit("Z")), F.lit("null"))
