@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import let, stored
 
 _LETTERS = "etaino"
 BROADCAST_ROWS = 1_000_000
@@ -137,11 +137,38 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     apart = F.size(b) - F.size(a)
     inside = F.abs(apart) <= threshold
     end = F.least(F.greatest(apart + F.lit(threshold), F.lit(0)), F.lit(2 * threshold))
-    out = F.lit(None).cast("int")
-    for e in range(threshold, -1, -1):
-        reached = F.call_function("shiftright", last[f"r{e}"], end).bitwiseAND(bit) == 1
-        out = F.when(inside & reached, F.lit(e)).otherwise(out)
-    return out
+
+    def least_errors(words: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for e in range(threshold, -1, -1):
+            reached = F.call_function("shiftright", words[f"r{e}"], end).bitwiseAND(bit) == 1
+            out = F.when(reached, F.lit(e)).otherwise(out)
+        return out
+
+    return F.when(inside, let(last, least_errors))
+
+
+def _equal_blocks(a: Column, b: Column, size: int, from_end: bool) -> Column:
+    """Characters in the leading (or trailing) blocks that two lines share."""
+    whole = F.floor(F.least(F.length(a), F.length(b)) / F.lit(size)).cast("int")
+    blocks = F.when(whole >= 1, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def block(line: Column, i: Column) -> Column:
+        return F.substr(line, F.length(line) - i * size + 1 if from_end else (i - 1) * size + 1, F.lit(size))
+
+    return F.aggregate(blocks, F.lit(0), lambda acc, i: F.when((acc == (i - 1) * size) & (block(a, i) == block(b, i)), acc + size).otherwise(acc))
+
+
+def _without_shared_ends(pairs: DataFrame, size: int = 32) -> DataFrame:
+    """a_line and b_line without what they share at both ends, in whole blocks:
+    that doesn't change their edit distance."""
+    for from_end in (False, True):
+        pairs = pairs.withColumn("_same", _equal_blocks(F.col("a_line"), F.col("b_line"), size, from_end))
+        for c in ("a_line", "b_line"):
+            left = F.length(c) - F.col("_same")
+            pairs = pairs.withColumn(c, F.substr(c, F.lit(1) if from_end else F.col("_same") + 1, left))
+        pairs = pairs.drop("_same")
+    return pairs
 
 
 def characters(line: Column) -> Column:
@@ -162,9 +189,12 @@ def line_links(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         return texts.select(*[F.col(c).alias(f"{name}_{c}") for c in ("h1", "h2", "line", "place")])
 
     pairs = found.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
-    pairs = pairs.select("*", characters(F.col("a_line")).alias("a_chars"), characters(F.col("b_line")).alias("b_chars"))
-    checked = pairs.withColumn("edits", banded_distance(F.col("a_chars"), F.col("b_chars"), threshold))
-    return checked.filter("edits is not null").select("a_h1", "a_h2", "a_place", "b_h1", "b_h2", "b_place", "edits")
+    # few rows with much work each: as many tasks as a shuffle has, whatever their size
+    pairs = _without_shared_ends(pairs).repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    pairs = pairs.withColumns({"a_chars": characters(F.col("a_line")), "b_chars": characters(F.col("b_line"))}).drop("a_line", "b_line")
+    # generated, not filtered: a filter would compute the distance once more
+    edits = F.filter(F.array(banded_distance(F.col("a_chars"), F.col("b_chars"), threshold)), lambda d: d.isNotNull())
+    return pairs.select("a_h1", "a_h2", "a_place", "b_h1", "b_h2", "b_place", F.explode(edits).alias("edits"))
 
 
 def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
