@@ -91,15 +91,20 @@ class TemplateIndex:
         for t, diagonals in found.items():
             last = None
             for d in sorted(diagonals):
-                if last is None or d - last > self.band:
+                if last is None or d - last > self.band_of(t):
                     out.append((t, d))
                     last = d
         return out
 
+    def band_of(self, t: int) -> int:
+        """Under half a template's length, so that copies in a row stay apart."""
+        return min(self.band, max(1, (len(self.ids[t]) - 1) // 2))
+
     def align(self, t: int, ids: np.ndarray, diagonal: int) -> list[tuple[int, int]]:
         """Longest common subsequence of a template and the text near a
         diagonal, as (template word, text word) pairs."""
-        own, b, width = self.ids[t], self.band, 2 * self.band + 1
+        own, b = self.ids[t], self.band_of(t)
+        width = 2 * b + 1
         best = np.zeros((len(own) + 1, width + 1), np.int32)  # column c of row i: text word diagonal + i - b + c
         for i in range(len(own) - 1, -1, -1):
             lo = diagonal + i - b
