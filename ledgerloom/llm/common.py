@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     ends there, so a lost executor costs one read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import let, stored
 
-_LETTERS = "etaino"
+_LETTERS = "abcdefghijklmnopqrst"
+_COUNT_BITS = 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -39,20 +40,21 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _letter_counts(line: Column) -> Column:
-    """Counts of some letters, up to 255, a byte each. An edit changes the sum
-    of their differences by 2 at most."""
+    """Counts of some letters modulo 8, three bits each. An edit changes the sum
+    of their differences by 2 at most, and differences modulo 8, taken the
+    shorter way round, are no larger."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(F.least(count, F.lit(255)).cast("long"), 8 * i))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(7)).cast("long"), _COUNT_BITS * i))
     return out
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
-    total = F.lit(0).cast("long")
+    total = F.lit(0)
     for i in range(len(_LETTERS)):
-        byte = F.lit(255)
-        total = total + F.abs(F.shiftright(a, 8 * i).bitwiseAND(byte) - F.shiftright(b, 8 * i).bitwiseAND(byte))
+        apart = (F.shiftright(a, _COUNT_BITS * i).bitwiseAND(F.lit(7)) - F.shiftright(b, _COUNT_BITS * i).bitwiseAND(F.lit(7))).bitwiseAND(F.lit(7)).cast("int")
+        total = total + F.least(apart, F.lit(8) - apart)
     return total
 
 
@@ -68,35 +70,41 @@ def _segment_key(line: Column, n: Column, segments: int, i: int, shift: int) ->
 
 def _probes(threshold: int) -> list[tuple[int, int, int]]:
     """(difference of lengths, segment, shift): where a segment of a shorter or
-    equal line can lie in a line within the threshold, seen from both ends."""
+    equal line can lie in a line within the threshold, seen from both ends.
+    A line's own segments aren't among them."""
     out = []
     for delta in range(threshold + 1):
         for i in range(threshold + 1):
             right = threshold - i
-            out += [(delta, i, s) for s in range(max(-i, delta - right), min(i, delta + right) + 1)]
+            out += [(delta, i, s) for s in range(max(-i, delta - right), min(i, delta + right) + 1) if delta or s]
     return out
 
 
 def candidates(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """(a, b): first hashes of two lines that may be within the threshold; b is
-    the longer one, or has the larger hash."""
+    the longer one, or has the larger hash. Segments meet each other (both in
+    place) and the probes; rows are a key, a hash and a number of letter counts
+    with a bit that says that the probing line is longer."""
     lines = classes.filter(F.col("n") >= min_chars)
     line, n, segments = F.col("line"), F.col("n"), threshold + 1
-    index = lines.select(
-        F.explode(F.array(*[_segment_key(line, n, segments, i, 0) for i in range(segments)])).alias("key"),
-        F.col("h1").alias("a"),
-        F.col("letters").alias("letters_a"),
-    )
-    each = [
-        F.struct(_segment_key(line, n - F.lit(delta), segments, i, shift).alias("key"), F.lit(delta > 0).alias("longer"))
-        for delta, i, shift in _probes(threshold)
-    ]
-    probe = lines.select(F.explode(F.array(*each)).alias("p"), F.col("h1").alias("b"), F.col("letters").alias("letters_b"))
-    probe = probe.select(F.col("p.key").alias("key"), F.col("p.longer").alias("longer"), "b", "letters_b")
-    ordered = F.col("longer") | (F.col("b") > F.col("a"))
-    alike = _letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold
-    met = index.join(probe, (index["key"] == probe["key"]) & ordered & alike)
-    return met.select("a", "b").distinct()
+    longer = 1 << (_COUNT_BITS * len(_LETTERS))
+
+    def keyed(keys: list[Column], name: str) -> DataFrame:
+        rows = lines.select(F.explode(F.array(*keys)).alias("k"), F.col("h1").alias(name), "letters")
+        return rows.select(F.col("k.key").alias("key"), name, F.col("letters").bitwiseOR(F.col("k.longer")).alias(f"tag_{name}"))
+
+    def key(delta: int, i: int, shift: int) -> Column:
+        return F.struct(_segment_key(line, n - F.lit(delta), segments, i, shift).alias("key"), F.lit(longer if delta else 0).alias("longer"))
+
+    own = [key(0, i, 0) for i in range(segments)]
+    index = keyed(own, "a")
+    alike = _letters_apart(F.col("tag_a"), F.col("tag_b")) <= 2 * threshold
+    ordered = (F.col("tag_b") >= longer) | (F.col("b") > F.col("a"))
+    met = None
+    for other in (index.withColumnsRenamed({"a": "b", "tag_a": "tag_b", "key": "other"}), keyed([key(*p) for p in _probes(threshold)], "b").withColumnRenamed("key", "other")):
+        pairs = index.join(other, (F.col("key") == F.col("other")) & ordered & alike).select("a", "b")
+        met = pairs if met is None else met.unionByName(pairs)
+    return met.distinct()
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
