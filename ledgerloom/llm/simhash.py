@@ -28,20 +28,26 @@ _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).a
 _ROWS_AT_ONCE = 512
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash: A-Z lower-cased, words between ASCII white space, shingles
-    of `width` words with repeats (fewer words: one shingle; none: zero)."""
+def shingle_digests(text: str | None, width: int, seed: int = 42) -> bytes:
+    """XXH64 of every shingle, eight bytes each: A-Z lower-cased, words between
+    ASCII white space, shingles of `width` words with repeats (fewer words: one
+    shingle; none: nothing)."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return b""
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= width:
-        hashes = digest(joined, seed)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - width] + 1).tolist()]
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())])
-    each = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        return digest(joined, seed)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - width] + 1).tolist()]
+    return b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())])
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of a text's shingles (no word: zero)."""
+    each = np.frombuffer(shingle_digests(text, width, seed), np.uint8).reshape(-1, 8)
+    if not len(each):
+        return 0
     seen = np.bincount((each + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
     bits = (2 * (seen @ _BITS_OF_BYTE) > len(each)).ravel()
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
@@ -201,9 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each group the document with the least
-    id stays, with all its columns. Rows that share an id stay or go together;
-    a null id stays only where its group has no other."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """docs without the near copies of the pipeline, which are those of five
+    words and a similarity of 0.8: see copies.one_per_group."""
+    from ledgerloom.llm import copies
+
+    return copies.one_per_group(docs, id_col=id_col, text_col=text_col)
