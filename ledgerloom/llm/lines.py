@@ -21,8 +21,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) of every line of every text; null texts have none."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    """(doc_id, text_hash, line_no, line) of every line of every text; null texts
+    have none. A row of the table is known by its id and its text's hash."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -34,8 +36,8 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every different line that isn't blank, once: 128 bits of hash, text,
     length, letter counts and the place where it first occurs."""
     rows = occurrences(docs, id_col, text_col).filter(F.rlike("line", F.lit(r"\S")))
-    rows = rows.select("doc_id", "line_no", "line", *_hashes(F.col("line")))
-    classes = rows.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+    rows = rows.select("doc_id", "text_hash", "line_no", "line", *_hashes(F.col("line")))
+    classes = rows.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("place"))
     return classes.select("h1", "h2", "line", F.length("line").alias("n"), _letter_counts(F.col("line")).alias("letters"), "place")
 
 
@@ -212,11 +214,17 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col
     those, if it is before the line's own) and kept.
 
     A line is kept where it first occurs, unless an earlier line is within the
-    threshold. Order is by id and line number, null ids first. Blank lines are
-    kept and have no class; shorter lines have classes but no links; null texts
-    have no lines; rows that share an id count as one place; other columns are
-    ignored; an empty table gives no row.
+    threshold. Order is by id, text hash and line number, null ids first. Blank
+    lines are kept and have no class; shorter lines have classes but no links;
+    null texts have no lines; rows that share an id and a text count as one
+    place, rows that share only an id don't; other columns are ignored; an empty
+    table gives no row.
     """
+    return _report(docs, threshold, min_chars, id_col, text_col).drop("text_hash")
+
+
+def _report(docs: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """line_report with the text_hash of the line's own row."""
     classes = stored(line_classes(docs, id_col, text_col), "lines")
     links = stored(line_links(classes, threshold, min_chars), "linelinks")
 
@@ -228,11 +236,12 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col
     near = F.when(F.col("earliest") < F.col("place"), F.col("earliest"))
     known = classes.select("h1", "h2", "place").join(linked, ["h1", "h2"], "left")
     known = stored(known.select("h1", "h2", "place", F.coalesce("n_links", F.lit(0)).alias("n_links"), near.alias("near")), "lineclasses")
-    rows = occurrences(docs, id_col, text_col).select("doc_id", "line_no", *_hashes(F.col("line")))
+    rows = occurrences(docs, id_col, text_col).select("doc_id", "text_hash", "line_no", *_hashes(F.col("line")))
     joined = rows.join(known, ["h1", "h2"], "left")
-    own = F.struct("doc_id", "line_no")
+    own = F.struct("doc_id", "text_hash", "line_no")
     return joined.select(
         "doc_id",
+        "text_hash",
         "line_no",
         F.col("place.doc_id").alias("class_doc"),
         F.col("place.line_no").alias("class_line"),
@@ -246,9 +255,10 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col
 def without_repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of each text that line_report keeps; no row goes, and
     every other column stays as it is."""
-    gone = line_report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_gone").isNotNull(), "left")
+    gone = _report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    joined = docs.join(gone, same & F.col("_gone").isNotNull(), "left")
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -102,3 +102,13 @@ def test_many_variants_of_a_line(spark):
     got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"), 2, 40).collect()
     expected = brute(rows, 2, 40)
     assert {(r["doc_id"], r["n_links"]) for r in got} == {(d, v[1]) for (d, _), v in expected.items()}
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """Null and repeated ids with different texts lose their own lines only."""
+    long = "a footer line of more than forty characters, page 1"
+    docs = [(None, f"{long}\nfirst own"), (None, f"{long}\nsecond own"), (None, "third own\nfirst own"), (7, f"{long[:-1]}2\nfourth own"), (7, "fifth own\nfourth own\nlast")]
+    out = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    left = [x for r in out for x in r["text"].split("\n") if x]
+    assert len(out) == 5 and sorted(x for x in left if x != long) == ["fifth own", "first own", "fourth own", "last", "second own", "third own"]
+    assert left.count(long) == 1
