@@ -1,10 +1,11 @@
 """Line dedup by a segment-partition edit join, in SQL functions.
 
-Equal lines are one class. Classes of lines with min_chars characters or more
-link at `threshold` edits or fewer: a line is cut into threshold + 1 segments,
-and any line so close has one of them as a substring near its place (Li et
-al., 2011), so segments and substrings meet in an equi-join that knows the
-lengths. Counts of some letters turn most false meetings away within the join;
+Equal lines are one class. Classes link at `threshold` edits or fewer, at one
+edit if the shorter line has under 40 characters: a line is cut into one segment
+more than that, and any line so close has one of them as a substring near its
+place (Li et al., 2011), so segments and substrings meet in an equi-join that
+knows the lengths. All lines that can be cut so (2 characters or more) are
+joined. Counts of some letters turn most false meetings away within the join;
 the rest are verified by a banded bit-parallel edit distance.
 """
 
@@ -18,6 +19,8 @@ from ledgerloom.llm.common import let, stored
 _LETTERS = "abcdefghijklmnopqrst"
 _COUNT_BITS = 3
 BROADCAST_ROWS = 1_000_000
+#: Lines under so many characters link at one edit.
+SHORT = 40
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,16 +85,27 @@ def _probes(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def length_ranges(threshold: int, min_chars: int | None) -> list[tuple[int, int | None, int]]:
+    """(least, largest, edits): how near lines must be whose shorter one has a
+    length in the range. A given min_chars leaves shorter lines out."""
+    if min_chars is not None:
+        return [(min_chars, None, threshold)]
+    return [(2, SHORT - 1, 1), (SHORT, None, threshold)]
+
+
+def candidates(classes: DataFrame, threshold: int, least: int, largest: int | None = None) -> DataFrame:
     """(a, b): first hashes of two lines that may be within the threshold; b is
-    the longer one, or has the larger hash. Segments meet each other (both in
-    place) and the probes; rows are a key, a hash and a number of letter counts
-    with a bit that says that the probing line is longer."""
-    lines = classes.filter(F.col("n") >= min_chars)
+    the longer one, or has the larger hash, and a's length is in the range.
+    Segments meet each other (both in place) and the probes; rows are a key, a
+    hash and a number of letter counts with a bit that says that the probing
+    line is longer."""
+    lines = classes.filter(F.col("n") >= least)
+    probing = lines if largest is None else lines.filter(F.col("n") <= largest + threshold)
+    lines = lines if largest is None else lines.filter(F.col("n") <= largest)
     line, n, segments = F.col("line"), F.col("n"), threshold + 1
     longer = 1 << (_COUNT_BITS * len(_LETTERS))
 
-    def keyed(keys: list[Column], name: str) -> DataFrame:
+    def keyed(lines: DataFrame, keys: list[Column], name: str) -> DataFrame:
         rows = lines.select(F.explode(F.array(*keys)).alias("k"), F.col("h1").alias(name), "letters")
         return rows.select(F.col("k.key").alias("key"), name, F.col("letters").bitwiseOR(F.col("k.longer")).alias(f"tag_{name}"))
 
@@ -99,11 +113,11 @@ def candidates(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         return F.struct(_segment_key(line, n - F.lit(delta), segments, i, shift).alias("key"), F.lit(longer if delta else 0).alias("longer"))
 
     own = [key(0, i, 0) for i in range(segments)]
-    index = keyed(own, "a")
+    index = keyed(lines, own, "a")
     alike = _letters_apart(F.col("tag_a"), F.col("tag_b")) <= 2 * threshold
     ordered = (F.col("tag_b") >= longer) | (F.col("b") > F.col("a"))
     met = None
-    for other in (index.withColumnsRenamed({"a": "b", "tag_a": "tag_b", "key": "other"}), keyed([key(*p) for p in _probes(threshold)], "b").withColumnRenamed("key", "other")):
+    for other in (index.withColumnsRenamed({"a": "b", "tag_a": "tag_b", "key": "other"}), keyed(probing, [key(*p) for p in _probes(threshold)], "b").withColumnRenamed("key", "other")):
         pairs = index.join(other, (F.col("key") == F.col("other")) & ordered & alike).select("a", "b")
         met = pairs if met is None else met.unionByName(pairs)
     return met.distinct()
@@ -185,14 +199,19 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
-def line_links(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def line_links(classes: DataFrame, threshold: int, min_chars: int | None) -> DataFrame:
     """(a_h1, a_h2, a_place, b_h1, b_h2, b_place, edits) of all pairs of classes
-    within the threshold, each once."""
-    found = stored(candidates(classes, threshold, min_chars), "linepairs")
+    within the threshold of their length, each once."""
+    ranges = length_ranges(threshold, min_chars)
+    found = None
+    for least, largest, edits in ranges:
+        some = candidates(classes, edits, least, largest).withColumn("most", F.lit(edits))
+        found = some if found is None else found.unionByName(some)
+    found, threshold = stored(found, "linepairs"), max(edits for _, _, edits in ranges)
     ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = classes.select("h1", "h2", "line", "n", "place").filter(F.col("n") >= min_chars).join(ids, F.col("h1") == F.col("id"), "left_semi")
+    texts = classes.select("h1", "h2", "line", "n", "place").filter(F.col("n") >= ranges[0][0]).join(ids, F.col("h1") == F.col("id"), "left_semi")
     texts = stored(texts, "linetexts")
 
     def side(name: str) -> DataFrame:
@@ -203,27 +222,29 @@ def line_links(classes: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     pairs = _without_shared_ends(pairs).repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     pairs = pairs.withColumns({"a_chars": characters(F.col("a_line")), "b_chars": characters(F.col("b_line"))}).drop("a_line", "b_line")
     # generated, not filtered: a filter would compute the distance once more
-    edits = F.filter(F.array(banded_distance(F.col("a_chars"), F.col("b_chars"), threshold)), lambda d: d.isNotNull())
+    edits = F.filter(F.array(banded_distance(F.col("a_chars"), F.col("b_chars"), threshold)), lambda d: d <= F.col("most"))
     return pairs.select("a_h1", "a_h2", "a_place", "b_h1", "b_h2", "b_place", F.explode(edits).alias("edits"))
 
 
-def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = 2, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line of each text: doc_id, line_no, class_doc and
     class_line (where the line first occurs), n_links (other lines within the
     threshold), near_doc and near_line (the first place of the earliest of
     those, if it is before the line's own) and kept.
 
     A line is kept where it first occurs, unless an earlier line is within the
-    threshold. Order is by id, text hash and line number, null ids first. Blank
-    lines are kept and have no class; shorter lines have classes but no links;
-    null texts have no lines; rows that share an id and a text count as one
+    threshold. The threshold is one edit where the shorter of two lines has under
+    40 characters; lines of one character have classes but no links. A given
+    min_chars leaves all shorter lines without links, and one threshold for the
+    others. Order is by id, text hash and line number, null ids first. Blank
+    lines are kept and have no class; null texts have no lines; rows that share an id and a text count as one
     place, rows that share only an id don't; other columns are ignored; an empty
     table gives no row.
     """
     return _report(docs, threshold, min_chars, id_col, text_col).drop("text_hash")
 
 
-def _report(docs: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _report(docs: DataFrame, threshold: int, min_chars: int | None, id_col: str, text_col: str) -> DataFrame:
     """line_report with the text_hash of the line's own row."""
     classes = stored(line_classes(docs, id_col, text_col), "lines")
     links = stored(line_links(classes, threshold, min_chars), "linelinks")
@@ -252,7 +273,7 @@ def _report(docs: DataFrame, threshold: int, min_chars: int, id_col: str, text_c
     )
 
 
-def without_repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of each text that line_report keeps; no row goes, and
     every other column stays as it is."""
     gone = _report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))

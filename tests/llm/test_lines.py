@@ -112,3 +112,24 @@ def test_rows_are_known_by_id_and_text(spark):
     left = [x for r in out for x in r["text"].split("\n") if x]
     assert len(out) == 5 and sorted(x for x in left if x != long) == ["fifth own", "first own", "fourth own", "last", "second own", "third own"]
     assert left.count(long) == 1
+
+
+def test_short_lines_link_at_one_edit(spark):
+    """All lines of 2 characters or more, by the length of the shorter one."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.choice([1, 2, 3, 5, 12, 30, 38, 39, 40, 41, 60]))) for _ in range(60)]
+    every = [x for x in base + [mutated(rng, rng.choice(base), rng.randint(1, 3)) for _ in range(120)] if "\n" not in x]
+    footers = ["A footer of thirty-nine characters: p 1", "A footer of thirty-nine characters: p 2"]
+    rows = [(i, x) for i, x in enumerate(every + footers)]
+    first = {}
+    for i, x in rows:
+        if x.strip():
+            first.setdefault(x, i)
+    got = {r["doc_id"]: r for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = 0
+    for i, x in rows:
+        near = [y for y in first if x.strip() and y != x and min(len(x), len(y)) >= 2 and distance(x, y, 2) <= (1 if min(len(x), len(y)) < 40 else 2)]
+        short += len(x) < 40 and bool(near)
+        earlier = min([first[y] for y in near if first[y] < first[x]], default=None)
+        assert (got[i]["n_links"], got[i]["near_doc"]) == (len(near), earlier), x
+    assert short > 40 and not got[len(rows) - 1]["kept"]
