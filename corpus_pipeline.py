@@ -36,7 +36,7 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, special_tokens=True)
 
 
 STAGES = [

@@ -12,10 +12,11 @@ seeing other documents, and token ids are neither shuffled nor collected.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,25 @@ PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 @lru_cache(maxsize=4)
 def load_encoding(name: str):
     """The tokenizer by its ranks: the ids are those of the byte-level BPE of
-    the same name; the strings of special tokens are ordinary text."""
+    the same name, whose JSON file lists the special tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), "rb") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def tokenise(docs: DataFrame, queue, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenise(docs: DataFrame, queue, tokenizer: str, end_id: int, id_col: str, text_col: str, special_tokens: bool) -> DataFrame:
     """(doc_id, part, queue, local_start, n, ids) of every row: its ids as
     little-endian 16-bit numbers and where they start in what the task has for
     that queue. Stored, so parts stay what they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ends = load_encoding(tokenizer).encode_ordinary, np.array([end_id], "<u2")
+        encoding, ends = load_encoding(tokenizer), np.array([end_id], "<u2")
+        encode = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
         part, reached = TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -170,6 +174,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    special_tokens: bool = False,
 ) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset and source.
@@ -177,14 +182,15 @@ def pack_documents(
     mixture gives target shares by source (0 for one it doesn't name); by default
     each source's share is that of its tokens, so all last to the end. Sources
     beyond MAX_QUEUES share queues by hash. All sequences but the last are full;
-    the last is filled as far as tokens last. Null and empty texts are the end
+    the last is filled as far as tokens last. With special_tokens their strings
+    in a text are their ids, else ordinary text. Null and empty texts are the end
     id alone, a null source is a queue of its own, null and repeated ids are
     packed row by row, an empty table gives no row, other columns are ignored.
     """
     n_sources = docs.select(source_col).distinct().count()
     name = F.concat(F.lit("="), F.col(source_col).cast("string"))
     queue = F.coalesce(name, F.lit("")) if n_sources <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64(source_col), F.lit(MAX_QUEUES)).cast("string"))
-    tokens = tokenise(docs, queue, tokenizer, end_id, id_col, text_col)
+    tokens = tokenise(docs, queue, tokenizer, end_id, id_col, text_col, special_tokens)
     by_part = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")
     totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
     names = sorted(totals)

@@ -52,7 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), special_tokens=True)
 
 
 QUERIES = {

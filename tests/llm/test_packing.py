@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing
+from ledgerloom.llm.queries import QUERIES
 
 
 def tokenizer():
@@ -117,3 +119,16 @@ def test_layout_covers_queues_exactly():
                     seen.add((sequence, offset + k))
             at += size
     assert len(seen) == totals.sum() and max(o for _, o in seen) < 100
+
+
+def test_queries_give_the_tokenizers_own_ids(spark, tmp_path):
+    """Special tokens in texts as the JSON file's tokenizer has them by default."""
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|><|endoftext|>x", 3: "a  <|endoftext|>  \n b <|endoftext", 4: "plain"}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.encode(texts[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for rows in (QUERIES["op10_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        for r in rows.collect():
+            ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1]
+            assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
