@@ -3,7 +3,10 @@
 A template's word k-grams are winnowed (Schleimer et al., 2003) into an
 inverted index. All k-grams of a text probe it, so a text that has as few as
 k + window - 1 words of a template in a row meets one of its fingerprints.
-Each candidate place is aligned with the template within a band of diagonals.
+An edit every few words leaves no k-gram, so places also count where enough of
+a template's words, in whatever order, lie within a band of diagonals: without
+that no alignment can cover enough. Each candidate place is aligned with the
+template within its band.
 """
 
 from __future__ import annotations
@@ -96,6 +99,28 @@ class TemplateIndex:
                     last = d
         return out
 
+    def dense(self, ids: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """(template, diagonal) of every band that has the share `least` of a
+        template's words: a superset of the places whose alignment covers that."""
+        out: list[tuple[int, int]] = []
+        present = np.zeros(self.base, bool)
+        present[ids] = True
+        for t, own in enumerate(self.ids):
+            need = max(1, int(np.ceil(least * len(own) - 1e-9)))
+            if np.count_nonzero(present[own]) < need:
+                continue
+            b, first = self.band_of(t), len(own) + self.band_of(t)
+            counts = np.zeros(len(ids) + len(own) + 2 * b + 1, np.int32)  # of centre c - first
+            for w in np.unique(own):
+                at = np.flatnonzero(ids == w)
+                for i in np.flatnonzero(own == w):
+                    near = np.zeros(len(counts), bool)
+                    for o in range(-b, b + 1):
+                        near[at - i + first + o] = True
+                    counts += near
+            out += [(t, int(c) - first) for c in np.flatnonzero(counts >= need)]
+        return out
+
     def band_of(self, t: int) -> int:
         """Under half a template's length, so that copies in a row stay apart."""
         return min(self.band, max(1, (len(self.ids[t]) - 1) // 2))
@@ -130,7 +155,7 @@ class TemplateIndex:
         words = _WORD.findall(text.lower())
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words], np.int64)
-        candidates = self.places(ids) if np.count_nonzero(ids) >= self.k else []
+        candidates = sorted({*self.places(ids), *self.dense(ids, least)}) if ids.any() else []
         out, where = [], None
         for t, diagonal in candidates:
             pairs = self.align(t, ids, diagonal)
@@ -161,9 +186,10 @@ def _positions(text: str, n_words: int) -> list[tuple[int, int]]:
 
 
 def _best(matches: list[dict]) -> list[dict]:
-    """Of matches of one template that overlap, the one that covers most."""
+    """Of matches of one template that overlap, the one that covers most, in the
+    least space."""
     kept: list[dict] = []
-    for m in sorted(matches, key=lambda m: (m["template"], -m["coverage"], m["start"], m["end"])):
+    for m in sorted(matches, key=lambda m: (m["template"], -m["coverage"], m["end"] - m["start"], m["start"])):
         if all(m["template"] != k["template"] or m["end"] <= k["start"] or k["end"] <= m["start"] for k in kept):
             kept.append(m)
     return sorted(kept, key=lambda m: (m["start"], m["template"]))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerloom.llm import licenses
@@ -41,3 +43,28 @@ def test_offsets_where_lower_case_is_longer():
     text = "İ İ. Released under the MIT License"
     (match,) = licenses.TemplateIndex(licenses.TEMPLATES).scan(text, 0.8)
     assert text[match["start"] : match["end"]] == "Released under the MIT License"
+
+
+def test_recall_against_alignment_everywhere():
+    """Any text whose alignment at some diagonal covers 0.8 is found."""
+    index, rng = licenses.TemplateIndex(licenses.TEMPLATES), random.Random(6)
+    texts = [
+        "This work is licensed under the terms of the GNU General Public License, version 3",
+        "Licensed under Apache License, Version 2.0",
+    ]
+    for template in licenses.TEMPLATES.values():
+        for every in (3, 4, 5, 6):
+            words = licenses._WORD.findall(template)
+            for at in range(rng.randrange(every), len(words), every):
+                words[at] = rng.choice(["", "other", f"{words[at]} more"])
+            texts.append(f"some words before {' '.join(words)} and after the text")
+    found = 0
+    for text in texts:
+        ids = licenses.np.array([index.vocabulary.get(w, 0) for w in licenses._WORD.findall(text.lower())], licenses.np.int64)
+        got = {m["template"]: m["coverage"] for m in index.scan(text, 0.8)}
+        for t, name in enumerate(index.names):
+            own = len(index.ids[t])
+            best = max(len(index.align(t, ids, d)) for d in range(-own, len(ids) + 1)) / own
+            assert got.get(name) == (round(best, 6) if best >= 0.8 else None), (name, text)
+            found += best >= 0.8
+    assert found > 20 and {m["template"] for x in texts[:2] for m in index.scan(x, 0.8)} == {"GPL-notice", "Apache-2.0-notice"}
