@@ -82,14 +82,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, shingles, fp) of every item with a word. Items of fewer
-    words than the shingle width are one shingle of all their words."""
+    """(item_id, item, width, shingles, fp) of every item with a word; item is a
+    hash of its id and words. Items of fewer words than the shingle width are
+    one shingle of all their words."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0).distinct()
     shingles = F.array().cast("array<bigint>")
     for w in range(1, width + 1):
         wanted = F.size("words") == w if w < width else F.size("words") >= w
         shingles = F.when(wanted, shingles_of(F.col("words"), w)).otherwise(shingles)
-    items = items.select("item_id", F.least(F.size("words"), F.lit(width)).alias("width"), shingles.alias("item_shingles"))
+    items = items.select("item_id", F.xxhash64("item_id", "words").alias("item"), F.least(F.size("words"), F.lit(width)).alias("width"), shingles.alias("item_shingles"))
     return items.withColumn("item_fp", simhash_of(F.col("item_shingles")))
 
 
@@ -107,11 +108,12 @@ def contaminated(
 
     Only contaminated documents have rows. Null, empty and short texts match
     only as far as they have the words (a text shorter than an item is one
-    window); repeated rows with an id are found once; null ids are kept; other
+    window); repeated rows with an id are found once; null ids of documents and items are kept, and items that share an
+    id but not their words have rows of their own; other
     columns are ignored; an empty table on either side gives no row.
     """
     items = stored(benchmark_items(benchmark, width), "benchmark")
-    kept = items.select("item_id", "width", F.size("item_shingles").alias("k"), F.explode(F.array_distinct("item_shingles")).alias("shingle")).distinct()
+    kept = items.select("item_id", "item", "width", F.size("item_shingles").alias("k"), F.explode(F.array_distinct("item_shingles")).alias("shingle")).distinct()
     n_shingles = kept.count()
     texts = _texts(docs, id_col, text_col)
     hits = None
@@ -125,21 +127,21 @@ def contaminated(
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, text_hash long, item_id long, start_word int, n_words int, distance int, similarity double")
     size = F.least("k", "n")
     least = F.ceil(F.lit(threshold) * (F.col("k") + size) / F.lit(1 + threshold) - F.lit(1e-9)).cast("int")
-    places = hits.groupBy("doc_id", "text_hash", "item_id", "width", "k", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    places = hits.groupBy("doc_id", "text_hash", "item_id", "item", "width", "k", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
     enough = F.filter(
         F.transform("at", lambda p, i: F.when(F.get(F.col("at"), i + least - 1) <= p + size - 1, F.least(p, F.col("n") - size))),
         lambda p: p.isNotNull(),
     )
-    seeds = places.select("doc_id", "text_hash", "item_id", "width", size.alias("size"), F.array_distinct(enough).alias("starts")).filter(F.size("starts") > 0)
+    seeds = places.select("doc_id", "text_hash", "item", "width", size.alias("size"), F.array_distinct(enough).alias("starts")).filter(F.size("starts") > 0)
     seeds = stored(seeds, "windows")
     windows = _windows(texts, seeds, width)
-    index = items.select("item_id", "item_shingles", "item_fp", F.explode(F.array(*[_near_blocks(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("near"))
-    index = index.select("item_id", "item_shingles", "item_fp", F.col("near.block").alias("block"), F.explode("near.values").alias("value"))
+    index = items.select("item_id", "item", "item_shingles", "item_fp", F.explode(F.array(*[_near_blocks(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("near"))
+    index = index.select("item_id", "item", "item_shingles", "item_fp", F.col("near.block").alias("block"), F.explode("near.values").alias("value"))
     blocks = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])))
     blocks = blocks.select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
-    close = blocks.join(index, ["item_id", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    close = blocks.join(index, ["item", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     close = close.filter(F.col("distance") <= RADIUS).withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
-    best = close.filter(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(
+    best = close.filter(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("shingles") + F.col("width") - 1).alias("n_words"), "distance")).alias("m")
     )
     return best.select(
@@ -159,16 +161,16 @@ def _near_blocks(fp: Column, b: int) -> Column:
 def _windows(texts: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     """The seeded windows with their shingles and fingerprints. Texts are read
     again for the documents that have a seed."""
-    wanted = _small(seeds.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "item_id", "width", "size", "starts"), seeds.count())
+    wanted = _small(seeds.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "item", "width", "size", "starts"), seeds.count())
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    rows = texts.join(wanted, same).select("doc_id", "text_hash", "item_id", "width", "size", "starts", words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_hash", "item_id", "width", "size", "words", F.explode("starts").alias("start"))
+    rows = texts.join(wanted, same).select("doc_id", "text_hash", "item", "width", "size", "starts", words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text_hash", "item", "width", "size", "words", F.explode("starts").alias("start"))
     cut = F.slice("words", F.col("start") + 1, F.col("size") + F.col("width") - 1)
-    rows = rows.select("doc_id", "text_hash", "item_id", "width", "start", cut.alias("words"))
+    rows = rows.select("doc_id", "text_hash", "item", "width", "start", cut.alias("words"))
     shingles = F.array().cast("array<bigint>")
     for w in range(1, width + 1):
         shingles = F.when(F.col("width") == w, shingles_of(F.col("words"), w)).otherwise(shingles)
-    return rows.select("doc_id", "text_hash", "item_id", "width", "start", shingles.alias("shingles")).withColumn("fp", simhash_of(F.col("shingles")))
+    return rows.select("doc_id", "text_hash", "item", "width", "start", shingles.alias("shingles")).withColumn("fp", simhash_of(F.col("shingles")))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

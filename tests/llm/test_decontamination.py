@@ -106,3 +106,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 7
     assert D.contaminated(no_docs, benchmark).count() == 0 and D.contaminated(odd_docs, benchmark.limit(0)).count() == 0
     assert D.without_contaminated(odd_docs, benchmark.limit(0)).count() == 10
+
+
+def test_items_without_an_id(spark):
+    """Items with a null id or one that repeats contaminate like any other."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 20), ("b", 30), ("c", 25))}
+    items = [(None, texts["a"]), (None, texts["b"]), (1, texts["c"]), (1, texts["a"])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts.values())] + [(9, "clean")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["n_words"], r["similarity"]) for r in D.contaminated(docs, benchmark).collect())
+    assert got == [(0, 0, 20, 1.0), (0, 1, 20, 1.0), (1, 0, 30, 1.0), (2, 1, 25, 1.0)]
+    assert [r["doc_id"] for r in D.without_contaminated(docs, benchmark).collect()] == [9]
