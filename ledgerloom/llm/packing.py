@@ -21,7 +21,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stored, text_or_empty
@@ -47,8 +47,8 @@ def load_encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def tokenise(docs: DataFrame, queue, tokenizer: str, end_id: int, id_col: str, text_col: str, special_tokens: bool) -> DataFrame:
-    """(doc_id, part, queue, local_start, n, ids) of every row: its ids as
+def tokenise(docs: DataFrame, queue, source, tokenizer: str, end_id: int, id_col: str, text_col: str, special_tokens: bool) -> DataFrame:
+    """(doc_id, source, part, queue, local_start, n, ids) of every row: its ids as
     little-endian 16-bit numbers and where they start in what the task has for
     that queue. Stored, so parts stay what they are."""
 
@@ -60,20 +60,20 @@ def tokenise(docs: DataFrame, queue, tokenizer: str, end_id: int, id_col: str, t
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 starts, counts, ids = [], [], []
-                for text, name in zip(batch.column(1), batch.column(2).to_pylist()):
+                for text, name in zip(batch.column("text"), batch.column("queue").to_pylist()):
                     each = np.append(np.array(encode(text.as_py()), "<u2"), ends)
                     starts.append(reached.get(name, 0))
                     counts.append(len(each))
                     ids.append(each.tobytes())
                     reached[name] = starts[-1] + len(each)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([part] * len(ids), pa.int32()), batch.column(2), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "part", "queue", "local_start", "n", "ids"],
+                    [batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int32()), batch.column("queue"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "source", "part", "queue", "local_start", "n", "ids"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), queue.alias("queue"))
-    return stored(narrow.mapInArrow(run, f"doc_id {kind}, part int, queue string, local_start long, n long, ids binary"), "tokens")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), text_or_empty(text_col).alias("text"), queue.alias("queue"))
+    return stored(narrow.mapInArrow(run, f"doc_id {kind}, source string, part int, queue string, local_start long, n long, ids binary"), "tokens")
 
 
 def deal(capacity: int, rounds: int, totals: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -121,6 +121,24 @@ def deal(capacity: int, rounds: int, totals: np.ndarray, shares: np.ndarray) ->
     return given
 
 
+def queue_of(docs: DataFrame, mixture: dict | None, text_col: str, source_col: str) -> Column:
+    """The queue of a row: its source's own ("=" and the name, "" if null), or
+    beyond MAX_QUEUES sources one of the shared ("#" and a number). Sources that
+    the mixture names and the largest, in half of the queues, have their own."""
+    source = F.col(source_col).cast("string")
+    own = F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+    if docs.select(source_col).distinct().count() <= MAX_QUEUES:
+        return own
+    size = F.sum(F.octet_length(text_or_empty(text_col)) + F.lit(1))
+    largest = docs.groupBy(own.alias("_queue")).agg(size.alias("_size")).orderBy(F.desc("_size"), "_queue").limit(max(1, MAX_QUEUES // 2))
+    single = {"" if m is None else f"={m}" for m in mixture or ()}
+    for row in largest.collect():
+        if len(single) < MAX_QUEUES // 2:
+            single.add(row["_queue"])
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max(1, MAX_QUEUES - len(single)))).cast("string"))
+    return F.when(own.isin(*single), own).otherwise(shared) if single else shared
+
+
 class Layout:
     """Where every token of every queue lies: blocks of windows, dealt once."""
 
@@ -180,22 +198,22 @@ def pack_documents(
     doc_tokens, sequence_id, offset and source.
 
     mixture gives target shares by source (0 for one it doesn't name); by default
-    each source's share is that of its tokens, so all last to the end. Sources
-    beyond MAX_QUEUES share queues by hash. All sequences but the last are full;
+    each source's share is that of its tokens, so all last to the end. Beyond
+    MAX_QUEUES sources, those that the mixture names and the largest keep queues
+    of their own, and the rest share queues by hash, each with the sum of their
+    shares (0 beside a mixture); windows hold the proportions of queues. All sequences but the last are full;
     the last is filled as far as tokens last. With special_tokens their strings
     in a text are their ids, else ordinary text. Null and empty texts are the end
     id alone, a null source is a queue of its own, null and repeated ids are
     packed row by row, an empty table gives no row, other columns are ignored.
     """
-    n_sources = docs.select(source_col).distinct().count()
-    name = F.concat(F.lit("="), F.col(source_col).cast("string"))
-    queue = F.coalesce(name, F.lit("")) if n_sources <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64(source_col), F.lit(MAX_QUEUES)).cast("string"))
-    tokens = tokenise(docs, queue, tokenizer, end_id, id_col, text_col, special_tokens)
+    queue = queue_of(docs, mixture, text_col, source_col)
+    tokens = tokenise(docs, queue, F.col(source_col).cast("string"), tokenizer, end_id, id_col, text_col, special_tokens)
     by_part = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")
-    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
+    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows, or what the mixture names
     names = sorted(totals)
     counts = np.array([totals[q] for q in names], np.int64)
-    shares = counts.astype(float) if mixture is None else np.array([mixture.get(q[1:], 0.0) for q in names])
+    shares = counts.astype(float) if mixture is None else np.array([0.0 if q.startswith("#") else mixture.get(q[1:] if q else None, 0.0) for q in names])
     shared = docs.sparkSession.sparkContext.broadcast((names, Layout(counts, shares, length)))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -209,7 +227,7 @@ def pack_documents(
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows, sources, found, whole_n = [], [], [], []
+                rows, found, whole_n = [], [], []
                 starts, queues = batch.column("at").to_pylist(), batch.column("queue").to_pylist()
                 for row, (raw, start, q) in enumerate(zip(batch.column("ids"), starts, queues)):
                     ids = memoryview(np.frombuffer(raw.as_buffer(), "<u2").astype("<u4").tobytes())
@@ -218,14 +236,14 @@ def pack_documents(
                     found += pieces
                     rows += [row] * len(pieces)
                     whole_n += [n] * len(pieces)
-                    sources += [q[1:] if q.startswith("=") else None] * len(pieces)
                 starts, sizes, crcs, sequences, offsets = np.array(found, np.int64).reshape(-1, 5).T
                 numbers = [pa.array(v) for v in (starts, sizes, crcs, np.array(whole_n, np.int64), sequences, offsets)]
+                of_row = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), *numbers, pa.array(sources, pa.string())],
+                    [batch.column("doc_id").take(of_row), *numbers, batch.column("source").take(of_row)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    placed = tokens.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("at"), "ids")
+    placed = tokens.join(base, ["part", "queue"]).select("doc_id", "source", "queue", (F.col("base") + F.col("local_start")).alias("at"), "ids")
     return placed.mapInArrow(run, PIECES.format(id=kind))

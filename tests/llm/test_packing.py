@@ -132,3 +132,35 @@ def test_queries_give_the_tokenizers_own_ids(spark, tmp_path):
         for r in rows.collect():
             ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1]
             assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_proportions_beyond_the_queues(spark, monkeypatch):
+    """Sources that share queues keep their names; named and large ones their shares."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 6)
+    few = [(i, "word " * (2000 if i == 7 else 200), f"s{i}") for i in range(20)]
+    docs = [(100 + i, "word " * 200, "ab"[i % 2]) for i in range(40)] + few + [(99, "word " * 2000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    source = {d: s for d, _, s in docs}
+
+    def shares(rows, windows):
+        assert all(r["source"] == source[r["doc_id"]] for r in rows) and {r["source"] for r in rows} == set(source.values())
+        first = Counter()
+        for r in rows:
+            if r["sequence_id"] < windows:
+                first[r["source"]] += r["length"]
+        return first
+
+    rows = packing.pack_documents(df, length=100, mixture={"a": 2, "b": 1, "s7": 1}).collect()
+    assert shares(rows, 8) == {"a": 400, "b": 200, "s7": 200}
+    rows = packing.pack_documents(df, length=100, mixture={"a": 3, None: 1}).collect()
+    assert shares(rows, 8) == {"a": 600, None: 200}
+    rows = packing.pack_documents(df, length=610).collect()
+    sequences = checked(rows, {d: t for d, t, _ in docs}, 610)
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += r["length"]
+    for s in range(len(sequences) - 1):
+        have = Counter()
+        for p in sequences[s]:
+            have[p["source"]] += p["length"]
+        assert all(abs(have[q] - 610 * total[q] / total.total()) <= 2 for q in "ab")
