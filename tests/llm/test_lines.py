@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import lines
@@ -40,10 +41,11 @@ def test_banded_distance(spark):
         pairs.append((a, mutated(rng, a, rng.randint(0, 4))))
     for threshold in (1, 2, 3):
         df = spark.createDataFrame(pairs, "a string, b string")
-        df = df.select("a", "b", lines.characters(F.col("a")).alias("x"), lines.characters(F.col("b")).alias("y"))
-        for r in df.select("a", "b", lines.banded_distance(F.col("x"), F.col("y"), threshold).alias("d")).collect():
+        df = df.select("a", "b", lines.units(F.col("a")).alias("x"), lines.units(F.col("b")).alias("y"))
+        plain = lines.banded_distance(lines.characters(F.col("x")), lines.characters(F.col("y")), threshold)
+        for r in df.select("a", "b", plain.alias("d"), lines.line_distance(F.col("x"), F.col("y"), threshold).alias("cut")).collect():
             true = distance(r["a"], r["b"])
-            assert r["d"] == (true if true <= threshold else None)
+            assert r["d"] == r["cut"] == (true if true <= threshold else None)
 
 
 def make_lines(rng):
@@ -133,3 +135,15 @@ def test_short_lines_link_at_one_edit(spark):
         earlier = min([first[y] for y in near if first[y] < first[x]], default=None)
         assert (got[i]["n_links"], got[i]["near_doc"]) == (len(near), earlier), x
     assert short > 40 and not got[len(rows) - 1]["kept"]
+
+
+def test_thousands_of_near_equal_lines(spark):
+    """Numbered boilerplate: all lines share segments, and no pair is stored."""
+    stem, end = "this page was left blank on purpose, see the notice on page ", " of the printed volume"
+    rows = [(i, f"{stem}{i:05d}{end}") for i in range(5000)]
+    got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    got = {r["doc_id"]: (r["n_links"], r["near_doc"]) for r in got.collect()}
+    pages = duckdb.sql("SELECT i, printf('%05d', i) AS n FROM range(5000) t(i)")  # what all lines share doesn't change a distance
+    assert len(pages.columns) == 2
+    near = duckdb.sql("SELECT a.i, count(*) AS links, min(b.i) AS first FROM pages a, pages b WHERE a.i != b.i AND levenshtein(a.n, b.n) <= 2 GROUP BY a.i").fetchall()
+    assert got == {i: (n, first if first < i else None) for i, n, first in near}
