@@ -24,6 +24,8 @@ VIOLATION_TYPES = (
     "PREV_HASH_MISMATCH",
     "MISSING_SALT",
 )
+#: A key that repeats, which a database refuses and a lake table doesn't.
+DUPLICATE_KEY = "DUPLICATE_KEY"
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ so payloads pass through Arrow-batched functions of one JSON parse each.
 from __future__ import annotations
 
 import json
+import math
 from decimal import Decimal
 
 import pyarrow as pa
@@ -20,7 +21,13 @@ _ESCAPES = str.maketrans({**{chr(i): f"\\u{i:04x}" for i in range(0x20)}, **_SHO
 
 
 class Real(str):
-    """The token of a number that isn't an integer."""
+    """The token of a number that isn't an integer; one beyond a double's range
+    is no JSON that can be written again, and is refused."""
+
+    def __new__(cls, token: str):
+        if not math.isfinite(float(token)):
+            raise ValueError(f"not finite: {token}")
+        return super().__new__(cls, token)
 
 
 def _no_constant(token: str):
@@ -39,18 +46,32 @@ def number_text(value: int | Real) -> str:
     return "0" if number == 0 else format(number.normalize(), "f")
 
 
-def canonical(value) -> str:
+def _scalar(value) -> str:
     if value is None:
         return "null"
     if value is True or value is False:
         return "true" if value else "false"
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{_quoted(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, (int, Real)):
-        return number_text(value)
-    return _quoted(value)
+    return number_text(value) if isinstance(value, (int, Real)) else _quoted(value)
+
+
+def canonical(value) -> str:
+    """Canonical text, however deep the value: what is still to be written is
+    kept in a list, as (text is ready, text or value)."""
+    out, todo = [], [(False, value)]
+    while todo:
+        ready, x = todo.pop()
+        if ready:
+            out.append(x)
+        elif isinstance(x, (dict, list)):
+            members = [(f"{_quoted(k)}:", x[k]) for k in sorted(x)] if isinstance(x, dict) else [("", v) for v in x]
+            opening, closing = "{}" if isinstance(x, dict) else "[]"
+            todo.append((True, closing))
+            for i in range(len(members) - 1, -1, -1):
+                todo += [(False, members[i][1]), (True, ("," if i else "") + members[i][0])]
+            out.append(opening)
+        else:
+            out.append(_scalar(x))
+    return "".join(out)
 
 
 def _quoted(text: str) -> str:
@@ -145,12 +166,11 @@ def replace_leaves(text: Column, changes: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """text as a JSON string in canonical form, by built-in functions: only texts
-    that hold a character to escape go through the chain of replacements."""
-    chain = text
-    for char in ["\\", '"', *map(chr, range(0x20))]:
-        chain = F.replace(chain, F.lit(char), F.lit(_ESCAPES[ord(char)]))
-    escaped = F.when(text.rlike(r'[\x00-\x1f"\\]'), chain).otherwise(text)
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    that hold a character to escape go through the replacements."""
+    pairs = [(c, _ESCAPES[ord(c)]) for c in ["\\", '"', *map(chr, range(0x20))]]
+    steps = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("e")) for c, e in pairs])
+    escaped = F.aggregate(steps, text, lambda acc, s: F.replace(acc, s["c"], s["e"]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(text), F.lit('"'))
 
 
 def register(spark) -> None:

@@ -160,8 +160,8 @@ def export_bundles(
     return Bundles(headers.join(digests, "bundle_key").withColumn("hmac", signed), records, segments)
 
 
-def verify_bundles(bundles: Bundles, secret: str | None = None) -> DataFrame:
-    """(bundle_key, valid, problems) of every bundle, all problems listed."""
+def bundle_problems(bundles: Bundles, secret: str | None = None) -> DataFrame:
+    """(bundle_key, problem): a row for everything that is wrong with a bundle."""
     records = bundles.records.withColumn("_parsed", parse_payload(F.col("payload_json")))
     canonical = records.withColumn("payload_canonical", F.col("_parsed.canonical"))
     digests = bundle_hashes(bundles.headers, canonical, bundles.segments)
@@ -179,10 +179,16 @@ def verify_bundles(bundles: Bundles, secret: str | None = None) -> DataFrame:
     problems = found[0]
     for more in found[1:]:
         problems = problems.unionByName(more)
-    listed = problems.groupBy("bundle_key").agg(F.array_sort(F.collect_list("problem")).alias("problems"))
-    joined = bundles.headers.select("bundle_key").join(listed, "bundle_key", "left")
-    listed_or_none = F.coalesce("problems", F.array().cast("array<string>"))
-    return joined.select("bundle_key", (F.size(listed_or_none) == 0).alias("valid"), listed_or_none.alias("problems"))
+    return problems
+
+
+def verify_bundles(bundles: Bundles, secret: str | None = None, listed: bool = False) -> DataFrame:
+    """(bundle_key, valid, n_problems) of every bundle, and with `listed` all its
+    problems in one array, which a forged bundle can make as long as its records."""
+    n, columns = F.count(F.lit(1)).alias("n"), ["bundle_key", (F.coalesce("n", F.lit(0)) == 0).alias("valid"), F.coalesce("n", F.lit(0)).alias("n_problems")]
+    sums = [n, F.array_sort(F.collect_list("problem")).alias("problems")] if listed else [n]
+    joined = bundles.headers.select("bundle_key").join(bundle_problems(bundles, secret).groupBy("bundle_key").agg(*sums), "bundle_key", "left")
+    return joined.select(*columns, *([F.coalesce("problems", F.array().cast("array<string>")).alias("problems")] if listed else []))
 
 
 def _leaf_problems(at: Column) -> Column:
@@ -201,15 +207,24 @@ def _leaf_problems(at: Column) -> Column:
 
 def _segment_problems(bundles: Bundles) -> DataFrame:
     """Records that a segment lacks (the first ends its check) and links that
-    don't hold within it."""
-    seqs = bundles.segments.select("bundle_key", "from_seq", "prior_record_hash", F.explode(F.sequence("from_seq", "to_seq")).alias("seq"))
-    own = bundles.records.select("bundle_key", "seq", "prev_hash", F.lit(True).alias("_here"))
+    don't hold within it.
+
+    Only the ends of the records' runs, the segments' starts and the broken
+    links are put in order, so a segment costs the same however long it claims
+    to be.
+    """
+    ends = runs(bundles.records).select("bundle_key", F.col("from_seq").alias("at"), F.lit(0).alias("rank"), F.col("to_seq").alias("run_to"), F.lit(None).cast("long").alias("seg_to"), F.lit(None).cast("string").alias("prior"))
+    starts = bundles.segments.select("bundle_key", F.col("from_seq").alias("at"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("run_to"), F.col("to_seq").alias("seg_to"), F.col("prior_record_hash").alias("prior"))
+    so_far = Window.partitionBy("bundle_key").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    run_end = F.last("run_to", ignorenulls=True).over(so_far)
+    present = F.greatest(F.coalesce(run_end, F.col("at") - 1), F.col("at") - 1)  # up to here no record is missing
+    marked = ends.unionByName(starts).withColumn("_end", F.least(present, "seg_to")).filter("rank = 1")
+    gone = marked.filter("seg_to > _end").select("bundle_key", F.concat(F.lit("segment record missing: seq "), (F.col("_end") + 1).cast("string")).alias("problem"))
+    own = bundles.records.select("bundle_key", "seq", "prev_hash")
     before = bundles.records.select("bundle_key", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
-    rows = seqs.join(own, ["bundle_key", "seq"], "left")
-    missing = rows.filter("_here is null").groupBy("bundle_key", "from_seq").agg(F.min("seq").alias("_gap"))
-    gone = missing.select("bundle_key", F.concat(F.lit("segment record missing: seq "), F.col("_gap").cast("string")).alias("problem"))
-    rows = rows.join(missing, ["bundle_key", "from_seq"], "left").filter(F.col("_here").isNotNull() & (F.col("_gap").isNull() | (F.col("seq") < F.col("_gap"))))
-    rows = rows.join(before, ["bundle_key", "seq"], "left")
-    prior = F.when(F.col("seq") == F.col("from_seq"), F.col("prior_record_hash")).otherwise(F.col("_before"))
-    broken = rows.filter(~F.equal_null(prior, F.col("prev_hash"))).select("bundle_key", F.concat(F.lit("broken chain link at seq "), F.col("seq").cast("string")).alias("problem"))
-    return gone.unionByName(broken)
+    first = marked.filter("_end >= at").select("bundle_key", F.col("at").alias("seq"), "prior").join(own, ["bundle_key", "seq"])
+    first = first.filter(~F.equal_null("prior", "prev_hash")).select("bundle_key", "seq")
+    inner = own.join(before, ["bundle_key", "seq"]).filter(~F.equal_null("_before", "prev_hash")).select("bundle_key", F.col("seq").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("_end"))
+    covered = inner.unionByName(marked.select("bundle_key", "at", "rank", "_end")).withColumn("_covered", F.max("_end").over(so_far)).filter((F.col("rank") == 0) & (F.col("_covered") >= F.col("at")))
+    broken = first.unionByName(covered.select("bundle_key", F.col("at").alias("seq"))).distinct()
+    return gone.unionByName(broken.select("bundle_key", F.concat(F.lit("broken chain link at seq "), F.col("seq").cast("string")).alias("problem")))

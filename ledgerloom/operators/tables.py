@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where a session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where a session names none, a session on one machine gets a temporary one;
+    on a cluster that is an error, as executors couldn't read each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

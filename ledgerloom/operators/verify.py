@@ -7,13 +7,13 @@ inconsistency follows from the least violating row and the least missing seq.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.config import LedgerConfig
+from ledgerloom.config import DUPLICATE_KEY, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import parse_payload
-from ledgerloom.operators.tables import with_redacted_paths
+from ledgerloom.operators.tables import with_dense_seq, with_redacted_paths
 
 VIOLATION = "struct<type:string,detail:string>"
 REPORT = (
@@ -102,25 +102,32 @@ def missing_after(events: DataFrame, from_seq: int, to_seq: int) -> DataFrame:
 
 
 def duplicate_keys(events: DataFrame) -> DataFrame:
-    """(key, value, n): seqs and event ids that more than one row has; a lake
-    table doesn't enforce its keys."""
+    """(key, value, n, seq): seqs and event ids that more than one row has, and
+    the largest seq of such rows; a lake table doesn't enforce its keys."""
     out = None
     for key in ("seq", "event_id"):
-        rows = events.groupBy(F.col(key).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = rows.select(F.lit(key).alias("key"), "value", "n")
+        rows = events.groupBy(F.col(key).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq")).filter("n > 1")
+        rows = rows.select(F.lit(key).alias("key"), "value", "n", "seq")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def duplicate_violations(events: DataFrame) -> DataFrame:
+    """(seq, event_id, violation_type, detail) of every key that repeats. A copy
+    of a row, or a second row with sound hashes of its own, passes all checks
+    that look at one row and its predecessor."""
+    text = F.concat(F.col("n").cast("string"), F.lit(" rows have "), F.col("key"), F.lit(" "), F.col("value"))
+    event_id = F.when(F.col("key") == "event_id", F.col("value"))
+    return duplicate_keys(events).select("seq", event_id.alias("event_id"), F.lit(DUPLICATE_KEY).alias("violation_type"), text.alias("detail"))
+
+
 def archived_runs(events: DataFrame, from_seq: int, to_seq: int) -> DataFrame:
     """(from_seq, to_seq) of the contiguous runs of archived rows in a range.
-    Only the runs' ends are numbered; they are few."""
-    rows = events.filter(F.col("archived_at").isNotNull() & F.col("seq").between(from_seq, to_seq)).select("seq")
-    firsts = rows.join(rows.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti")
-    lasts = rows.join(rows.select((F.col("seq") - 1).alias("seq")), "seq", "left_anti")
-    number = F.row_number().over(Window.orderBy("seq"))
-    firsts = firsts.select(F.col("seq").alias("from_seq"), number.alias("_n"))
-    lasts = lasts.select(F.col("seq").alias("to_seq"), number.alias("_n"))
+    The runs' ends are numbered in range partitions, as they may be many."""
+    rows = events.filter(F.col("archived_at").isNotNull() & F.col("seq").between(from_seq, to_seq)).select("seq").distinct()
+    firsts = rows.join(rows.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti").withColumnRenamed("seq", "from_seq")
+    lasts = rows.join(rows.select((F.col("seq") - 1).alias("seq")), "seq", "left_anti").withColumnRenamed("seq", "to_seq")
+    firsts, lasts = with_dense_seq(firsts, ["from_seq"], 0, "_n"), with_dense_seq(lasts, ["to_seq"], 0, "_n")
     return firsts.join(lasts, "_n").select("from_seq", "to_seq")
 
 
@@ -139,7 +146,9 @@ def verify_chain(
     and first_inconsistency.
 
     expected_head also finds rows that were cut off at the end, which the chain
-    alone can't show. ValueError if the row before from_seq is missing.
+    alone can't show. Keys that repeat in the range are violations at the largest
+    seq of their rows. The segments are one array; archived_runs gives them as a
+    table. ValueError if the row before from_seq is missing.
     """
     spark = events.sparkSession
     bounds = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
@@ -155,7 +164,8 @@ def verify_chain(
         raise ValueError(f"predecessor of seq {first} is missing; the range can't be anchored")
     gap = missing_after(events, first, last).agg(F.min("seq")).first()[0]
     bad = row_violations(events.filter(F.col("seq").between(first - 1, last)), redactions, archive, deep, config).filter(F.col("seq") >= first)
-    bad = bad.agg(F.min_by(F.struct("seq", "event_id", "violation_type", "detail"), "seq").alias("b")).first()["b"]
+    bad = bad.withColumn("_rank", F.lit(0)).unionByName(duplicate_violations(events.filter(F.col("seq").between(first, last))).withColumn("_rank", F.lit(1)))
+    bad = bad.agg(F.min_by(F.struct("seq", "event_id", "violation_type", "detail"), F.struct("seq", "_rank", "detail")).alias("b")).first()["b"]
     if bad is not None and (gap is None or bad["seq"] < gap):
         runs = archived_runs(events, first, last).filter(F.col("to_seq") <= bad["seq"] - 2)
         return _report(spark, False, bad["seq"] - first + 1, first, bad["seq"], deep, runs, tuple(bad))

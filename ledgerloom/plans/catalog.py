@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from ledgerloom.config import GENESIS, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, parse_payload
 from ledgerloom.operators import append, bundle, compliance, query, redact, retention, verify
-from ledgerloom.operators.tables import staged
-from ledgerloom.schemas import EVENT_COLUMNS
+from ledgerloom.operators.tables import shared_dir, staged
+from ledgerloom.sources import json_io
 from ledgerloom.sources.driver_events import new_events
+from ledgerloom.sources.ledger_tables import EventTable, read_archive, read_redactions, write_archive, write_redactions
+from ledgerloom.streaming import jobs
 
 CONFIG = LedgerConfig(hmac_secret="test-hmac-secret")
 NOW = datetime(2024, 2, 1)
@@ -32,13 +35,28 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("content_hash", H.content_hash())
 
 
+#: Chains that are set up once for all queries of a session (a benchmark's set-up); None: each query makes its own.
+SHARED_CHAINS: dict[tuple[str, str], DataFrame] | None = None
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as one appended chain, staged once for what reads it."""
-    made = append.append_events(
-        _incoming(spark, sf_dir), order=["n"], event_id=F.col("given_id"), recorded_at=F.col("timestamp"),
-        salts=append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), config=CONFIG,
-    )
-    return staged(made.events, "chain")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if SHARED_CHAINS is not None and key in SHARED_CHAINS:
+        return SHARED_CHAINS[key]
+    chain = staged(_appended(_incoming(spark, sf_dir)).events, "chain")
+    if SHARED_CHAINS is not None:
+        SHARED_CHAINS[key] = chain
+    return chain
+
+
+def _appended(incoming: DataFrame, head: tuple[int, str] | None = None) -> append.Appended:
+    """New events with their given ids, times and repeatable salts, on a chain."""
+    return append.append_events(incoming, head, ["n"], F.col("timestamp"), F.col("given_id"), append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), CONFIG)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _tampered(events: DataFrame) -> DataFrame:
@@ -64,8 +82,56 @@ def content_hashes(spark, sf_dir):
     return _hashed(spark, sf_dir).select("seq", "event_id", "content_hash")
 
 
+_LINKED = ["seq", "event_id", "event_ts_c", "content_hash", "prev_hash", "record_hash"]
+
+
 def append_chain(spark, sf_dir):
-    return _chain(spark, sf_dir).select("seq", "event_id", "event_ts_c", "content_hash", "prev_hash", "record_hash")
+    made = _appended(_incoming(spark, sf_dir)).events
+    return made.select(*_LINKED)
+
+
+def append_in_batches(spark, sf_dir):
+    """Two appends to one event table, the second from the first one's head."""
+    rows, table = _incoming(spark, sf_dir), EventTable(spark, _folder(spark, "table"))
+    half = rows.agg(F.floor(F.count(F.lit(1)) / 2)).first()[0]
+    table.create(_appended(rows.filter(F.col("n") < half)).events)
+    table.append(_appended(rows.filter(F.col("n") >= half), append.chain_head(table.read(), CONFIG)).events)
+    return table.read().select(*_LINKED)
+
+
+def append_default_time(spark, sf_dir):
+    """Every third event names no time of its own."""
+    rows = _incoming(spark, sf_dir).withColumn("timestamp", F.when(F.pmod("n", F.lit(3)) != 0, F.col("timestamp")))
+    made = append.append_events(rows, None, ["n"], F.lit(EXPORTED_AT), F.col("given_id"), append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), CONFIG)
+    return made.events.select("seq", "event_ts_c", "recorded_at_c", "content_hash")
+
+
+def append_stream(spark, sf_dir):
+    """Micro-batches of one file each, appended one after the other."""
+    rows, folder = _incoming(spark, sf_dir), _folder(spark, "stream")
+    half = rows.agg(F.floor(F.count(F.lit(1)) / 2)).first()[0]
+    for part in (F.col("n") < half, F.col("n") >= half):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    options = {"recorded_at": F.col("timestamp"), "event_id": F.col("given_id"), "salts": append.seeded_salts(F.col("event_id"), F.col("parsed.leaves"))}
+    jobs.continuous_append(stream, f"{folder}/ledger", f"{folder}/checkpoint", ["n"], CONFIG, **options).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/ledger/events").select(*_LINKED)
+
+
+def json_ingest(spark, sf_dir):
+    """New events as JSON lines, read with their payloads as text."""
+    rows, folder = _incoming(spark, sf_dir), _folder(spark, "json")
+    names = [("eventType", "event_type"), ("actorId", "actor_id"), ("resourceType", "resource_type"), ("resourceId", "resource_id"), ("timestamp", "timestamp")]
+    rows.select(H.object_text([*[(k, json_string(F.col(c))) for k, c in names], ("payload", F.col("payload"))]).alias("value")).write.text(folder)
+    return json_io.read_new_events(spark, folder)
+
+
+def escaped_pointers(spark, sf_dir):
+    """Leaves of payloads whose keys hold what pointers escape."""
+    old = F.from_json("payload", "k string, value string")
+    payload = F.concat(F.lit('{"c~d":{"x/~y":'), old["value"], F.lit(',"list":[true,null,"é"]},"a/b":'), old["k"], F.lit("}"))
+    rows = _incoming(spark, sf_dir).select("n", parse_payload(payload).alias("p"))
+    return rows.select("n", "p.canonical", F.explode("p.leaves").alias("x")).select("n", "canonical", "x.pointer", "x.leaf")
 
 
 def append_actor_chains(spark, sf_dir):
@@ -105,6 +171,33 @@ def verify_violations(spark, sf_dir):
     return verify.row_violations(_tampered(_chain(spark, sf_dir)), config=CONFIG)
 
 
+def verify_ranges(spark, sf_dir):
+    """Parts of a chain with missing rows: before, around and after the first."""
+    events = _chain(spark, sf_dir).filter("seq % 1009 != 700")
+    found, columns = None, ["intact", "records_checked", "from_seq", "to_seq"]
+    for first, last in ((101, 600), (301, 900), (702, 1500)):
+        got = verify.verify_chain(events, from_seq=first, to_seq=last, config=CONFIG)
+        got = got.select(F.lit(first).alias("asked_from"), *columns, F.col("first_inconsistency.seq").alias("violation_seq"))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def verify_duplicates(spark, sf_dir):
+    """Rows that are there twice, which no link or hash shows."""
+    events = _chain(spark, sf_dir)
+    report = verify.verify_chain(staged(events.unionByName(events.filter("seq % 1009 = 105")), "twice"), config=CONFIG)
+    found = F.col("first_inconsistency")
+    return report.select("intact", "records_checked", found["seq"].alias("violation_seq"), found["violation_type"].alias("violation_type"), found["detail"].alias("detail"))
+
+
+def verify_increments(spark, sf_dir):
+    """Two incremental checks; a row is changed between them."""
+    events, folder = _chain(spark, sf_dir), _folder(spark, "checks")
+    jobs.incremental_verify(events.filter("seq <= 500"), folder, CONFIG)
+    jobs.incremental_verify(events.withColumn("actor_id", F.when(F.col("seq") == 700, "mallory").otherwise(F.col("actor_id"))), folder, CONFIG)
+    return spark.read.schema(jobs.CHECKS).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def verify_gaps(spark, sf_dir):
     events = _hashed(spark, sf_dir).select("seq").filter("seq % 1009 != 700")
     last = events.agg(F.max("seq")).first()[0] or 0
@@ -128,6 +221,25 @@ def query_filter(spark, sf_dir):
     return query.find_events(_chain(spark, sf_dir), where).select("seq", "event_id", "actor_id", "resource_id", "event_ts_c")
 
 
+def query_by_event_id(spark, sf_dir):
+    events = _hashed(spark, sf_dir)
+    return query.by_event_id(events, events.filter("seq = 42").first()["event_id"]).select("seq", "event_id", "content_hash")
+
+
+def query_by_event_ids(spark, sf_dir):
+    wanted = _incoming(spark, sf_dir).filter("n % 97 = 1").select(F.col("given_id").alias("event_id"))
+    return query.by_event_ids(_hashed(spark, sf_dir), wanted).select("seq", "event_id", "content_hash")
+
+
+def query_seq_range(spark, sf_dir):
+    return query.seq_range(_hashed(spark, sf_dir), 101, 250).select("seq", "event_id", "content_hash")
+
+
+def query_by_seqs(spark, sf_dir):
+    wanted = _incoming(spark, sf_dir).filter("n % 89 = 2").select((F.col("n") * 2).alias("seq"))
+    return query.by_seqs(_hashed(spark, sf_dir), wanted).select("seq", "event_id", "content_hash")
+
+
 def query_page(spark, sf_dir):
     where = query.EventFilter(resource_id="acct-2")
     return query.page(_chain(spark, sf_dir), where, 1, 20, _redactions(spark, sf_dir)).select("seq", "event_id", "payload_json", F.array_join("redacted_paths", ",").alias("redacted_paths"), "archived")
@@ -198,6 +310,24 @@ def redact_then_verify(spark, sf_dir):
     return report.select("intact", "records_checked")
 
 
+def redact_again(spark, sf_dir):
+    """The same requests where some leaves were redacted by earlier runs."""
+    chain = _chain(spark, sf_dir)
+    done = redact.redact(chain, _redactions(spark, sf_dir), staged(_requests(chain), "requests"), "run-1", F.lit(NOW), CONFIG)
+    return done.rejected
+
+
+def redact_meta_events(spark, sf_dir):
+    return _redacted(spark, sf_dir).meta_events.select("request_id", "event_type", "actor_id", "resource_type", "resource_id", "payload")
+
+
+def redaction_table(spark, sf_dir):
+    """Redactions written to their table and read from it."""
+    folder = _folder(spark, "redactions")
+    write_redactions(_redacted(spark, sf_dir).redactions, folder)
+    return read_redactions(spark, folder).select("event_seq", "field_path", "redaction_id", "field_commitment", "field_salt", "salt_retained", "reason", "redacted_by")
+
+
 def disclosure_proof(spark, sf_dir):
     disclosed = _hashed(spark, sf_dir).withColumn("parsed", parse_payload(F.col("payload_json"))).filter("seq % 8 in (3, 4)")
     leaf = F.when(F.col("seq") % 5 == 0, F.lit("N0")).otherwise(F.element_at(F.map_from_entries("parsed.leaves"), F.lit("/value")))
@@ -215,6 +345,20 @@ def retention_split(spark, sf_dir):
     return kept.join(done.copies.select("seq", F.col("payload_json").alias("copy")), "seq", "left")
 
 
+def retention_tables(spark, sf_dir):
+    """Retention on stored tables: copies go to the archive, then a new version
+    of the event table replaces the old one."""
+    folder = _folder(spark, "retention")
+    table = EventTable(spark, f"{folder}/events")
+    table.create(_chain(spark, sf_dir))
+    done = retention.run_retention(table.read(), NOW, LedgerConfig(retention_window=timedelta(days=15)))
+    write_archive(done.copies, f"{folder}/archive")
+    table.replace(done.events)
+    copies = read_archive(spark, f"{folder}/archive").select("seq", F.col("payload_json").alias("copy"))
+    kept = table.read().select("seq", F.col("archived_at").isNotNull().alias("archived"), F.col("payload_json").isNull().alias("gone"), "record_hash")
+    return kept.join(copies, "seq", "left").withColumn("version", F.lit(table.current()[0]).cast("long"))
+
+
 def _bundles(spark, sf_dir) -> tuple[DataFrame, bundle.Bundles]:
     chain = _chain(spark, sf_dir)
     selection, filters = bundle.select_by(chain, "resource_id", "resourceId")
@@ -239,16 +383,37 @@ def bundle_check(spark, sf_dir):
             "record_hash": F.when(at == 300, F.lit("0" * 64)).otherwise(F.col("record_hash")),
         }
     )
-    found = bundle.verify_bundles(bundle.Bundles(made.headers, forged, made.segments), CONFIG.hmac_secret)
+    found = bundle.verify_bundles(bundle.Bundles(made.headers, forged, made.segments), CONFIG.hmac_secret, listed=True)
     return found.select("bundle_key", "valid", F.array_join("problems", ";").alias("problems"))
 
 
+def bundle_of_one(spark, sf_dir):
+    """The export that exactly one of resource and actor selects."""
+    column, value = bundle.selector(resource_id="acct-7", actor_id=" ")
+    chain = _chain(spark, sf_dir)
+    selection, filters = bundle.select_by(chain.filter(F.col(column) == value), column, "resourceId")
+    return bundle.export_bundles(chain, selection, filters, EXPORTED_AT, config=CONFIG).headers.select("bundle_key", "filter_type", "filter_value", "bundle_hash")
+
+
+def bundle_json(spark, sf_dir):
+    """Bundles written as JSON texts, read again and checked."""
+    _, made = _bundles(spark, sf_dir)
+    folder = _folder(spark, "bundles")
+    json_io.write_bundles(made, folder)
+    return bundle.verify_bundles(json_io.read_bundles(spark, folder), CONFIG.hmac_secret).select("bundle_key", "valid")
+
+
+def _windows_of(events: DataFrame) -> DataFrame:
+    """Two requests for every account: a window in time, and all of it."""
+    spark = events.sparkSession
+    accounts = events.select("resource_type", "resource_id").distinct()
+    windows = accounts.crossJoin(F.broadcast(spark.createDataFrame([("w1", "2024-01-03T00:00:00.000000000Z", "2024-01-09T06:30:00.500000000Z"), ("w2", None, None)], "w string, from_c string, to_c string")))
+    return windows.select(F.concat_ws("/", "resource_type", "resource_id", "w").alias("request_id"), "resource_type", "resource_id", "from_c", "to_c", F.lit("auditor").alias("requested_by"))
+
+
 def _access(spark, sf_dir) -> compliance.AccessReports:
     chain = _chain(spark, sf_dir)
-    accounts = chain.select("resource_type", "resource_id").distinct()
-    windows = accounts.crossJoin(spark.createDataFrame([("w1", "2024-01-03T00:00:00.000000000Z", "2024-01-09T06:30:00.500000000Z"), ("w2", None, None)], "w string, from_c string, to_c string"))
-    requests = windows.select(F.concat_ws("/", "resource_type", "resource_id", "w").alias("request_id"), "resource_type", "resource_id", "from_c", "to_c", F.lit("auditor").alias("requested_by"))
-    return compliance.access_reports(chain, staged(requests, "requests"), EXPORTED_AT, config=CONFIG)
+    return compliance.access_reports(chain, staged(_windows_of(chain), "requests"), EXPORTED_AT, config=CONFIG)
 
 
 def compliance_headers(spark, sf_dir):
@@ -259,6 +424,17 @@ def compliance_entries(spark, sf_dir):
     return _access(spark, sf_dir).entries.select("request_id", "seq", "event_id", "event_type", "actor_id", "event_ts_c")
 
 
+def compliance_meta_events(spark, sf_dir):
+    return _access(spark, sf_dir).meta_events.select("request_id", "event_type", "actor_id", "resource_type", "resource_id", "payload")
+
+
+def compliance_capped(spark, sf_dir):
+    """Each request looks at its first five rows only, before types are filtered."""
+    events = _hashed(spark, sf_dir)
+    requests = _windows_of(events).filter(F.col("resource_type") == "CLIENT_ACCOUNT")
+    return compliance.matched_events(events, requests, CONFIG, scan_cap=5)
+
+
 def compliance_rejects(spark, sf_dir):
     return _access(spark, sf_dir).rejected
 
@@ -276,10 +452,12 @@ def hmacs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        leaf_commitments, content_hashes, append_chain, append_actor_chains, append_head, append_validation, verify_report, verify_tampered_report, verify_violations,
-        verify_gaps, verify_deep, archived_runs, query_filter, query_page, query_page_after, query_page_info, redacted_paths, redact_rejects, redact_rows, redact_events,
-        redact_then_verify, disclosure_proof, retention_result, retention_split, bundle_segments, bundle_headers, bundle_check, compliance_headers, compliance_entries,
-        compliance_rejects, canonical_strings, hmacs,
+        leaf_commitments, content_hashes, append_chain, append_in_batches, append_default_time, append_stream, append_actor_chains, append_head, append_validation,
+        json_ingest, escaped_pointers, verify_report, verify_tampered_report, verify_violations, verify_ranges, verify_duplicates, verify_increments, verify_gaps,
+        verify_deep, archived_runs, query_filter, query_by_event_id, query_by_event_ids, query_seq_range, query_by_seqs, query_page, query_page_after, query_page_info,
+        redacted_paths, redact_rejects, redact_rows, redact_events, redact_then_verify, redact_again, redact_meta_events, redaction_table, disclosure_proof,
+        retention_result, retention_split, retention_tables, bundle_segments, bundle_headers, bundle_of_one, bundle_json, bundle_check, compliance_headers,
+        compliance_entries, compliance_rejects, compliance_meta_events, compliance_capped, canonical_strings, hmacs,
     )
 }
 

@@ -16,7 +16,9 @@ def _hmac(text: str) -> str:
     return f"sha256({_blob(0x5C)} || unhex(sha256({_blob(0x36)} || encode({text}))))"
 
 
-HASHED = f"""
+
+def _hashed(event_ts: str = "ts_c", recorded_at: str = "ts_c") -> str:
+    return f"""
 WITH raw AS (
   SELECT event_id AS n, event_id + 1 AS seq, sha256('event-' || event_id) AS d, user_id, upper(event_type) AS kind,
     json_extract_string(props, '$.k') AS k, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS v,
@@ -34,11 +36,14 @@ committed AS (
   FROM salted),
 hashed AS (
   SELECT *, '{{"/k":"' || sk || '","/value":"' || sv || '"}}' AS salts_json, '{{"/k":"' || ck || '","/value":"' || cv || '"}}' AS commitments_json,
-    sha256('{{"actorId":"' || actor_id || '","eventId":"' || event_id || '","eventTimestamp":"' || ts_c || '","eventType":"' || event_type
-      || '","payloadLeafHashes":{{"/k":"' || ck || '","/value":"' || cv || '"}},"recordedAt":"' || ts_c || '","resourceId":"' || resource_id
+    sha256('{{"actorId":"' || actor_id || '","eventId":"' || event_id || '","eventTimestamp":"' || {event_ts} || '","eventType":"' || event_type
+      || '","payloadLeafHashes":{{"/k":"' || ck || '","/value":"' || cv || '"}},"recordedAt":"' || {recorded_at} || '","resourceId":"' || resource_id
       || '","resourceType":"' || resource_type || '","seq":' || seq || ',"v":1}}') AS content_hash
   FROM committed)"""
 
+
+HASHED = _hashed()
+
 # The fold keeps all hashes so far in one text, the last one first.
 _FOLD = "list_reduce({0}, lambda acc, x: sha256('REC1' || chr(31) || substr(acc, 1, 64) || chr(31) || x) || acc, '" + GENESIS + "')"
 
@@ -89,7 +94,66 @@ _MATCHED = """matched AS (
     AND h.event_type IN ('ACCOUNT_VIEWED', 'ACCOUNT_SEARCHED') AND (from_c IS NULL OR ts_c >= from_c) AND (to_c IS NULL OR ts_c < to_c)
   WHERE r.resource_type = 'CLIENT_ACCOUNT')"""
 
+_AT = "2026-01-01T00:00:00.000000000Z"
+_EVENT_TIME = f"CASE WHEN n % 3 = 0 THEN '{_AT}' ELSE ts_c END"
+_LINKED = f"{CHAIN} SELECT seq, event_id, ts_c AS event_ts_c, content_hash, prev_hash, record_hash FROM chain"
+_SHORT = "coalesce(replace(replace({0}, '.000000000Z', 'Z'), '500000000Z', '500Z'), 'null')"
+_TAKEN = "seq % 8 = 3"
+
+_REPORTS = (
+    _bundles(f"WITH {_WINDOWS}, {_MATCHED} SELECT request_id AS bundle_key, 'complianceAccessReport' AS filter_type, filter_value, seq FROM matched")
+    + f""", {_WINDOWS}, {_MATCHED},
+counted AS (SELECT request_id, coalesce(min(seq), 0) AS from_seq, coalesce(max(seq), 0) AS to_seq, count(seq) AS matched_count FROM matched GROUP BY request_id),
+reports AS (SELECT request_id, resource_type, resource_id, from_c, to_c, from_seq, to_seq, matched_count, true AS chain_intact, bundle_hash,
+  sha256(resource_type || chr(31) || resource_id || chr(31) || {_SHORT.format('from_c')} || chr(31)
+    || {_SHORT.format('to_c')} || chr(31) || bundle_hash || chr(31) || matched_count) AS report_hash
+FROM counted JOIN requests USING (request_id) JOIN headers ON bundle_key = request_id)"""
+)
+_REPORT_EVENTS = f""" SELECT request_id, 'COMPLIANCE_REPORT_GENERATED' AS event_type, 'auditor' AS actor_id, resource_type, resource_id,
+  '{{"resourceType":"' || resource_type || '","resourceId":"' || resource_id || '","from":"' || {_SHORT.format('from_c')} || '","to":"' || {_SHORT.format('to_c')}
+    || '","requestedBy":"auditor","matchedCount":' || matched_count || ',"reportHash":"' || report_hash || '","bundleHash":"' || bundle_hash || '"}}' AS payload FROM reports"""
+
 ORACLE_SQL = {
+    "append_in_batches": _LINKED,
+    "append_stream": _LINKED,
+    "append_default_time": f"{_hashed(_EVENT_TIME, repr(_AT))} SELECT seq, {_EVENT_TIME} AS event_ts_c, '{_AT}' AS recorded_at_c, content_hash FROM hashed",
+    "json_ingest": f"{HASHED} SELECT event_type, actor_id, resource_type, resource_id, payload, ts_c AS timestamp FROM hashed",
+    "escaped_pointers": f"""{HASHED},
+p AS (SELECT n, k, v, '{{"a/b":' || k || ',"c~d":{{"list":[true,null,"é"],"x/~y":' || v || '}}}}' AS canonical FROM hashed)
+SELECT n, canonical, unnest(['/c~0d/x~1~0y', '/c~0d/list/0', '/c~0d/list/1', '/c~0d/list/2', '/a~1b']) AS pointer, unnest(['N' || v, 'Btrue', 'Z', 'Sé', 'N' || k]) AS leaf FROM p""",
+    "verify_ranges": """WITH kept AS (SELECT event_id + 1 AS seq FROM events WHERE (event_id + 1) % 1009 != 700), r(a, z) AS (VALUES (101, 600), (301, 900), (702, 1500)),
+b AS (SELECT a, least(z, (SELECT max(seq) FROM kept)) AS z FROM r),
+g AS (SELECT a, z, (SELECT min(x) FROM (SELECT unnest(range(a, z + 1)) AS x) WHERE x NOT IN (SELECT seq FROM kept)) AS gap FROM b)
+SELECT a AS asked_from, gap IS NULL AS intact, greatest(coalesce(gap, z) - a + 1, 0)::BIGINT AS records_checked, a::BIGINT AS from_seq, coalesce(gap, z)::BIGINT AS to_seq, gap::BIGINT AS violation_seq FROM g""",
+    "verify_duplicates": f"""{HASHED} SELECT false AS intact, 105::BIGINT AS records_checked, 105::BIGINT AS violation_seq, 'DUPLICATE_KEY' AS violation_type,
+  '2 rows have event_id ' || event_id AS detail FROM hashed WHERE seq = 105""",
+    "verify_increments": """SELECT 0::BIGINT AS batch_id, 1::BIGINT AS from_seq, 500::BIGINT AS to_seq, true AS intact, NULL::BIGINT AS violation_seq, NULL AS violation_type
+UNION ALL SELECT 1, 501, 700, false, 700, 'CONTENT_HASH_MISMATCH'""",
+    "query_by_event_id": f"{HASHED} SELECT seq, event_id, content_hash FROM hashed WHERE seq = 42",
+    "query_by_event_ids": f"{HASHED} SELECT seq, event_id, content_hash FROM hashed WHERE n % 97 = 1",
+    "query_seq_range": f"{HASHED} SELECT seq, event_id, content_hash FROM hashed WHERE seq BETWEEN 101 AND 250",
+    "query_by_seqs": f"{HASHED} SELECT seq, event_id, content_hash FROM hashed WHERE seq IN (SELECT event_id * 2 FROM events WHERE event_id % 89 = 2)",
+    "redact_again": f"""WITH r AS (SELECT event_id + 1 AS seq, printf('%012d', event_id + 1) AS id FROM events), told AS (
+  SELECT 'a' || id AS request_id, CASE WHEN seq % 50 = 1 AND {_TAKEN} THEN '/value is already redacted on seq ' || seq WHEN seq % 50 = 1 THEN 'payload has no leaf at /none'
+    WHEN seq % 50 = 2 THEN '/k is already redacted on seq ' || seq WHEN seq % 50 = 3 THEN 'fieldPaths must not be empty' WHEN seq % 50 = 4 THEN 'no audit event nobody'
+    WHEN {_TAKEN} THEN '/value is already redacted on seq ' || seq END AS reason FROM r WHERE {_REQUESTED}
+  UNION ALL SELECT 'b' || id, CASE WHEN seq % 50 = 4 THEN 'no audit event nobody' WHEN {_TAKEN} THEN '/value is already redacted on seq ' || seq
+    ELSE 'a leaf is redacted by an earlier request on seq ' || seq END FROM r WHERE seq % 10 = 4)
+SELECT request_id, reason FROM told WHERE reason IS NOT NULL""",
+    "redact_meta_events": f"""{HASHED} SELECT 'a' || printf('%012d', seq) AS request_id, 'AUDIT_RECORD_REDACTED' AS event_type, 'dpo' AS actor_id, 'AUDIT_EVENT' AS resource_type,
+  event_id AS resource_id, '{{"targetEventId":"' || event_id || '","targetSeq":' || seq || ',"reason":"erasure","redactedBy":"dpo","saltRetained":'
+    || CASE WHEN seq % 20 < 10 THEN 'true' ELSE 'false' END || ',"fieldPaths":["/value"]}}' AS payload FROM hashed WHERE {_WON}""",
+    "redaction_table": f"""{HASHED} SELECT seq AS event_seq, '/value' AS field_path, {_UUID.format(_REDACTION_ID)} AS redaction_id, cv AS field_commitment,
+  CASE WHEN seq % 20 < 10 THEN sv END AS field_salt, seq % 20 < 10 AS salt_retained, 'erasure' AS reason, 'dpo' AS redacted_by FROM hashed WHERE {_WON}""",
+    "retention_tables": f"""{CHAIN} SELECT seq, ts < TIMESTAMP '2024-01-17' AS archived, ts < TIMESTAMP '2024-01-17' AS gone, record_hash,
+  CASE WHEN ts < TIMESTAMP '2024-01-17' THEN payload END AS copy, 2::BIGINT AS version FROM chain""",
+    "bundle_of_one": f"{_BY_RESOURCE} SELECT bundle_key, filter_type, filter_value, bundle_hash FROM headers WHERE filter_value = 'acct-7'",
+    "bundle_json": "SELECT DISTINCT 'resourceId=acct-' || (user_id % 40) AS bundle_key, true AS valid FROM events",
+    "compliance_capped": f"""{HASHED}, {_WINDOWS},
+seen AS (
+  SELECT r.request_id, h.seq, h.event_type, row_number() OVER (PARTITION BY r.request_id ORDER BY h.seq) AS place FROM requests r JOIN hashed h ON h.resource_type = r.resource_type
+    AND h.resource_id = r.resource_id AND (from_c IS NULL OR ts_c >= from_c) AND (to_c IS NULL OR ts_c < to_c) WHERE r.resource_type = 'CLIENT_ACCOUNT')
+SELECT request_id, seq FROM seen WHERE place <= 5 AND event_type IN ('ACCOUNT_VIEWED', 'ACCOUNT_SEARCHED')""",
     "leaf_commitments": f"{HASHED} SELECT seq, '/k' AS pointer, ck AS commitment FROM hashed UNION ALL SELECT seq, '/value', cv FROM hashed",
     "content_hashes": f"{HASHED} SELECT seq, event_id, content_hash FROM hashed",
     "append_chain": f"{CHAIN} SELECT seq, event_id, ts_c AS event_ts_c, content_hash, prev_hash, record_hash FROM chain",
@@ -160,13 +224,8 @@ p AS (
   UNION ALL SELECT y.bundle_key, 'broken chain link at seq ' || y.seq FROM b x JOIN b y ON y.seq = x.seq + 1 AND y.bundle_key = x.bundle_key WHERE x.seq % 503 = 300)
 SELECT bundle_key, count(problem) = 0 AS valid, coalesce(string_agg(problem, ';' ORDER BY problem), '') AS problems
 FROM (SELECT DISTINCT bundle_key FROM b) LEFT JOIN p USING (bundle_key) GROUP BY bundle_key""",
-    "compliance_headers": _bundles(f"WITH {_WINDOWS}, {_MATCHED} SELECT request_id AS bundle_key, 'complianceAccessReport' AS filter_type, filter_value, seq FROM matched")
-    + f""", {_WINDOWS}, {_MATCHED},
-counted AS (SELECT request_id, coalesce(min(seq), 0) AS from_seq, coalesce(max(seq), 0) AS to_seq, count(seq) AS matched_count FROM matched GROUP BY request_id)
-SELECT request_id, from_seq, to_seq, matched_count, true AS chain_intact, bundle_hash,
-  sha256(resource_type || chr(31) || resource_id || chr(31) || coalesce(replace(replace(from_c, '.000000000Z', 'Z'), '500000000Z', '500Z'), 'null') || chr(31)
-    || coalesce(replace(replace(to_c, '.000000000Z', 'Z'), '500000000Z', '500Z'), 'null') || chr(31) || bundle_hash || chr(31) || matched_count) AS report_hash
-FROM counted JOIN requests USING (request_id) JOIN headers ON bundle_key = request_id""",
+    "compliance_headers": _REPORTS + " SELECT request_id, from_seq, to_seq, matched_count, chain_intact, bundle_hash, report_hash FROM reports",
+    "compliance_meta_events": _REPORTS + _REPORT_EVENTS,
     "compliance_entries": f"{HASHED}, {_WINDOWS}, {_MATCHED} SELECT request_id, h.seq, event_id, event_type, actor_id, ts_c AS event_ts_c FROM matched m JOIN hashed h USING (seq)",
     "compliance_rejects": f"""{HASHED}, {_WINDOWS} SELECT request_id,
   'resourceType ''' || resource_type || ''' is not classified as client account data; allowed: [CLIENT_ACCOUNT, CLIENT_ACCOUNT_STATEMENT]' AS reason

@@ -47,7 +47,7 @@ class EventTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def versions(self) -> DataFrame:
-        return self.spark.read.schema("number long, name string").parquet(f"{self.path}/current")
+        return self.spark.read.schema("number long, name string").option("recursiveFileLookup", "true").parquet(f"{self.path}/current")
 
     def current(self) -> tuple[int, str]:
         row = self.versions().agg(F.max("number").alias("number"), F.max_by("name", "number").alias("name")).first()
@@ -68,6 +68,9 @@ class EventTable:
         self._publish(events, self.current()[0] + 1)
 
     def _publish(self, events: DataFrame, number: int) -> None:
+        """Each number's pointer has a folder of its own and is never overwritten:
+        of two writers that replace the same version, the later one fails."""
         name = f"v{number}-{uuid.uuid4().hex[:8]}"
         write_events(events, f"{self.path}/{name}")
-        self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
+        pointer = self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1)
+        pointer.write.mode("errorifexists").parquet(f"{self.path}/current/number={number}")

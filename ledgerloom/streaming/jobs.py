@@ -14,35 +14,37 @@ BATCHES = "batch_id long, last_seq long, last_hash string"
 CHECKS = "batch_id long, from_seq long, to_seq long, intact boolean, violation_seq long, violation_type string"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path).cache()
-    except Exception as e:  # the folder doesn't exist before the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def _state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows below a folder of parts; an empty first part makes the folder."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/part=none")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _note(row: DataFrame, path: str, number: int) -> None:
+    """Write the row of a number; a repeat replaces it."""
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/part={number}")
 
 
 def continuous_append(stream: DataFrame, events_path: str, checkpoint: str, order: list[str] | None = None, config: LedgerConfig = LedgerConfig(), **append_options):
     """Append each micro-batch to the event table, one at a time.
 
-    A batch is written below its number, so a batch that runs again after a
-    failure replaces its own rows; the head is that of the batches before it.
+    A batch is written below its number, and so is its head. A batch that runs
+    again after a failure replaces both, though ids and salts are drawn anew;
+    the head it goes on from is that of the batches before it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = None
         if batch_id:
-            known = _table(spark, f"{events_path}/batches", BATCHES).filter(F.col("batch_id") < batch_id)
+            known = _state(spark, f"{events_path}/batches", BATCHES).filter(F.col("batch_id") < batch_id)
             before = known.agg(F.max_by(F.struct("last_seq", "last_hash"), "batch_id").alias("head")).first()["head"]
         head = (before["last_seq"], before["last_hash"]) if before else (0, config.genesis)
         made = append_events(batch, head, order, config=config, **append_options)
         write_events(made.events, f"{events_path}/events/batch={batch_id}", "overwrite")
         last = chain_head(read_events(spark, f"{events_path}/events/batch={batch_id}"), config)
         last = last if last[0] else head
-        done = spark.createDataFrame([(batch_id, *last)], BATCHES)
-        done.coalesce(1).write.mode("append").parquet(f"{events_path}/batches")
+        _note(spark.createDataFrame([(batch_id, *last)], BATCHES), f"{events_path}/batches", batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -51,7 +53,7 @@ def incremental_verify(events: DataFrame, state_path: str, config: LedgerConfig
     """Check what lies past the last seq that a run found intact, anchored at
     the record before it, and note the result in the state table."""
     spark = events.sparkSession
-    done = _table(spark, state_path, CHECKS)
+    done = _state(spark, state_path, CHECKS)
     last = done.filter("intact").agg(F.coalesce(F.max("to_seq"), F.lit(0))).first()[0]
     number = done.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0] + 1
     report = verify_chain(events, from_seq=last + 1, config=config) if last else verify_chain(events, config=config)
@@ -61,7 +63,7 @@ def incremental_verify(events: DataFrame, state_path: str, config: LedgerConfig
     )
     result = row.first()
     if result["to_seq"] >= result["from_seq"]:
-        spark.createDataFrame([tuple(result)], CHECKS).coalesce(1).write.mode("append").parquet(state_path)
+        _note(spark.createDataFrame([tuple(result)], CHECKS), state_path, result["batch_id"])
     return spark.createDataFrame([tuple(result)], CHECKS)
 
 

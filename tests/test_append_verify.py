@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import GENESIS
+from ledgerloom.functions import hashing as H
 from ledgerloom.operators import append, verify
-from ledgerloom.operators.tables import with_dense_seq
+from ledgerloom.operators.tables import staged, with_dense_seq
 from tests.ledger import SEED, chain, changed, event_id, incoming, report
 
 
@@ -164,3 +165,30 @@ def test_report_against_a_walk(spark):
 def test_no_full_rows_in_one_partition(spark):
     plan = verify.row_violations(chain(spark))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_duplicate_keys_are_told(spark):
+    """An exact copy of a row, and a second row whose hashes are sound."""
+    events = chain(spark, [("A", "a", "r", f'{{"k":{i}}}') for i in range(5)])
+    twice = staged(events.unionByName(events.filter("seq = 3")), "twice")
+    got = report(verify.verify_chain(twice))
+    assert not got["intact"] and got["first_inconsistency"]["violation_type"] == "DUPLICATE_KEY"
+    assert (got["first_inconsistency"]["seq"], got["first_inconsistency"]["detail"]) == (3, f"2 rows have event_id {events.filter('seq = 3').first()['event_id']}")
+    forged = events.filter("seq = 5").withColumns({"actor_id": F.lit("mallory"), "event_id": F.lit("other")}).withColumn("content_hash", H.content_hash())
+    forged = forged.withColumn("record_hash", H.record_hash(F.col("prev_hash"), F.col("content_hash")))
+    got = report(verify.verify_chain(staged(events.unionByName(forged), "forged")))
+    assert not got["intact"] and got["first_inconsistency"]["detail"] == "2 rows have seq 5"
+    assert report(verify.verify_chain(twice, from_seq=4))["intact"]
+
+
+def test_many_archived_runs(spark):
+    rows = spark.range(1, 201).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 < 2, F.lit("2024-01-01").cast("timestamp")).alias("archived_at"))
+    got = sorted(tuple(r) for r in verify.archived_runs(rows, 2, 199).collect())
+    want, run = [], []
+    for i in range(2, 200):
+        if i % 4 < 2:
+            run.append(i)
+        elif run:
+            want.append((run[0], run[-1]))
+            run = []
+    assert got == want + ([(run[0], run[-1])] if run else [])

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import json_text as J
+from ledgerloom.functions.json_text import canonical, parse_payload
 
 
 @pytest.mark.parametrize(
@@ -82,3 +83,15 @@ def test_json_string_column(spark):
 def test_registered_for_sql(spark):
     J.register(spark)
     assert spark.sql("""SELECT parse_payload('{"b":2,"a":1}').canonical""").first()[0] == '{"a":1,"b":2}'
+
+
+def test_deep_and_infinite_values(spark):
+    deep = "[" * 1500 + "]" * 1500
+    rows = [(f'{{"a":{deep}}}',), ('{"a":1e400}',), ('{"a":-1e999}',), ("[" * 200_000,), ('{"a":1e308}',)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "t string").select(parse_payload(F.col("t")).alias("p")).collect()]
+    assert [p["is_object"] for p in got][1:4] == [False] * 3 and got[4]["is_object"]
+    assert not got[0]["is_object"] or got[0]["canonical"] == rows[0][0]
+    value = 1
+    for _ in range(50_000):
+        value = {"k": [value]}
+    assert canonical(value) == '{"k":[' * 50_000 + "1" + "]}" * 50_000
