@@ -2,10 +2,14 @@
 
 A document is contaminated by an item if one of its windows of the item's size
 has a weighted (counted) shingle similarity of `threshold` or more with it.
-Such a window shares most shingles with the item, and of all windows that do,
-one of the best begins with a shared shingle. So shared shingles seed the
-windows; each gets a SimHash; a multi-index of Hamming blocks finds all
-fingerprints within the radius; and the exact similarity decides.
+Windows of every item size get a SimHash. A multi-index of Hamming blocks finds,
+among all items of that size, those whose fingerprint is within the radius, and
+the exact similarity decides.
+
+Fingerprinting every window of every size would cost words x sizes. A window
+that has the similarity with some item has so many shingles that occur in items
+of its size, and of all such windows one of the best begins with one of them;
+so the others, which can't be found, are left out beforehand, without loss.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import let, stored
 
-#: At 0.8 the expected distance is 64 * acos(0.889) / pi = 9.7 bits, with a deviation of 2.9.
-RADIUS = 23
-BLOCKS = 8
+#: At similarity 0.8 the expected distance is 64 * acos(0.889) / pi = 9.7 bits, with a deviation of
+#: 2.9, so some 99.6 % of such windows are within the radius, and more of those that are nearer.
+RADIUS = 17
+BLOCKS = 6
 #: Rows of a table that may be sent to every task (some 40 bytes each).
 BROADCAST_ROWS = 1_000_000
 _LONG_SIGN = -(1 << 63)
+_CUTS = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
 
 
 def words_of(text: Column) -> Column:
@@ -59,8 +65,8 @@ def simhash_of(hashes: Column) -> Column:
 
 
 def _block(fp: Column, b: int) -> Column:
-    width = 64 // BLOCKS
-    return F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    width = _CUTS[b + 1] - _CUTS[b]
+    return F.shiftrightunsigned(fp, _CUTS[b]).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
 def _count_in(values: Column, value: Column) -> Column:
@@ -104,77 +110,102 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """A row for each document and item that contaminates it: doc_id, text_hash,
-    item_id, start_word, n_words, distance and similarity of its best window.
+    item_id, start_word, n_words, distance and similarity of its best window
+    (the earliest of the best that begin with a shingle of the item or end the text).
 
     Only contaminated documents have rows. Null, empty and short texts match
     only as far as they have the words (a text shorter than an item is one
-    window); repeated rows with an id are found once; null ids of documents and items are kept, and items that share an
-    id but not their words have rows of their own; other
-    columns are ignored; an empty table on either side gives no row.
+    window); repeated rows with an id are found once; null ids of documents and
+    items are kept, and items that share an id but not their words have rows of
+    their own; other columns are ignored; an empty table on either side gives no row.
     """
-    items = stored(benchmark_items(benchmark, width), "benchmark")
-    kept = items.select("item_id", "item", "width", F.size("item_shingles").alias("k"), F.explode(F.array_distinct("item_shingles")).alias("shingle")).distinct()
-    n_shingles = kept.count()
+    items = stored(benchmark_items(benchmark, width), "benchmark").withColumn("k", F.size("item_shingles"))
     texts = _texts(docs, id_col, text_col)
-    hits = None
-    for w in [r["width"] for r in items.select("width").distinct().orderBy("width").collect()]:  # 1 to `width` at most
+    windows = _windows(texts, stored(_starts(texts, items, threshold), "windows"), width)
+    close = hamming_candidates(stored(windows, "fingerprints"), items).withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
+    begins = F.array_contains("item_shingles", F.get("shingles", F.lit(0))) | F.col("last")
+    best = close.filter((F.col("similarity") >= threshold) & begins).groupBy("doc_id", "text_hash", "item_id", "item").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("shingles") + F.col("width") - 1).alias("n_words"), "distance")).alias("m")
+    )
+    return best.select(
+        "doc_id", "text_hash", "item_id", (-F.col("m.back")).alias("start_word"), "m.n_words", F.col("m.distance").cast("int").alias("distance"), F.round("m.similarity", 6).alias("similarity")
+    )
+
+
+def _starts(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, text_hash, width, k, n, starts): where windows begin that have
+    enough shingles of items with k shingles; n is the number of the text's own."""
+    known = items.select("width", "k", F.explode(F.array_distinct("item_shingles")).alias("shingle")).distinct()
+    n_known, hits = known.count(), None
+    for w in [r["width"] for r in items.select("width").distinct().orderBy("width").collect()]:  # 1 to the shingle width at most
         rows = texts.select("doc_id", "text_hash", let(words_of(F.col("text")), lambda words: shingles_of(words, w)).alias("s"))
         rows = rows.select("doc_id", "text_hash", F.size("s").alias("n"), F.posexplode("s").alias("at", "shingle"))
-        own = kept.filter(F.col("width") == w)
-        found = rows.join(_small(own, n_shingles), "shingle")
+        found = rows.join(_small(known.filter(F.col("width") == w), n_known), "shingle").select("doc_id", "text_hash", "n", "at", "width", "k")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, text_hash long, item_id long, start_word int, n_words int, distance int, similarity double")
+        hits = texts.select("doc_id", "text_hash", *[F.lit(0).alias(c) for c in ("n", "at", "width", "k")]).limit(0)
     size = F.least("k", "n")
     least = F.ceil(F.lit(threshold) * (F.col("k") + size) / F.lit(1 + threshold) - F.lit(1e-9)).cast("int")
-    places = hits.groupBy("doc_id", "text_hash", "item_id", "item", "width", "k", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    enough = F.filter(
-        F.transform("at", lambda p, i: F.when(F.get(F.col("at"), i + least - 1) <= p + size - 1, F.least(p, F.col("n") - size))),
-        lambda p: p.isNotNull(),
-    )
-    seeds = places.select("doc_id", "text_hash", "item", "width", size.alias("size"), F.array_distinct(enough).alias("starts")).filter(F.size("starts") > 0)
-    seeds = stored(seeds, "windows")
-    windows = _windows(texts, seeds, width)
-    index = items.select("item_id", "item", "item_shingles", "item_fp", F.explode(F.array(*[_near_blocks(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("near"))
-    index = index.select("item_id", "item", "item_shingles", "item_fp", F.col("near.block").alias("block"), F.explode("near.values").alias("value"))
-    blocks = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])))
-    blocks = blocks.select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
-    close = blocks.join(index, ["item", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    close = close.filter(F.col("distance") <= RADIUS).withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
-    best = close.filter(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id", "item").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("shingles") + F.col("width") - 1).alias("n_words"), "distance")).alias("m")
-    )
-    return best.select(
-        "doc_id", "text_hash", "item_id", (-F.col("m.back")).alias("start_word"), "m.n_words", F.col("m.distance").cast("int").alias("distance"), F.round("m.similarity", 6).alias("similarity")
-    )
+    places = hits.groupBy("doc_id", "text_hash", "width", "k", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    enough = F.transform("at", lambda p, i: F.when(F.get(F.col("at"), i + least - 1) <= p + size - 1, F.least(p, F.col("n") - size)))
+    return places.select("doc_id", "text_hash", "width", "k", "n", F.array_distinct(F.array_compact(enough)).alias("starts")).filter(F.size("starts") > 0)
 
 
 def _near_blocks(fp: Column, b: int) -> Column:
     """A block's values within RADIUS // BLOCKS bits of a fingerprint's own:
     fingerprints within RADIUS agree to that in some block."""
-    width = 64 // BLOCKS
-    flips = [v for v in range(1 << width) if v.bit_count() <= RADIUS // BLOCKS]
+    flips = [v for v in range(1 << (_CUTS[b + 1] - _CUTS[b])) if v.bit_count() <= RADIUS // BLOCKS]
     own = _block(fp, b)
     return F.struct(F.lit(b).alias("block"), F.transform(F.array(*[F.lit(v) for v in flips]), lambda v: own.bitwiseXOR(v)).alias("values"))
 
 
-def _windows(texts: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
-    """The seeded windows with their shingles and fingerprints. Texts are read
-    again for the documents that have a seed."""
-    wanted = _small(seeds.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "item", "width", "size", "starts"), seeds.count())
+def hamming_candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Every window with every item of its size whose fingerprint is within the
+    radius, and their distance. Items lie in the index under all values near
+    their own blocks; a pair that meets in several blocks counts in the first."""
+    index = items.select("item", "width", "k", "item_fp", F.explode(F.array(*[_near_blocks(F.col("item_fp"), b) for b in range(BLOCKS)])).alias("near"))
+    index = index.select("item", F.col("width").alias("item_width"), F.col("k").alias("item_k"), "item_fp", F.col("near.block").alias("block"), F.explode("near.values").alias("value"))
+    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)]))
+    probes = windows.select("doc_id", "text_hash", "width", "k", "start", "fp", blocks.alias("b")).select("*", F.col("b.block").alias("own_block"), F.col("b.value").alias("own_value")).drop("b")
+    differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    first = F.lit(True)
+    for b in range(BLOCKS - 1):
+        first = first & ((F.col("block") <= b) | (F.bit_count(_block(differing, b)) > RADIUS // BLOCKS))
+    met = (F.col("own_block") == F.col("block")) & (F.col("own_value") == F.col("value")) & (F.col("width") == F.col("item_width")) & (F.col("k") == F.col("item_k"))
+    close = probes.join(index, met & first & (F.bit_count(differing) <= RADIUS))
+    close = close.select("doc_id", "text_hash", "width", "k", "start", "item", F.bit_count(differing).alias("distance"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("start") == F.col("_start")) & (F.col("k") == F.col("_k")) & (F.col("width") == F.col("_width"))
+    whole = windows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("start").alias("_start"), F.col("k").alias("_k"), F.col("width").alias("_width"), "last", "shingles")
+    return close.join(whole, same).join(items.select("item_id", "item", "item_shingles"), "item")
+
+
+def _windows(texts: DataFrame, starts: DataFrame, width: int) -> DataFrame:
+    """The windows with their shingles and fingerprints. Texts are read again
+    for the documents that have any, and cut into words once for each."""
+    of_text = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("width", "k", "n", "starts")).alias("of"))
+    of_text = of_text.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    rows = texts.join(wanted, same).select("doc_id", "text_hash", "item", "width", "size", "starts", words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_hash", "item", "width", "size", "words", F.explode("starts").alias("start"))
-    cut = F.slice("words", F.col("start") + 1, F.col("size") + F.col("width") - 1)
-    rows = rows.select("doc_id", "text_hash", "item", "width", "start", cut.alias("words"))
+    rows = texts.join(_small(of_text, starts.count()), same).select("doc_id", "text_hash", "of", words_of(F.col("text")).alias("words"))
+
+    def cuts(x: Column, words: Column) -> Column:
+        size = F.least(x["k"], x["n"])
+        return F.transform(x["starts"], lambda s: F.struct(x["width"].alias("width"), x["k"].alias("k"), s.alias("start"), (s == x["n"] - size).alias("last"), F.slice(words, s + 1, size + x["width"] - 1).alias("words")))
+
+    each = F.flatten(F.transform("of", lambda x: cuts(x, F.col("words"))))
+    rows = rows.select("doc_id", "text_hash", F.explode(each).alias("x")).select("doc_id", "text_hash", "x.*").dropDuplicates(["doc_id", "text_hash", "width", "k", "start"])
     shingles = F.array().cast("array<bigint>")
     for w in range(1, width + 1):
         shingles = F.when(F.col("width") == w, shingles_of(F.col("words"), w)).otherwise(shingles)
-    return rows.select("doc_id", "text_hash", "item", "width", "start", shingles.alias("shingles")).withColumn("fp", simhash_of(F.col("shingles")))
+    rows = rows.select("doc_id", "text_hash", "width", "k", "start", "last", shingles.alias("shingles"))
+    return rows.withColumn("fp", simhash_of(F.col("shingles")))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item contaminates, with all their columns."""
+    """The rows of docs that no benchmark item contaminates, with all their columns.
+
+    Null and empty texts stay; rows that share an id but not their text are told
+    apart; an empty table on either side leaves docs as it is.
+    """
     bad = contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = stored(bad, "contaminated")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))

@@ -64,7 +64,36 @@ def test_against_brute_force(spark):
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.contaminated(df, benchmark).collect()}
     expected = brute(docs, items, 0.8)
-    assert got == expected and len(expected) > 20
+    assert got.items() <= expected.items() and len(expected) > 20
+    assert len(got) >= 0.98 * len(expected)
+    assert all(k in got for k, v in expected.items() if v >= 0.9)
+
+
+def test_recall_at_the_threshold(spark):
+    """Passages with edits that leave a similarity just above 0.8."""
+    rng = random.Random(9)
+    items = {i: " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(45, 90))) for i in range(60)}
+    docs = {}
+    for d in range(600):
+        copy = words(items[d % 60])
+        for at in rng.sample(range(6, len(copy) - 6), 1):
+            copy[at] = "changed"
+        if len(copy) > 70:
+            copy[3] = "again"
+        docs[d] = " ".join([f"x{rng.randrange(5000)}" for _ in range(rng.randint(0, 30))] + copy + ["tail"] * rng.randint(0, 3))
+    expected = {k: v for k, v in brute(docs, items, 0.8).items() if v < 0.88}
+    frames = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.contaminated(*frames).collect()}
+    found = sum(got.get(k) == v for k, v in expected.items())
+    assert len(expected) > 200 and found >= 0.95 * len(expected), (found, len(expected))
+
+
+def test_blocks_find_items_that_no_shingle_names(spark):
+    """The index is searched among all items of a window's size, by fingerprint alone."""
+    items = spark.createDataFrame([(1, 11, 5, 20, 0b0111), (2, 12, 5, 20, -1), (3, 13, 5, 21, 0)], "item_id long, item long, width int, k int, item_fp long")
+    items = items.withColumn("item_shingles", F.array(F.lit(1).cast("long")))
+    windows = spark.createDataFrame([(7, 70, 5, 20, 4, True, [1], 0)], "doc_id long, text_hash long, width int, k int, start int, last boolean, shingles array<long>, fp long")
+    assert [(r["item_id"], r["distance"]) for r in D.hamming_candidates(windows, items).collect()] == [(1, 3)]
 
 
 def test_tables_against_brute_force(small):
@@ -94,8 +123,8 @@ def test_blocks_find_all_within_the_radius():
         b = a
         for bit in rng.sample(range(64), rng.randint(0, D.RADIUS)):
             b ^= 1 << bit
-        width = 64 // D.BLOCKS
-        assert any(((a ^ b) >> width * i & ((1 << width) - 1)).bit_count() <= D.RADIUS // D.BLOCKS for i in range(D.BLOCKS))
+        blocks = [((a ^ b) >> lo & (1 << hi - lo) - 1).bit_count() for lo, hi in zip(D._CUTS, D._CUTS[1:])]
+        assert sum(blocks) == (a ^ b).bit_count() and min(blocks) <= D.RADIUS // D.BLOCKS
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
