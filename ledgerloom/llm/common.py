@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.tables import shared_dir
+
 MASK32 = 0xFFFFFFFF
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
-    Only where a session names none (tests on one machine) a temporary folder
-    is set as the checkpoint folder.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    hadoop_dir = spark.sparkContext.getCheckpointDir()
-    if hadoop_dir is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-        hadoop_dir = spark.sparkContext.getCheckpointDir()
-    return hadoop_dir.rstrip("/")
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder for what `stored` writes within the block; it goes at the end of
+    the block, so what is wanted beyond it is stored as lasting."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage
     ends there, so a lost executor costs one read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = None if lasting else _scratch.get()
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,17 +1,21 @@
 """Secret scans over an incremental blob ledger, in SQL functions.
 
 Every text is a version of the blob named by its SHA-256. A ledger holds the
-(blob, rule version) pairs that were scanned; a run scans the pairs that it
-lacks and joins the findings back to all paths with that blob.
+(blob, rule version) pairs that were scanned, with their findings; a run scans
+the pairs that it lacks, adds them, and findings are joined back to all paths
+with that blob.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,16 +39,28 @@ KEY_FILE_RULES = (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),)
 RULE_SETS = {1: BASE_RULES, 2: KEY_FILE_RULES}
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
-LEDGER_SCHEMA = "blob string, rule_version int"
-FINDINGS_SCHEMA = f"blob string, rule_version int, spans {SPAN}"
+LEDGER_SCHEMA = f"blob string, rule_version int, spans {SPAN}"
+
 
+class Ledger:
+    """The scanned (blob, rule version) pairs and their spans, as a folder of
+    Parquet tables with one for each run. A run's table has its number, so a run
+    that is repeated replaces its own rows. `runs` says how many were completed;
+    what lies beyond them isn't read."""
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER_SCHEMA)
+    def __init__(self, spark: SparkSession, path: str, runs: int = 0):
+        self.spark, self.path, self.runs = spark, path.rstrip("/"), runs
 
+    def read(self) -> DataFrame:
+        parts = [f"{self.path}/run={n}" for n in range(self.runs)]
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], LEDGER_SCHEMA)
 
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FINDINGS_SCHEMA)
+    def scan(self, versions: DataFrame, rule_sets: dict[int, tuple[Rule, ...]] | None = None) -> None:
+        """Scan what the ledger lacks of these versions and rules, and add it."""
+        rule_sets = rule_sets or RULE_SETS
+        fresh = scan_blobs(unseen_blobs(versions, self.read(), list(rule_sets)), rule_sets)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/run={self.runs}")
+        self.runs += 1
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -133,18 +149,6 @@ def findings_by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.select("path", "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPAN))).alias("spans"))
 
 
-def scan_increment(
-    versions: DataFrame, ledger: DataFrame, findings: DataFrame, rule_sets: dict[int, tuple[Rule, ...]] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(new ledger, new findings) after scanning what the ledger lacks."""
-    rule_sets = rule_sets or RULE_SETS
-    fresh = scan_blobs(unseen_blobs(versions, ledger, list(rule_sets)), rule_sets)
-    return (
-        ledger.unionByName(fresh.select("blob", "rule_version")),
-        findings.unionByName(fresh.select("blob", "rule_version", "spans")),
-    )
-
-
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
@@ -152,13 +156,20 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the counts and spans of its secrets, by a first run over an
-    empty ledger. Null and empty texts have none; ids may be null or repeat;
-    other columns are ignored; an empty table gives no row."""
+    """Per document the counts and spans of its secrets.
+
+    The documents are the history of a store, scanned in two runs over one
+    ledger: first one half of the versions (by their ids' hashes) under the
+    first rule version, then all versions under all rules, of which only the
+    unseen pairs are scanned. Null and empty texts have none; ids may be null or
+    repeat; other columns are ignored; an empty table gives no row.
+    """
     spark = docs.sparkSession
     versions = versions_of(docs, id_col, text_col)
-    _, findings = scan_increment(versions, empty_ledger(spark), empty_findings(spark))
-    spans = findings_by_path(versions, findings)
+    ledger = Ledger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    ledger.scan(versions.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 0), {1: BASE_RULES})
+    ledger.scan(versions)
+    spans = findings_by_path(versions, ledger.read())
     base = [r.kind for r in BASE_RULES]
 
     def count(kind: str) -> Column:

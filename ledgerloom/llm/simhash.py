@@ -43,16 +43,20 @@ def shingle_digests(text: str | None, width: int, seed: int = 42) -> bytes:
     return b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())])
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a text's shingles (no word: zero)."""
-    each = np.frombuffer(shingle_digests(text, width, seed), np.uint8).reshape(-1, 8)
-    if not len(each):
+def majority(digests: np.ndarray) -> int:
+    """The bits that more than half of the digests have (rows of eight bytes); zero without any."""
+    if not len(digests):
         return 0
-    seen = np.bincount((each + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
-    bits = (2 * (seen @ _BITS_OF_BYTE) > len(each)).ravel()
+    seen = np.bincount((digests + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256)
+    bits = (2 * (seen @ _BITS_OF_BYTE) > len(digests)).ravel()
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of a text's shingles (no word: zero)."""
+    return majority(np.frombuffer(shingle_digests(text, width, seed), np.uint8).reshape(-1, 8))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
@@ -157,8 +161,10 @@ def near_links(distinct: DataFrame, radius: int = 4, bands: int = 3, leaf_size:
     links connect, it doesn't list every pair of a group. Vantage points come
     from a sample of sample_size fingerprints (least by hash); every fingerprint
     is dealt to the leaves. A leaf with more than twice leaf_size fingerprints
-    is cut into blocks, and pairs of blocks are tasks of their own.
+    is cut into blocks, and pairs of blocks are tasks of their own. A null fp
+    counts as none; an empty table gives no link.
     """
+    distinct = distinct.filter("fp is not null")
     n = distinct.count()
     sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()]
     points = np.array(sample, np.int64).view(np.uint64)

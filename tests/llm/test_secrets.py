@@ -37,19 +37,26 @@ def test_key_files_add_spans(spark):
     assert got["spans"] == "pem:2:33" and got["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
-def test_only_unseen_pairs_are_scanned(spark):
+def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     schema = "doc_id long, text string"
     old = secrets.versions_of(spark.createDataFrame([(1, "token=abcdefgh"), (2, "plain")], schema))
     rules_1 = {1: secrets.BASE_RULES}
-    ledger, findings = secrets.scan_increment(old, secrets.empty_ledger(spark), secrets.empty_findings(spark), rules_1)
-    assert ledger.count() == 2
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.scan(old, rules_1)
+    assert ledger.read().count() == 2
     new = old.unionByName(secrets.versions_of(spark.createDataFrame([(3, "token=abcdefgh"), (4, "secret=hunter2hunter2")], schema)))
-    todo = secrets.unseen_blobs(new, ledger, [1])
+    todo = secrets.unseen_blobs(new, ledger.read(), [1])
     assert [r["text"] for r in todo.collect()] == ["secret=hunter2hunter2"]
-    ledger, findings = secrets.scan_increment(new, ledger, findings, rules_1)
-    assert sorted(r["todo"] for r in secrets.unseen_blobs(new, ledger, [1, 2]).collect()) == [[2]] * 3
-    found = {r["path"]: len(r["spans"]) for r in secrets.findings_by_path(new, findings).collect()}
+    ledger.scan(new, rules_1)
+    assert sorted(r["todo"] for r in secrets.unseen_blobs(new, ledger.read(), [1, 2]).collect()) == [[2]] * 3
+    found = {r["path"]: len(r["spans"]) for r in secrets.findings_by_path(new, ledger.read()).collect()}
     assert found == {1: 1, 2: 0, 3: 1, 4: 1}
+    again = secrets.Ledger(spark, ledger.path, runs=1)  # a second run that died is repeated
+    again.scan(new, rules_1)
+    assert sorted(map(tuple, again.read().select("blob", "rule_version").collect())) == sorted(map(tuple, ledger.read().select("blob", "rule_version").collect()))
+    ledger.scan(new)
+    pairs = [tuple(r) for r in ledger.read().select("blob", "rule_version").collect()]
+    assert len(pairs) == len(set(pairs)) == 6 and secrets.unseen_blobs(new, ledger.read(), [1, 2]).isEmpty()
 
 
 def test_odd_rows(odd_docs, no_docs):
