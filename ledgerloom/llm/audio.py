@@ -35,7 +35,7 @@ class AudioParameters:
     frame: int = 256
     hop: int = 128
     mels: int = 24
-    tensor_frames: int = 64
+    tensor_frames: int = 16
     open_db: float = -18.0  # a segment begins at this energy, relative to full scale
     close_db: float = -24.0  # and ends below this one
 
@@ -159,60 +159,72 @@ def features(stored: bytes, p: AudioParameters) -> tuple[np.ndarray, np.ndarray]
     return log_mel(y, p), segments(y, p)
 
 
-def tensors(mel: np.ndarray, p: AudioParameters) -> tuple[bytes, list[tuple[float, float]]]:
-    """The frames as an Arrow stream of one fixed-shape tensor column, each
-    tensor tensor_frames x mels (the last one padded with -100 dB), and the time
+def store_tensors(mel: np.ndarray, p: AudioParameters) -> bytes:
+    """The frames as an Arrow stream of a fixed-shape tensor column, each tensor
+    tensor_frames x mels (the last one padded with -100 dB), beside the time
     span in seconds of each."""
     n = -(-len(mel) // p.tensor_frames)
     full = np.full((n * p.tensor_frames, p.mels), -100, np.float32)
     full[: len(mel)] = mel
     column = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, p.tensor_frames, p.mels))
-    times = [(i * p.tensor_frames * p.hop / p.out_rate, (min(len(mel), (i + 1) * p.tensor_frames) * p.hop + p.frame - p.hop) / p.out_rate) for i in range(n)]
-    spans = pa.array([{"start": a, "end": b} for a, b in times])
+    first = np.arange(n) * p.tensor_frames
+    after = np.minimum(first + p.tensor_frames, len(mel))
+    spans = pa.StructArray.from_arrays([pa.array(first * p.hop / p.out_rate), pa.array((after * p.hop + p.frame - p.hop) / p.out_rate)], names=["start", "end"])
+    table = pa.record_batch([column, spans], names=["tensor", "span"])
     sink = pa.BufferOutputStream()
-    table = pa.table({"tensor": column, "span": spans})
     with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes(), times
+        writer.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, list[dict]]:
+    """(tensors x frames x mels, their time spans) of a stored stream."""
+    with pa.ipc.open_stream(stored) as reader:
+        table = reader.read_all()
+    column = table.column("tensor").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy_ndarray(), table.column("span").to_pylist()
 
 
 SCHEMA = (
     "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "frames int, segments array<struct<start:double,end:double>>, tensors binary, feature string"
+    "frames int, segments array<struct<start:double,end:double>>, tensors binary, tensor_spans array<struct<start:double,end:double>>, feature string"
 )
 
 
-def audio_column(docs: DataFrame, parameters: AudioParameters = AudioParameters(), id_col: str = "doc_id", text_col: str = "text", keep_tensors: bool = True) -> DataFrame:
+def audio_column(docs: DataFrame, parameters: AudioParameters = AudioParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its stored sound's sizes and hashes, its loud
-    segments in seconds, its log-mel tensors as an Arrow stream, and `feature`,
-    a digest of them.
+    segments in seconds, its log-mel tensors as an Arrow stream with their time
+    spans (read_tensors opens it), and `feature`, a digest of what is read back
+    from that stream.
 
     Null text counts as empty, which is one frame of spaces; equal texts have
     equal values; null and repeated ids and an empty table pass through; other
-    columns are ignored. keep_tensors=False leaves `tensors` null where only the
-    digest is wanted.
+    columns are ignored.
     """
     p = parameters
+    span = pa.list_(pa.struct({"start": pa.float64(), "end": pa.float64()}))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), span, pa.binary(), span, pa.string()]
+    names = [c.split()[0] for c in SCHEMA.format(id="long").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                out: list[list] = [[] for _ in range(10)]
+                out: list[list] = [[] for _ in kinds]
                 for text in batch.column(1):
                     payload, n = payload_of(text.as_py())
                     stored = store_wav(payload, p.rate)
                     back = read_wav(stored)
                     mel, loud = features(stored, p)
-                    stream, _ = tensors(mel, p)
+                    stream = store_tensors(mel, p)
+                    cubes, spans = read_tensors(stream)
                     times = [{"start": float(a * p.hop / p.out_rate), "end": float(((b - 1) * p.hop + p.frame) / p.out_rate)} for a, b in loud]
-                    digest = zlib.crc32(np.round(mel * 10).astype("<i4").tobytes())
-                    feature = f"frames={len(mel)};tensors={-(-len(mel) // p.tensor_frames)}x{p.tensor_frames}x{p.mels};segments={len(times)};mean_db={mel.mean(dtype=np.float64):.2f};crc={digest:08x}"
-                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), times, stream if keep_tensors else None, feature)
+                    digest = zlib.crc32(np.round(cubes * 10).astype("<i4").tobytes())
+                    feature = f"frames={len(mel)};tensors={'x'.join(map(str, cubes.shape))};segments={len(times)};seconds={spans[-1]['end']:.4f};crc={digest:08x}"
+                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), times, stream, spans, feature)
                     for values, v in zip(out, row):
                         values.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct({"start": pa.float64(), "end": pa.float64()})), pa.binary(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments", "tensors", "feature"]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds))], names=names)
 
     kind = dict(docs.dtypes)[id_col]
