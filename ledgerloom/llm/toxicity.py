@@ -151,7 +151,8 @@ class Sample:
 
 
 def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[tuple]:
-    """Features of the documents whose ids are in a table of bounded size."""
+    """Features of the documents whose ids are in a table of bounded size; of
+    rows that share an id, of the one with the least text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +164,8 @@ def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col:
             f, c, n = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], names=["f", "c", "n"])
 
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi").select("text")
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text")
     rows = texts.mapInArrow(run, "f binary, c binary, n long").collect()
     kept = [(np.frombuffer(r["f"], "<i8"), np.frombuffer(r["c"], "<f4"), r["n"]) for r in rows]
     return sorted(kept, key=lambda d: (d[2], d[0].tobytes(), d[1].tobytes()))  # the order of rows must not change a fit
@@ -226,6 +228,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns.
+
+    Null and empty texts score as texts without words; rows with a null id are
+    scored like any other; repeated rows stay or go together; an empty table
+    gives no row.
+    """
     score = score_udf(docs, train(docs, labels, id_col, text_col))
     return docs.filter(score(text_or_empty(text_col)) < threshold)

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -57,3 +59,69 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.toxicity_scores(odd_docs, labels.limit(0)).count() == 10
     assert toxicity.toxicity_scores(no_docs, labels).count() == 0
     assert toxicity.without_toxic(odd_docs, labels.limit(0)).columns == odd_docs.columns
+
+
+def plain_fit(positive, unlabelled, prior, rounds, step, l2, least_docs):
+    """The estimator by its definition, feature by feature and document by document."""
+    docs = [*positive, *unlabelled]
+    has = [{int(f): float(c) for f, c in zip(d[0], d[1])} for d in docs]
+    n_p, n_u = len(positive), len(unlabelled)
+    kept = []
+    for f in sorted({f for d in has[:n_p] for f in d}):
+        in_p, in_u = sum(f in d for d in has[:n_p]), sum(f in d for d in has[n_p:])
+        pooled = (in_p + in_u) / (n_p + n_u)
+        z = (in_p / n_p - in_u / n_u) / math.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
+        if in_p >= least_docs and z > 3:
+            kept.append(f)
+    inputs = []
+    for d, (_, _, total) in zip(has, docs):
+        row = {("w", f): min(d[f], 1.0) for f in kept if f in d}
+        row |= {("r", f): min(50 * d[f] / max(total, 1), 3.0) for f in kept if f in d}
+        inputs.append(row | {"bias": 1.0, "length": math.log1p(total)})
+    theta = dict.fromkeys([*(("w", f) for f in kept), *(("r", f) for f in kept), "bias", "length"], 0.0)
+    theta["bias"] = math.log(prior / (1 - prior))
+    first, second = dict.fromkeys(theta, 0.0), dict.fromkeys(theta, 0.0)
+    for t in range(1, rounds + 1):
+        scores = [sum(theta[k] * v for k, v in row.items()) for row in inputs]
+        sigmoid = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in scores]
+        softplus = [math.log1p(math.exp(x)) for x in scores]
+        risk = sum(softplus[n_p:]) / n_u - prior * sum(softplus[:n_p]) / n_p  # of the negative class
+        gradient = dict.fromkeys(theta, 0.0)
+        for i, row in enumerate(inputs):
+            of_positive = prior * (sigmoid[i] - 1) / n_p if i < n_p else 0.0
+            of_negative = -prior * sigmoid[i] / n_p if i < n_p else sigmoid[i] / n_u
+            for k, v in row.items():
+                gradient[k] += v * (of_positive + of_negative if risk >= 0 else -of_negative)
+        for k in theta:
+            g = gradient[k] + (0 if k in ("bias", "length") else l2 * theta[k])
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
+            theta[k] -= step * (first[k] / (1 - 0.9**t)) / (math.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+    return theta
+
+
+def test_fit_and_scores_against_plain_ones():
+    rng = np.random.default_rng(3)
+    texts = [words(rng, int(rng.integers(3, 60))) + (" idiot moron" * int(rng.integers(1, 3)) if i % 3 == 0 else "") for i in range(120)]
+    made = [(*toxicity.document_features(t), len(t.split())) for t in texts]
+    positive, unlabelled = made[::6], made[1:]
+    for prior in (0.05, 0.3, 0.6):  # the last ones drive the negative risk below zero
+        model = toxicity.fit(positive, unlabelled, prior, least_docs=3, rounds=60)
+        plain = plain_fit(positive, unlabelled, prior, 60, 0.05, 1e-4, 3)
+        assert {f for _, f in plain.keys() - {"bias", "length"}} >= set(model.table) and model.table
+        assert abs(model.bias - plain["bias"]) < 1e-3 and abs(model.length_weight - plain["length"]) < 1e-3
+        for f, (w, r) in model.table.items():
+            assert abs(w - plain["w", f]) < 1e-3 and abs(r - plain["r", f]) < 1e-3
+        for text in [*texts[:30], "", None, "no known word"]:
+            found = Counter(toxicity._WORD.findall((text or "").lower()))
+            total, z = sum(found.values()), plain["bias"]
+            z += plain["length"] * math.log1p(total)
+            for f in {f for w in found for f in toxicity.features_of(w)}:
+                n = sum(found[w] for w in found if f in toxicity.features_of(w))
+                z += plain.get(("w", f), 0) + plain.get(("r", f), 0) * min(50 * n / total, 3.0)
+            assert abs(model.score(text) - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+def test_an_id_that_repeats_is_one_training_row(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 500 + [(2, "b"), (2, "a")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    assert len(toxicity._training_documents(docs, ids, "doc_id", "text")) == 2
