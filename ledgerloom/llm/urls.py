@@ -121,8 +121,11 @@ def fit(spark: SparkSession, labelled=LABELLED_URLS, buckets: int = 4096, rounds
     has = has.groupBy("bucket").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("bucket") == buckets, 1.0).otherwise(1 / F.sqrt(F.col("n").cast("double"))).alias("v")))).alias("of")
     )
-    lists = has.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "of"))).alias("lists"))
-    row = examples.join(lists).select(
+    # both tables have one row in the end; they meet as parts of one aggregate
+    parts = examples.select("xs", F.lit(None).cast("struct<bucket:int,of:array<struct<at:int,v:double>>>").alias("b"))
+    parts = parts.unionByName(has.select(F.struct("bucket", "of").alias("b")), allowMissingColumns=True)
+    both = parts.agg(F.first("xs", ignorenulls=True).alias("xs"), F.map_from_entries(F.collect_list("b")).alias("lists"))
+    row = both.select(
         "xs",
         F.transform(
             F.sequence(F.lit(0), F.lit(buckets)),
