@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import audio, decontamination, licenses, lines, packing, secrets, sharding, simhash, toxicity, urls
 from ledgerloom.llm.common import read_table
-
-
-def _parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+from ledgerloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return sharding.shard_documents(docs, shards=40, buckets=max(16, _parts(spark)))
+    return sharding.shard_documents(docs, shards=40)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +31,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sounds = audio.audio_column(read_table(spark, sf_dir, "documents"))
-    return sounds.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return audio.audio_column(read_table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.drop("text_hash")
+    return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,27 +63,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _spans_sql(rule: secrets.Rule, rank: int) -> str:
-    """Spans of one rule: pieces between matches and matches alternate."""
-    pattern = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, s AS start, s + length(ms[i]) AS stop FROM (
-  SELECT doc_id, ms, gs, i, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
-    SELECT doc_id, ms, gs, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs, string_split_regex(t, '{pattern}') AS ps FROM texts)))
-WHERE length(gs[i]) >= {rule.min_length}"""
-
-
-_RULES = [*secrets.BASE_RULES, *secrets.KEY_FILE_RULES]
-_BASE = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
-ORACLE_SQL["op4_secrets"] = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({' UNION ALL '.join(_spans_sql(r, i) for i, r in enumerate(_RULES))}),
-joined AS (
-  SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)},
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE})) AS base,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
-  FROM spans GROUP BY doc_id)
-SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM texts LEFT JOIN joined USING (doc_id)"""

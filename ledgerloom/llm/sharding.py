@@ -16,6 +16,8 @@ from ledgerloom.llm.common import MASK32
 
 #: Multiplier of the published generator: key = key * 2862933555777941757 + 1 mod 2^64.
 _FACTOR = 2862933555777941757
+SLOTS_AT_ONCE = 1 << 16
+ROWS_A_BUCKET = 250_000
 _FACTOR_HI, _FACTOR_LO = _FACTOR >> 32, _FACTOR & MASK32
 
 
@@ -90,11 +92,13 @@ def with_slots(df: DataFrame, shard_col: str, order_cols: list[str], buckets: in
     that are equal are first counted (so a row that makes up a third of the
     table is one group), the counts are summed within `buckets` hash parts of
     each shard, and the parts start where the ones before them end. No task
-    holds a shard. Rows lie by bucket, then by order_cols.
+    holds a shard. Rows lie by part, which is the first 32 bits of the MD5 of
+    order_cols (joined by commas) modulo buckets, then by order_cols.
     """
     columns = df.columns
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*order_cols), F.lit(buckets)))
+    digest = F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in order_cols]).cast("binary"))
+    counted = counted.withColumn("_bucket", F.pmod(F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(buckets)))
     part = Window.partitionBy(shard_col, "_bucket")
     before = part.orderBy(*order_cols, *[c for c in columns if c not in order_cols]).rowsBetween(
         Window.unboundedPreceding, -1
@@ -111,18 +115,24 @@ def with_slots(df: DataFrame, shard_col: str, order_cols: list[str], buckets: in
     placed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     placed = placed.join(base, (F.col(shard_col) == F.col("_shard")) & (F.col("_bucket") == F.col("_part")))
     first = F.col("_base") + F.col("_before")
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot"))
+    # in two steps, so that a row with very many repeats needs no array as long as they are
+    placed = placed.select(*columns, (first + F.col("_n") - 1).alias("_last"), F.explode(F.sequence(first, first + F.col("_n") - 1, F.lit(SLOTS_AT_ONCE))).alias("_first"))
+    slots = F.sequence("_first", F.least(F.col("_first") + (SLOTS_AT_ONCE - 1), F.col("_last")))
+    return placed.select(*columns, F.explode(slots).alias("slot"))
 
 
 def shard_documents(
-    docs: DataFrame, shards: int, buckets: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16
+    docs: DataFrame, shards: int, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16
 ) -> DataFrame:
     """Where every document goes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The text leaves the scan as its length and CRC-32 only. Null text has size
     `overhead` and the CRC of no bytes; null ids share a shard; repeated rows
     keep a slot each; an empty table gives no row; other columns are ignored.
+    Unless given, the number of hash parts follows that of the rows.
     """
+    if buckets is None:
+        buckets = max(16, -(-docs.count() // ROWS_A_BUCKET))
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     kind = dict(docs.dtypes)[id_col]
     key = key_of(F.col(id_col), kind)
