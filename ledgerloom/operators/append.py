@@ -103,16 +103,19 @@ def link(narrow: DataFrame, head_hash: str) -> DataFrame:
 
 
 def link_chains(narrow: DataFrame, chain: str, genesis: str) -> DataFrame:
-    """The same for many chains at once, each from genesis: chains are spread
-    over tasks and each task folds its own in order."""
+    """The same for many chains at once, each from genesis or from the head_hash
+    that its rows name: chains are spread over tasks and each task folds its own
+    in order."""
+    if "head_hash" not in narrow.columns:
+        narrow = narrow.withColumn("head_hash", F.lit(genesis))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_chain, prev, last = None, genesis, None
         for frame in frames:
             before, records = [], []
-            for key, seq, content in zip(frame[chain], frame["seq"], frame["content_hash"]):
-                if key != open_chain:
-                    open_chain, prev, last = key, genesis, None
+            for key, seq, content, head in zip(frame[chain], frame["seq"], frame["content_hash"], frame["head_hash"]):
+                if last is None or key != open_chain:
+                    open_chain, prev, last = key, head, None
                 if last is not None and seq <= last:
                     raise ValueError(f"seq {seq} follows {last} in {key}")
                 before.append(prev)
@@ -121,7 +124,7 @@ def link_chains(narrow: DataFrame, chain: str, genesis: str) -> DataFrame:
             yield pd.DataFrame({chain: frame[chain], "seq": frame["seq"], "prev_hash": before, "record_hash": records})
 
     kind = dict(narrow.dtypes)[chain]
-    ordered = narrow.select(chain, "seq", "content_hash").repartition(chain).sortWithinPartitions(chain, "seq")
+    ordered = narrow.select(chain, "seq", "content_hash", "head_hash").repartition(chain).sortWithinPartitions(chain, "seq")
     return ordered.mapInPandas(fold, f"{chain} {kind}, seq long, prev_hash string, record_hash string")
 
 
@@ -148,19 +151,59 @@ def append_events(
     time is the record time where an event names none.
     """
     head = head or (0, config.genesis)
+    accepted, rejected, order = _arrived(incoming, order, recorded_at, event_id)
+    rows = _hashed(with_dense_seq(accepted, order, head[0]), salts)
+    links = staged(link(rows, head[1]), "links")
+    return Appended(_linked(rows.join(links, "seq")).select(*EVENT_COLUMNS), rejected)
+
+
+def append_chains(
+    incoming: DataFrame,
+    chain: str,
+    heads: DataFrame | None = None,
+    order: list[str] | None = None,
+    recorded_at: Column | None = None,
+    event_id: Column | None = None,
+    salts: Column | None = None,
+    config: LedgerConfig = LedgerConfig(),
+) -> Appended:
+    """append_events for many independent chains, named by a column of strings
+    that the events keep: the fold of each runs beside the others. heads has
+    (chain, last_seq, last_hash) of chains to go on from; others begin anew.
+    """
+    accepted, rejected, order = _arrived(incoming, order, recorded_at, event_id)
+    numbered = staged(with_dense_seq(accepted, [chain, *order], 0, "_n"), "chains")
+    starts = numbered.groupBy(chain).agg(F.min("_n").alias("_first"))
+    if heads is None:
+        starts = starts.withColumns({"_last": F.lit(0).cast("long"), "head_hash": F.lit(config.genesis)})
+    else:
+        starts = starts.join(heads.select(chain, F.col("last_seq").alias("_last"), F.col("last_hash").alias("head_hash")), chain, "left").fillna({"_last": 0, "head_hash": config.genesis})
+    rows = numbered.join(starts, chain).withColumn("seq", F.col("_last") + F.col("_n") - F.col("_first") + 1).drop("_n", "_first", "_last")
+    rows = _hashed(rows, salts)
+    links = staged(link_chains(rows, chain, config.genesis), "links")
+    return Appended(_linked(rows.drop("head_hash").join(links, [chain, "seq"])).select(chain, *EVENT_COLUMNS), rejected)
+
+
+def _arrived(incoming: DataFrame, order: list[str] | None, recorded_at: Column | None, event_id: Column | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(accepted, rejected, order columns): parsed events with ids and times, staged."""
     parsed = incoming.withColumn("parsed", parse_payload(F.col("payload"))).withColumn("reason", rejection())
     if order is None:
         parsed = parsed.withColumn("_arrival", F.monotonically_increasing_id())
         order = ["_arrival"]
     parsed = parsed.withColumns({"event_id": F.uuid() if event_id is None else event_id, "recorded_at_c": H.canonical_instant(F.current_timestamp()) if recorded_at is None else recorded_at})
+    parsed = parsed.withColumn("event_ts_c", F.coalesce("timestamp", "recorded_at_c") if "timestamp" in incoming.columns else F.col("recorded_at_c"))
     parsed = staged(parsed, "incoming")
     rejected = parsed.filter(F.col("reason").isNotNull()).select(*[c for c in incoming.columns if c != "reason"], "reason")
-    rows = with_dense_seq(parsed.filter(F.col("reason").isNull()).drop("reason"), order, head[0])
-    rows = rows.withColumn("event_ts_c", F.coalesce("timestamp", "recorded_at_c") if "timestamp" in incoming.columns else F.col("recorded_at_c"))
+    return parsed.filter(F.col("reason").isNull()).drop("reason"), rejected, order
+
+
+def _hashed(rows: DataFrame, salts: Column | None) -> DataFrame:
+    """Numbered events with commitments (staged, as salts are random) and content hashes."""
     rows = staged(committed(rows, random_salts(F.col("parsed.leaves")) if salts is None else salts), "committed")
-    rows = rows.withColumn("content_hash", H.content_hash())
-    links = staged(link(rows, head[1]), "links")
-    linked = rows.join(links, "seq").withColumns(
+    return rows.withColumn("content_hash", H.content_hash())
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
         {"event_ts": H.instant_to_timestamp(F.col("event_ts_c")), "recorded_at": H.instant_to_timestamp(F.col("recorded_at_c")), "archived_at": F.lit(None).cast("timestamp")}
     )
-    return Appended(linked.select(*EVENT_COLUMNS), rejected)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom import messages as M
 from ledgerloom.config import LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, parse_payload
@@ -166,15 +167,15 @@ def bundle_problems(bundles: Bundles, secret: str | None = None) -> DataFrame:
     canonical = records.withColumn("payload_canonical", F.col("_parsed.canonical"))
     digests = bundle_hashes(bundles.headers, canonical, bundles.segments)
     headers = bundles.headers.join(digests, "bundle_key", "left")
-    found = [headers.filter(~F.equal_null("digest", "bundle_hash")).select("bundle_key", F.lit("bundle hash mismatch").alias("problem"))]
+    found = [headers.filter(~F.equal_null("digest", "bundle_hash")).select("bundle_key", F.lit(M.BUNDLE_HASH_DIFFERS).alias("problem"))]
     if secret is not None:
         wrong = F.col("hmac").isNotNull() & (H.hmac_sha256_hex(secret, F.col("bundle_hash")) != F.col("hmac"))
-        found.append(headers.filter(wrong).select("bundle_key", F.lit("hmac mismatch").alias("problem")))
-    at = F.concat(F.lit(" at seq "), F.col("seq").cast("string"))
+        found.append(headers.filter(wrong).select("bundle_key", F.lit(M.HMAC_DIFFERS).alias("problem")))
+    at = F.concat(F.lit(M.AT_SEQ), F.col("seq").cast("string"))
     found.append(records.filter(F.col("payload_json").isNotNull()).select("bundle_key", F.explode(_leaf_problems(at)).alias("problem")))
-    found.append(records.filter(~F.equal_null(H.content_hash(), F.col("content_hash"))).select("bundle_key", F.concat(F.lit("content hash mismatch"), at).alias("problem")))
+    found.append(records.filter(~F.equal_null(H.content_hash(), F.col("content_hash"))).select("bundle_key", F.concat(F.lit(M.BUNDLE_CONTENT_DIFFERS), at).alias("problem")))
     linked = H.record_hash(F.col("prev_hash"), F.col("content_hash"))
-    found.append(records.filter(~F.equal_null(linked, F.col("record_hash"))).select("bundle_key", F.concat(F.lit("record hash mismatch"), at).alias("problem")))
+    found.append(records.filter(~F.equal_null(linked, F.col("record_hash"))).select("bundle_key", F.concat(F.lit(M.BUNDLE_RECORD_DIFFERS), at).alias("problem")))
     found.append(_segment_problems(bundles))
     problems = found[0]
     for more in found[1:]:
@@ -198,8 +199,8 @@ def _leaf_problems(at: Column) -> Column:
         leaf, salt = now[entry["key"]], salts[entry["key"]]
         return (
             F.when(F.array_contains("redacted_paths", entry["key"]), F.lit(None).cast("string"))
-            .when(leaf.isNull() | salt.isNull(), F.concat(F.lit("cannot verify leaf "), entry["key"], at))
-            .when(H.leaf_commitment(salt, leaf) != entry["value"], F.concat(F.lit("leaf "), entry["key"], F.lit(" modified"), at))
+            .when(leaf.isNull() | salt.isNull(), F.concat(F.lit(M.BUNDLE_LEAF_UNKNOWN), entry["key"], at))
+            .when(H.leaf_commitment(salt, leaf) != entry["value"], F.concat(F.lit(M.BUNDLE_LEAF), entry["key"], F.lit(M.BUNDLE_LEAF_MODIFIED), at))
         )
 
     return F.filter(F.transform(H.entries(F.col("leaf_commitments_json")), check), lambda p: p.isNotNull())
@@ -219,7 +220,7 @@ def _segment_problems(bundles: Bundles) -> DataFrame:
     run_end = F.last("run_to", ignorenulls=True).over(so_far)
     present = F.greatest(F.coalesce(run_end, F.col("at") - 1), F.col("at") - 1)  # up to here no record is missing
     marked = ends.unionByName(starts).withColumn("_end", F.least(present, "seg_to")).filter("rank = 1")
-    gone = marked.filter("seg_to > _end").select("bundle_key", F.concat(F.lit("segment record missing: seq "), (F.col("_end") + 1).cast("string")).alias("problem"))
+    gone = marked.filter("seg_to > _end").select("bundle_key", F.concat(F.lit(M.SEGMENT_RECORD_MISSING), (F.col("_end") + 1).cast("string")).alias("problem"))
     own = bundles.records.select("bundle_key", "seq", "prev_hash")
     before = bundles.records.select("bundle_key", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
     first = marked.filter("_end >= at").select("bundle_key", F.col("at").alias("seq"), "prior").join(own, ["bundle_key", "seq"])
@@ -227,4 +228,4 @@ def _segment_problems(bundles: Bundles) -> DataFrame:
     inner = own.join(before, ["bundle_key", "seq"]).filter(~F.equal_null("_before", "prev_hash")).select("bundle_key", F.col("seq").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("_end"))
     covered = inner.unionByName(marked.select("bundle_key", "at", "rank", "_end")).withColumn("_covered", F.max("_end").over(so_far)).filter((F.col("rank") == 0) & (F.col("_covered") >= F.col("at")))
     broken = first.unionByName(covered.select("bundle_key", F.col("at").alias("seq"))).distinct()
-    return gone.unionByName(broken.select("bundle_key", F.concat(F.lit("broken chain link at seq "), F.col("seq").cast("string")).alias("problem")))
+    return gone.unionByName(broken.select("bundle_key", F.concat(F.lit(M.SEGMENT_LINK_BROKEN), F.col("seq").cast("string")).alias("problem")))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom import messages as M
 from ledgerloom.config import REPORT_BUNDLE_FILTER, REPORT_EVENT_TYPE, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string
@@ -52,7 +53,7 @@ def access_reports(
     before the meta events that record them are appended."""
     fits = F.coalesce(F.col("resource_type").isin(*config.client_data_resource_types), F.lit(False))
     allowed = ", ".join(config.client_data_resource_types)
-    reason = F.concat(F.lit("resourceType '"), F.coalesce("resource_type", F.lit("null")), F.lit(f"' is not classified as client account data; allowed: [{allowed}]"))
+    reason = F.concat(F.lit(M.RESOURCE_TYPE), F.coalesce("resource_type", F.lit("null")), F.lit(M.NOT_CLIENT_DATA.format(allowed)))
     rejected = requests.filter(~fits).select("request_id", reason.alias("reason"))
     accepted = requests.filter(fits)
     matched = matched_events(events, accepted, config, scan_cap)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import messages as M
 from ledgerloom.config import REDACTION_EVENT_TYPE, REDACTION_RESOURCE_TYPE, SENTINEL_PREFIX, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, replace_leaves
@@ -63,9 +64,9 @@ def redact(
     found = requests.join(events.select("event_id", "seq", "archived_at", "leaf_commitments_json", "leaf_salts_json"), "event_id", "left")
     n_paths = F.coalesce(F.size("field_paths"), F.lit(0))
     reason = (
-        F.when(F.col("seq").isNull(), F.concat(F.lit("no audit event "), F.coalesce("event_id", F.lit("null"))))
-        .when(F.col("archived_at").isNotNull(), F.concat(F.lit("cannot redact archived record seq="), F.col("seq").cast("string")))
-        .when(n_paths <= 0, F.lit("fieldPaths must not be empty"))
+        F.when(F.col("seq").isNull(), F.concat(F.lit(M.NO_EVENT), F.coalesce("event_id", F.lit("null"))))
+        .when(F.col("archived_at").isNotNull(), F.concat(F.lit(M.IS_ARCHIVED), F.col("seq").cast("string")))
+        .when(n_paths <= 0, F.lit(M.NO_PATHS))
     )
     found = staged(found.withColumn("reason", reason), "requests")
     paths = found.filter("reason is null").select("*", F.posexplode("field_paths").alias("at", "field_path"))
@@ -74,8 +75,8 @@ def redact(
     commitment = H.string_map(F.col("leaf_commitments_json"))[F.col("field_path")]
     repeated = F.array_position("field_paths", F.col("field_path")) != F.col("at") + 1
     fault = (
-        F.when(commitment.isNull(), F.concat(F.lit("payload has no leaf at "), F.col("field_path")))
-        .when(F.col("_taken").isNotNull() | repeated, F.concat(F.col("field_path"), F.lit(" is already redacted on seq "), F.col("seq").cast("string")))
+        F.when(commitment.isNull(), F.concat(F.lit(M.NO_LEAF), F.col("field_path")))
+        .when(F.col("_taken").isNotNull() | repeated, F.concat(F.col("field_path"), F.lit(M.ALREADY_REDACTED), F.col("seq").cast("string")))
         .when(F.col("field_path") == "", F.lit("the payload itself cannot be redacted"))
     )
     paths = paths.withColumn("commitment", commitment).withColumn("fault", fault)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import messages as M
 from ledgerloom.config import DUPLICATE_KEY, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import parse_payload
@@ -35,12 +36,12 @@ def _leaf_violation(leaves: Column, salts_json: Column) -> Column:
 
     def check(entry: Column) -> Column:
         pointer, leaf, salt = entry["key"], now[entry["key"]], salts[entry["key"]]
-        text = F.concat(F.lit("payload leaf "), pointer)
+        text = F.concat(F.lit(M.LEAF), pointer)
         return (
             F.when(F.array_contains("redacted_paths", pointer), F.lit(None).cast(VIOLATION))
-            .when(leaf.isNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(" is missing (structure changed)"))))
-            .when(salt.isNull(), _violation("MISSING_SALT", F.concat(F.lit("no salt for payload leaf "), pointer)))
-            .when(H.leaf_commitment(salt, leaf) != entry["value"], _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(" was modified"))))
+            .when(leaf.isNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MISSING))))
+            .when(salt.isNull(), _violation("MISSING_SALT", F.concat(F.lit(M.NO_SALT), pointer)))
+            .when(H.leaf_commitment(salt, leaf) != entry["value"], _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MODIFIED))))
         )
 
     failed = F.filter(F.transform(stored, check), lambda v: v.isNotNull())
@@ -48,7 +49,7 @@ def _leaf_violation(leaves: Column, salts_json: Column) -> Column:
     first_added = F.get(added, F.lit(0))
     return F.coalesce(
         F.get(failed, F.lit(0)),
-        F.when(first_added.isNotNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(F.lit("payload leaf "), first_added, F.lit(" was added after the record was written")))),
+        F.when(first_added.isNotNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(F.lit(M.LEAF), first_added, F.lit(M.LEAF_ADDED)))),
     )
 
 
@@ -58,14 +59,17 @@ def row_violations(
     archive: DataFrame | None = None,
     deep: bool = False,
     config: LedgerConfig = LedgerConfig(),
+    chain: str | None = None,
 ) -> DataFrame:
     """(seq, event_id, violation_type, detail) of every row that fails a check,
-    by its first failing one. Missing rows are for missing_seqs."""
+    by its first failing one. Missing rows are for missing_after. Events of many
+    chains name theirs in a column, which the result has too."""
+    keys = ["seq"] if chain is None else [chain, "seq"]
     if deep and archive is None:
         raise ValueError("a deep check needs the archive")
     rows = with_redacted_paths(events, redactions)
-    before = events.select((F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
-    rows = rows.join(before, "seq", "left")
+    before = events.select(*keys[:-1], (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
+    rows = rows.join(before, keys, "left")
     archived = F.col("archived_at").isNotNull()
     checked, salts = F.when(~archived, F.col("payload_json")), F.col("leaf_salts_json")
     no_copy = F.lit(False)
@@ -78,19 +82,19 @@ def row_violations(
     rows = rows.withColumn("_checked", ~archived | F.lit(deep)).withColumn("_parsed", parse_payload(F.coalesce(checked, F.lit("null"))))
     rows = rows.withColumn("_salts_now", salts)
     leaves = F.when(checked.isNull(), F.array().cast("array<struct<pointer:string,leaf:string>>")).otherwise(F.coalesce("_parsed.leaves", F.array().cast("array<struct<pointer:string,leaf:string>>")))
-    content = F.when(archived, _violation("CONTENT_HASH_MISMATCH", "recomputed content_hash != stored (archived)")).otherwise(
-        _violation("CONTENT_HASH_MISMATCH", "recomputed content_hash != stored")
+    content = F.when(archived, _violation("CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS_ARCHIVED)).otherwise(
+        _violation("CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS)
     )
     first = F.coalesce(
-        F.when((F.col("seq") == 1) & (F.col("prev_hash") != config.genesis), _violation("GENESIS_MISMATCH", "prev_hash != configured genesis value")),
-        F.when((F.col("seq") != 1) & F.col("_before").isNotNull() & (F.col("prev_hash") != F.col("_before")), _violation("PREV_HASH_MISMATCH", "prev_hash does not match the previous record's record_hash")),
-        F.when(no_copy, _violation("CONTENT_HASH_MISMATCH", "archived row has no archive copy")),
+        F.when((F.col("seq") == 1) & (F.col("prev_hash") != config.genesis), _violation("GENESIS_MISMATCH", M.GENESIS_DIFFERS)),
+        F.when((F.col("seq") != 1) & F.col("_before").isNotNull() & (F.col("prev_hash") != F.col("_before")), _violation("PREV_HASH_MISMATCH", M.LINK_DIFFERS)),
+        F.when(no_copy, _violation("CONTENT_HASH_MISMATCH", M.NO_ARCHIVE_COPY)),
         F.when(F.col("_checked"), _leaf_violation(leaves, F.col("_salts_now"))),
         F.when(~F.equal_null(H.content_hash(), F.col("content_hash")), content),
-        F.when(~F.equal_null(H.record_hash(F.col("prev_hash"), F.col("content_hash")), F.col("record_hash")), _violation("RECORD_HASH_MISMATCH", "recomputed record_hash != stored")),
+        F.when(~F.equal_null(H.record_hash(F.col("prev_hash"), F.col("content_hash")), F.col("record_hash")), _violation("RECORD_HASH_MISMATCH", M.RECORD_DIFFERS)),
     )
-    found = rows.select("seq", "event_id", first.alias("v")).filter("v is not null")
-    return found.select("seq", "event_id", F.col("v.type").alias("violation_type"), F.col("v.detail").alias("detail"))
+    found = rows.select(*keys, "event_id", first.alias("v")).filter("v is not null")
+    return found.select(*keys, "event_id", F.col("v.type").alias("violation_type"), F.col("v.detail").alias("detail"))
 
 
 def missing_after(events: DataFrame, from_seq: int, to_seq: int) -> DataFrame:
@@ -178,12 +182,34 @@ def verify_chain(
     after = events.filter((F.col("seq") > gap) & (F.col("seq") <= last)).agg(F.min("seq")).first()[0]
     runs = archived_runs(events, first, gap - 1)
     if after is not None:
-        found = (gap, None, "SEQUENCE_GAP", f"expected seq {gap} but next present record is {after}")
+        found = (gap, None, "SEQUENCE_GAP", M.GAP.format(gap, after))
         return _report(spark, False, gap - first + 1, first, gap, deep, runs, found)
-    found = (gap, None, "SEQUENCE_GAP", f"records end at seq {gap - 1} but chain head is {last}")
+    found = (gap, None, "SEQUENCE_GAP", M.CUT_OFF.format(gap - 1, last))
     return _report(spark, False, gap - first, first, gap - 1, deep, runs, found)
 
 
+def verify_chains(events: DataFrame, chain: str, config: LedgerConfig = LedgerConfig()) -> DataFrame:
+    """A row for each of many chains, named by a column: the chain, intact,
+    records_checked, last_seq and the first inconsistency's seq, type and detail,
+    as a walk from seq 1 finds it. Chains are checked beside each other."""
+    ends = events.groupBy(chain).agg(F.max("seq").alias("last_seq"))
+    bad = row_violations(events, config=config, chain=chain).select(chain, "seq", F.lit(0).alias("rank"), "violation_type", "detail")
+    twice = events.groupBy(chain, "seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = twice.select(chain, "seq", F.lit(1).alias("rank"), F.lit(DUPLICATE_KEY).alias("violation_type"), F.format_string("%d rows have seq %d", "n", "seq").alias("detail"))
+    present = events.select(chain, "seq")
+    wanted = present.select(chain, (F.col("seq") + 1).alias("seq")).unionByName(ends.select(chain, F.lit(1).cast("long").alias("seq"))).distinct()
+    missing = wanted.join(present, [chain, "seq"], "left_anti").join(ends, chain).filter(F.col("seq") <= F.col("last_seq"))
+    gaps = missing.groupBy(chain).agg(F.min("seq").alias("seq"))
+    after = present.withColumnRenamed("seq", "later").join(gaps, chain).filter("later > seq").groupBy(chain, "seq").agg(F.min("later").alias("later"))
+    gaps = after.select(chain, "seq", F.lit(0).alias("rank"), F.lit("SEQUENCE_GAP").alias("violation_type"), F.format_string(M.GAP.replace("{}", "%d"), "seq", "later").alias("detail"))
+    first = bad.unionByName(twice).unionByName(gaps).groupBy(chain).agg(F.min_by(F.struct("seq", "violation_type", "detail"), F.struct("seq", "rank", "detail")).alias("v"))
+    joined = ends.join(first, chain, "left")
+    return joined.select(
+        chain, F.col("v").isNull().alias("intact"), F.coalesce("v.seq", "last_seq").alias("records_checked"), "last_seq",
+        F.col("v.seq").alias("violation_seq"), "v.violation_type", "v.detail",
+    )
+
+
 def _report(spark: SparkSession, intact, checked, first, last, deep, runs: DataFrame | None, found) -> DataFrame:
     row = spark.createDataFrame([(intact, checked, first, last, deep, [], found)], REPORT)
     if runs is None:

@@ -139,6 +139,27 @@ def append_actor_chains(spark, sf_dir):
     return append.link_chains(rows, "chain_id", GENESIS)
 
 
+def _actor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain for each actor, appended in two batches."""
+    rows = _incoming(spark, sf_dir).withColumn("chain", F.col("actor_id"))
+    half = rows.agg(F.floor(F.count(F.lit(1)) / 2)).first()[0]
+    options = {"order": ["n"], "recorded_at": F.col("timestamp"), "event_id": F.col("given_id"), "salts": append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), "config": CONFIG}
+    made = staged(append.append_chains(rows.filter(F.col("n") < half), "chain", **options).events, "chains")
+    heads = made.groupBy("chain").agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_hash"))
+    return made.unionByName(append.append_chains(rows.filter(F.col("n") >= half), "chain", heads, **options).events)
+
+
+def append_many_chains(spark, sf_dir):
+    return _actor_chains(spark, sf_dir).select("chain", "seq", "event_id")
+
+
+def verify_many_chains(spark, sf_dir):
+    """Chains of all actors, one row in 101 gone and another one changed."""
+    number = F.pmod(F.conv(F.substr("event_id", F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(101))
+    events = _actor_chains(spark, sf_dir).filter(number != 7).withColumn("event_type", F.when(number == 8, "OTHER").otherwise(F.col("event_type")))
+    return verify.verify_chains(staged(events, "chains"), "chain", CONFIG)
+
+
 def append_head(spark, sf_dir):
     return _chain(spark, sf_dir).agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_record_hash"))
 
@@ -452,8 +473,8 @@ def hmacs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        leaf_commitments, content_hashes, append_chain, append_in_batches, append_default_time, append_stream, append_actor_chains, append_head, append_validation,
-        json_ingest, escaped_pointers, verify_report, verify_tampered_report, verify_violations, verify_ranges, verify_duplicates, verify_increments, verify_gaps,
+        leaf_commitments, content_hashes, append_chain, append_in_batches, append_default_time, append_stream, append_actor_chains, append_many_chains, append_head, append_validation,
+        json_ingest, escaped_pointers, verify_report, verify_tampered_report, verify_violations, verify_many_chains, verify_ranges, verify_duplicates, verify_increments, verify_gaps,
         verify_deep, archived_runs, query_filter, query_by_event_id, query_by_event_ids, query_seq_range, query_by_seqs, query_page, query_page_after, query_page_info,
         redacted_paths, redact_rejects, redact_rows, redact_events, redact_then_verify, redact_again, redact_meta_events, redaction_table, disclosure_proof,
         retention_result, retention_split, retention_tables, bundle_segments, bundle_headers, bundle_of_one, bundle_json, bundle_check, compliance_headers,

@@ -113,7 +113,19 @@ _REPORT_EVENTS = f""" SELECT request_id, 'COMPLIANCE_REPORT_GENERATED' AS event_
   '{{"resourceType":"' || resource_type || '","resourceId":"' || resource_id || '","from":"' || {_SHORT.format('from_c')} || '","to":"' || {_SHORT.format('to_c')}
     || '","requestedBy":"auditor","matchedCount":' || matched_count || ',"reportHash":"' || report_hash || '","bundleHash":"' || bundle_hash || '"}}' AS payload FROM reports"""
 
+_BY_ACTOR = f"{HASHED}, own AS (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY n) AS place, ('0x' || substr(event_id, 1, 8))::BIGINT % 101 AS x FROM hashed)"
+
 ORACLE_SQL = {
+    "append_many_chains": f"{_BY_ACTOR} SELECT actor_id AS chain, place AS seq, event_id FROM own",
+    "verify_many_chains": f"""{_BY_ACTOR},
+kept AS (SELECT actor_id, place, x FROM own WHERE x != 7),
+ends AS (SELECT actor_id, max(place) AS last_seq FROM kept GROUP BY actor_id),
+found AS (
+  SELECT actor_id, place AS seq, 'CONTENT_HASH_MISMATCH' AS kind, 'recomputed content_hash != stored' AS detail FROM kept WHERE x = 8
+  UNION ALL SELECT actor_id, place, 'SEQUENCE_GAP', 'expected seq ' || place || ' but next present record is ' || (SELECT min(k.place) FROM kept k WHERE k.actor_id = own.actor_id AND k.place > own.place)
+  FROM own JOIN ends USING (actor_id) WHERE x = 7 AND place < last_seq),
+first AS (SELECT actor_id, arg_min({{'s': seq, 'k': kind, 'd': detail}}, seq) AS v FROM found GROUP BY actor_id)
+SELECT actor_id AS chain, v IS NULL AS intact, coalesce(v.s, last_seq) AS records_checked, last_seq, v.s AS violation_seq, v.k AS violation_type, v.d AS detail FROM ends LEFT JOIN first USING (actor_id)""",
     "append_in_batches": _LINKED,
     "append_stream": _LINKED,
     "append_default_time": f"{_hashed(_EVENT_TIME, repr(_AT))} SELECT seq, {_EVENT_TIME} AS event_ts_c, '{_AT}' AS recorded_at_c, content_hash FROM hashed",
