@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import let, stored
+from ledgerloom.llm.common import let, scratch, stored
 
 #: Two numbers of letter counts, of three bits each.
 _LETTERS = {"letters": "abcdefghijklmnopqrst", "signs": "0123456789uvwxyz ,.-"}
@@ -342,8 +342,9 @@ def without_repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int |
     """docs with the lines of each text that line_report keeps; no row goes, and
     every other column stays as it is. Null and blank texts stay; rows that
     share an id and a text lose the same lines; an empty table gives no row."""
-    gone = _report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))
-    gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "line_no"), "linesgone")
+    with scratch(docs.sparkSession):
+        gone = _report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))
+        gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "line_no"), "linesgone", lasting=True)
     few = gone.count() <= BROADCAST_ROWS  # then texts aren't shuffled
     gone = gone.groupBy("_id", "_hash").agg(F.collect_set("line_no").alias("_gone"))
     gone = F.broadcast(gone) if few else gone

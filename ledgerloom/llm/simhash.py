@@ -131,31 +131,35 @@ def _near(queries: np.ndarray, points: np.ndarray, radius: int) -> Iterator[tupl
 
 
 def _links_of_leaf(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """A spanning forest of the links within a leaf, or between two blocks of it."""
+    """A spanning forest of the links within a leaf, or between two blocks of
+    it; its edges are links themselves."""
     fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
     home, second = pdf["home"].to_numpy(bool), pdf["block"].to_numpy() != pdf["lo"].to_numpy()
-    label = np.arange(len(fps))
+    label, edges = np.arange(len(fps)), [np.zeros((0, 2), np.int64)]
 
     def join(queries: np.ndarray, points: np.ndarray) -> None:
         if not len(queries) or not len(points):
             return
         for q, near in _near(fps[queries], fps[points], radius):
-            labels = np.unique(np.append(label[points[near]], label[queries[q]]))
-            if len(labels) > 1:
-                label[np.isin(label, labels)] = labels[0]
+            own = queries[q]
+            labels, first = np.unique(label[points[near]], return_index=True)
+            other = labels != label[own]
+            if other.any():
+                met = points[near][first[other]]
+                edges.append(np.stack([np.full(len(met), own), met], 1))
+                label[np.isin(label, labels)] = label[own]
 
     if pdf["lo"].iat[0] == pdf["hi"].iat[0]:
         join(np.arange(len(fps)), np.flatnonzero(home))
     else:
         join(np.flatnonzero(~second), np.flatnonzero(home & second))
         join(np.flatnonzero(second & ~home), np.flatnonzero(home & ~second))
-    other = np.flatnonzero(label != np.arange(len(label)))
-    signed = fps.view(np.int64)
-    return pd.DataFrame({"a": signed[other], "b": signed[label[other]]})
+    ends = fps.view(np.int64)[np.concatenate(edges)]
+    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
 
 def near_links(distinct: DataFrame, radius: int = 4, bands: int = 3, leaf_size: int = 2048, sample_size: int = 4096) -> DataFrame:
-    """(a, b): links that join all fingerprints within the radius.
+    """(a, b): fingerprints within the radius of each other, which join all that are.
 
     distinct has each fingerprint once, in column fp. The result spans what the
     links connect, it doesn't list every pair of a group. Vantage points come
