@@ -58,3 +58,14 @@ def text_or_empty(name: str) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

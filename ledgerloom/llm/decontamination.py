@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import let, stored
+from ledgerloom.llm.common import let, stored, unused
 
 #: At similarity 0.8 the expected distance is 64 * acos(0.889) / pi = 9.7 bits, with a deviation of
 #: 2.9, so some 99.6 % of such windows are within the radius, and more of those that are nearer.
@@ -44,20 +44,20 @@ def shingles_of(words: Column, width: int) -> Column:
 
 
 def simhash_of(hashes: Column) -> Column:
-    """64-bit majority of an array of hashes: bit counts are kept four to a
-    long, in fields of 16 bits, so 16 sums count all 64."""
-    field = F.lit(0x0001000100010001)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{q}") for q in range(16)])
+    """64-bit majority of an array of hashes: bit counts are kept two to a long,
+    in fields of 32 bits (an array has fewer elements), so 32 sums count all 64."""
+    field = F.lit(0x0000000100000001)
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{q}") for q in range(32)])
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"c{q}"] + F.shiftrightunsigned(h, q).bitwiseAND(field)).alias(f"c{q}") for q in range(16)])
+        return F.struct(*[(acc[f"c{q}"] + F.shiftrightunsigned(h, q).bitwiseAND(field)).alias(f"c{q}") for q in range(32)])
 
     def majority(acc: Column) -> Column:
         out = F.lit(0).cast("long")
-        for q in range(16):
-            for f in range(4):
-                b = q + 16 * f
-                count = F.shiftrightunsigned(acc[f"c{q}"], 16 * f).bitwiseAND(F.lit(0xFFFF))
+        for q in range(32):
+            for f in range(2):
+                b = q + 32 * f
+                count = F.shiftrightunsigned(acc[f"c{q}"], 32 * f).bitwiseAND(F.lit(0xFFFFFFFF))
                 out = out.bitwiseOR(F.when(count * 2 > F.size(hashes), F.lit(_LONG_SIGN if b == 63 else 1 << b)).otherwise(F.lit(0)))
         return out
 
@@ -207,6 +207,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     apart; an empty table on either side leaves docs as it is.
     """
     bad = contaminated(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    bad = stored(bad, "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    own_id, own_hash = unused(docs, "_id", "_hash")
+    bad = stored(bad, "contaminated").toDF(own_id, own_hash)
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
     return docs.join(_small(bad, bad.count()), same, "left_anti")

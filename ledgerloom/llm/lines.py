@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import let, scratch, stored
+from ledgerloom.llm.common import let, scratch, stored, unused
 
 #: Two numbers of letter counts, of three bits each.
 _LETTERS = {"letters": "abcdefghijklmnopqrst", "signs": "0123456789uvwxyz ,.-"}
@@ -346,10 +346,11 @@ def without_repeated_lines(docs: DataFrame, threshold: int = 2, min_chars: int |
         gone = _report(docs, threshold, min_chars, id_col, text_col).filter(~F.col("kept"))
         gone = stored(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "line_no"), "linesgone", lasting=True)
     few = gone.count() <= BROADCAST_ROWS  # then texts aren't shuffled
-    gone = gone.groupBy("_id", "_hash").agg(F.collect_set("line_no").alias("_gone"))
+    own_id, own_hash, lines = unused(docs, "_id", "_hash", "_gone")
+    gone = gone.groupBy(F.col("_id").alias(own_id), F.col("_hash").alias(own_hash)).agg(F.collect_set("line_no").alias(lines))
     gone = F.broadcast(gone) if few else gone
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    joined = docs.join(gone, same & F.col("_gone").isNotNull(), "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
+    joined = docs.join(gone, same & F.col(lines).isNotNull(), "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col(lines), i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -96,4 +96,55 @@ scored AS (SELECT *, n_shared / (k + least(k, n) - n_shared) AS similarity FROM
 SELECT doc_id, item_id, arg_max(start, (similarity, -start))::INTEGER AS start_word, (arg_max(least(k, n), (similarity, -start)) + any_value(width) - 1)::INTEGER AS n_words, round(max(similarity), 6) AS similarity
 FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 
-ORACLE_SQL = {"op1_sharding": _SHARDING, "op2_lines": _LINES, "op4_secrets": _SECRETS, "op7_decontamination": _CONTAMINATED}
+# --- op11: sets of word pairs, all pairs of sets that share one, and what links reach.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEAR_COPIES = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+sets AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT id, n, unnest(s) AS shingle FROM sets),
+shared AS (SELECT x.id AS a, y.id AS b, x.n AS an, y.n AS bn, count(*) AS k FROM each x JOIN each y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (an + bn - k)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, t.b FROM reach r JOIN sides t ON r.b = t.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+labelled AS (SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(least(l.m, e.id), d.doc_id) AS component_id FROM shingled d LEFT JOIN sets e ON e.s = d.s LEFT JOIN least l ON l.a = e.id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labelled"""
+
+# --- op12: a prefix is the text of its turns' digests, so its ancestors are its beginnings.
+_TRIE = f"""WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, {_CRC} % 6 AS head FROM (SELECT c, c::VARCHAR AS t, hex(encode(c::VARCHAR)) AS h FROM ids)),
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x, size) AS i, x, size
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS size FROM conversations)),
+rebuilt AS (
+  SELECT h.c, 0 AS part, i, x, size FROM heads h JOIN turns t ON t.c = h.c - h.c % 100 AND t.i <= head
+  UNION ALL SELECT h.c, 1, i, x, size FROM heads h JOIN turns t ON t.c = h.c AND t.i > head),
+listed AS (SELECT c, list(x ORDER BY part, i) AS xs, list(size ORDER BY part, i) AS sizes FROM rebuilt GROUP BY c),
+whole AS (SELECT ids.c, coalesce(xs, []) AS xs, coalesce(sizes, []) AS sizes FROM ids LEFT JOIN listed USING (c)),
+prefixes AS (SELECT c, d, array_to_string(xs[1:d], '') AS p, coalesce(sizes[d], 0) AS size, d = len(xs) AS ends FROM (SELECT *, unnest(range(len(xs) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ends FROM prefixes GROUP BY p, d),
+children AS (SELECT left(p, 32 * (d - 1)) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT o.*, coalesce(n, 0) AS n_children, (n IS NULL)::BIGINT AS leaf, (n_convs - 1) * size AS saved FROM nodes o LEFT JOIN children USING (p)),
+sums AS (SELECT left(p, 32 * k) AS p, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT p, leaf, saved, unnest(range(d + 1)) AS k FROM own) GROUP BY ALL)
+SELECT o.conv_id, o.d::BIGINT AS depth, q.conv_id AS parent_conv_id, o.n_convs, n_children, n_leaves, saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN sums USING (p) LEFT JOIN nodes q ON o.d > 0 AND q.p = left(o.p, 32 * (o.d - 1))"""
+
+# --- op13: every anchor against every row.
+_NEGATIVES = """WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score FROM vectors a JOIN vectors r ON a.vec_id % 50 = 0 AND r.vec_id != a.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+ranked AS (
+  SELECT p.*, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank
+  FROM positives p JOIN scored s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3"""
+
+ORACLE_SQL = {
+    "op1_sharding": _SHARDING, "op2_lines": _LINES, "op4_secrets": _SECRETS, "op7_decontamination": _CONTAMINATED, "op11_minhash": _NEAR_COPIES,
+    "op12_prefixes": _TRIE, "op13_negatives": _NEGATIVES,
+}

@@ -44,17 +44,44 @@ def load_encoding(name: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     with open(public_tokenizers.path(f"{name}.json"), "rb") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    if max([*ranks.values(), *special.values()]) > 0xFFFF:
+        raise ValueError(f"{name} has ids beyond 16 bits, in which they are stored")
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def load_tokenizer(name: str, special_tokens: bool):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(f"{name}.json")))
+    tokenizer.encode_special_tokens = not special_tokens
+    return tokenizer
+
+
+def encoder(name: str, special_tokens: bool):
+    """ids of a text. Ranks are the faster way; their pattern gives up on a run
+    of about a million white-space characters, and such a text goes to the
+    tokenizer of the JSON file, whose ids are the same."""
+    encoding = load_encoding(name)
+    fast = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast(text)
+        except ValueError:
+            return load_tokenizer(name, special_tokens).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 def tokenise(docs: DataFrame, queue, source, tokenizer: str, end_id: int, id_col: str, text_col: str, special_tokens: bool) -> DataFrame:
     """(doc_id, source, part, queue, local_start, n, ids) of every row: its ids as
     little-endian 16-bit numbers and where they start in what the task has for
     that queue. Stored, so parts stay what they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ends = load_encoding(tokenizer), np.array([end_id], "<u2")
-        encode = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
+        encode, ends = encoder(tokenizer, special_tokens), np.array([end_id], "<u2")
         part, reached = TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

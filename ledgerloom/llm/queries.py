@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import audio, decontamination, licenses, lines, packing, secrets, sharding, simhash, toxicity, urls
+from ledgerloom.llm import audio, decontamination, licenses, lines, minhash, negatives, packing, prefixes, secrets, sharding, simhash, toxicity, urls
 from ledgerloom.llm.common import read_table
 from ledgerloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -51,6 +51,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), special_tokens=True)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lines": op2_lines,
@@ -62,4 +74,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_minhash": op11_minhash,
+    "op12_prefixes": op12_prefixes,
+    "op13_negatives": op13_negatives,
 }

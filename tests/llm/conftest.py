@@ -19,7 +19,7 @@ def odd_docs(spark):
         (None, None, None, "b"),
         (7, "é😀 ünïcode\x00 text with a secret: hunter2hunter2", "de", "c"),
     ]
-    extra = "shard int, slot string, fp int, line string, key int, part string, queue int, n int, at int, start string, score string, text_hash int, words string, id string, h1 int, path string, blob int"
+    extra = "shard int, slot string, fp int, line string, key int, part string, queue int, n int, at int, start string, score string, text_hash int, words string, id string, h1 int, path string, blob int, _id string, _hash int, _gone int, sig int, component_id string, label string"
     names = [c.split()[0] for c in extra.split(", ")]
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
     return spark.createDataFrame([(*r, len(r[1] or ""), *[None] * len(names)) for r in rows], schema)
