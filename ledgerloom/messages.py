@@ -19,6 +19,7 @@ LEAF_MODIFIED = " was modified"
 LEAF_ADDED = " was added after the record was written"
 NO_SALT = "no salt for payload leaf "
 GAP = "expected seq {} but next present record is {}"
+NOT_ANCHORED = "predecessor of seq %d is missing; the range can't be anchored"
 CUT_OFF = "records end at seq {} but chain head is {}"
 
 # What a bundle check tells.

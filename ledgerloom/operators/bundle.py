@@ -7,14 +7,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import messages as M
 from ledgerloom.config import LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, parse_payload
-from ledgerloom.operators.tables import with_redacted_paths
+from ledgerloom.operators.tables import contiguous_runs, event_keys, staged, with_redacted_paths, with_running_max
 
 
 @dataclass
@@ -36,10 +36,12 @@ def selector(resource_id: str | None = None, actor_id: str | None = None) -> tup
     return given[0]
 
 
-def select_by(events: DataFrame, column: str, filter_type: str) -> tuple[DataFrame, DataFrame]:
-    """(selection, filters) of one bundle for every value of a column."""
+def select_by(events: DataFrame, column: str, filter_type: str, chain: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selection, filters) of one bundle for every value of a column, and for
+    every chain where there are many: a bundle proves rows of one chain."""
     key = F.concat(F.lit(f"{filter_type}="), F.col(column))
-    selection = events.select(key.alias("bundle_key"), "seq")
+    key = key if chain is None else F.concat(F.col(chain), F.lit("/"), key)
+    selection = events.select(key.alias("bundle_key"), *event_keys(chain))
     filters = events.select(key.alias("bundle_key"), F.lit(filter_type).alias("filter_type"), F.col(column).alias("filter_value")).distinct()
     return selection, filters
 
@@ -69,23 +71,18 @@ def record_text() -> Column:
     )
 
 
-def runs(selection: DataFrame) -> DataFrame:
+def runs(selection: DataFrame, key: str | list[str] = "bundle_key") -> DataFrame:
     """(bundle_key, from_seq, to_seq) of the contiguous runs of selected seqs,
     by their ends, so a bundle with most of the rows is no single window."""
-    rows = selection.select("bundle_key", "seq").distinct()
-    firsts = rows.join(rows.select("bundle_key", (F.col("seq") + 1).alias("seq")), ["bundle_key", "seq"], "left_anti")
-    lasts = rows.join(rows.select("bundle_key", (F.col("seq") - 1).alias("seq")), ["bundle_key", "seq"], "left_anti")
-    number = F.row_number().over(Window.partitionBy("bundle_key").orderBy("seq"))
-    firsts = firsts.select("bundle_key", F.col("seq").alias("from_seq"), number.alias("_n"))
-    lasts = lasts.select("bundle_key", F.col("seq").alias("to_seq"), number.alias("_n"))
-    return firsts.join(lasts, ["bundle_key", "_n"]).select("bundle_key", "from_seq", "to_seq")
+    return contiguous_runs(selection, [key] if isinstance(key, str) else key)
 
 
-def anchored(segments: DataFrame, events: DataFrame, genesis: str) -> DataFrame:
+def anchored(segments: DataFrame, events: DataFrame, genesis: str, chain: str | None = None) -> DataFrame:
     """segments with the record hash before each; reading it fails where that
     row is missing, as such a proof can't be made."""
-    prior = events.select((F.col("seq") + 1).alias("from_seq"), F.col("record_hash").alias("_prior"))
-    joined = segments.join(prior, "from_seq", "left")
+    by = [*event_keys(chain)[:-1], "from_seq"]
+    prior = events.select(*by[:-1], (F.col("seq") + 1).alias("from_seq"), F.col("record_hash").alias("_prior"))
+    joined = segments.join(prior, by, "left")
     missing = F.raise_error(F.concat(F.lit("predecessor of seq "), F.col("from_seq").cast("string"), F.lit(" missing; cannot build segment proof")))
     prior_hash = F.when(F.col("from_seq") <= 1, F.lit(genesis)).when(F.col("_prior").isNotNull(), F.col("_prior")).otherwise(missing.cast("string"))
     return joined.select("bundle_key", "from_seq", "to_seq", prior_hash.alias("prior_record_hash"))
@@ -117,7 +114,8 @@ def ordered_digests(parts: DataFrame, key: str = "bundle_key") -> DataFrame:
 
 
 def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame) -> DataFrame:
-    """(bundle_key, digest) of the canonical text without hash and hmac."""
+    """(bundle_key, digest) of the canonical text without hash and hmac;
+    records have their canonical texts in column text."""
     lead = H.object_text([
         ("bundleVersion", json_string(F.col("bundle_version"))),
         ("exportedAt", json_string(F.col("exported_at"))),
@@ -137,7 +135,7 @@ def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame) -
     def fixed(kind: int, text: Column) -> DataFrame:
         return headers.select("bundle_key", F.struct(F.lit(kind).alias("k"), F.lit(0).cast("long").alias("n")).alias("place"), text.alias("text"))
 
-    parts = fixed(0, opening).unionByName(listed(records.select("bundle_key", "seq", record_text().alias("text")), 1)).unionByName(fixed(2, F.lit('],"segments":[')))
+    parts = fixed(0, opening).unionByName(listed(records.select("bundle_key", "seq", "text"), 1)).unionByName(fixed(2, F.lit('],"segments":[')))
     parts = parts.unionByName(listed(segments.select("bundle_key", F.col("from_seq").alias("seq"), segment.alias("text")), 3)).unionByName(fixed(4, F.lit("]}")))
     place = F.col("place.k").cast("long") * F.lit(1 << 56) + F.col("place.n")
     return ordered_digests(parts.select("bundle_key", place.alias("place"), "text"))
@@ -147,40 +145,53 @@ RECORD_COLUMNS = ["seq", "event_id", "event_type", "actor_id", "resource_type",
 
 
 def export_bundles(
-    events: DataFrame, selection: DataFrame, filters: DataFrame, exported_at: str, redactions: DataFrame | None = None, config: LedgerConfig = LedgerConfig()
+    events: DataFrame,
+    selection: DataFrame,
+    filters: DataFrame,
+    exported_at: str,
+    redactions: DataFrame | None = None,
+    config: LedgerConfig = LedgerConfig(),
+    chain: str | None = None,
 ) -> Bundles:
     """One bundle for each row of filters (bundle_key, filter_type,
-    filter_value), of the seqs that selection (bundle_key, seq) names."""
-    chosen = selection.select("bundle_key", "seq").distinct()
-    shown = with_redacted_paths(events, redactions).withColumn("archived", F.col("archived_at").isNotNull()).withColumn("payload_canonical", F.col("payload_json"))
-    records = chosen.join(shown, "seq").select("bundle_key", *RECORD_COLUMNS)
-    segments = anchored(runs(records), events, config.genesis)
+    filter_value), of the seqs that selection (bundle_key, seq) names; where
+    events are of many chains, selection names the chain too, one for a bundle."""
+    keys = event_keys(chain)
+    chosen = selection.select("bundle_key", *keys).distinct()
+    shown = with_redacted_paths(events, redactions, chain).withColumn("archived", F.col("archived_at").isNotNull()).withColumn("payload_canonical", F.col("payload_json"))
+    records = chosen.join(shown, keys).select("bundle_key", *RECORD_COLUMNS)
+    present = chosen.join(events.select(*keys), keys, "left_semi")
+    segments = staged(anchored(runs(present, ["bundle_key", *keys[:-1]]), events, config.genesis, chain), "segments")
     headers = filters.select("bundle_key", F.lit("1").alias("bundle_version"), F.lit(exported_at).alias("exported_at"), "filter_type", "filter_value", F.lit(config.genesis).alias("genesis_hash"))
-    digests = bundle_hashes(headers, records, segments).withColumnRenamed("digest", "bundle_hash")
+    texts = records.select("bundle_key", "seq", record_text().alias("text"))
+    digests = bundle_hashes(headers, texts, segments).withColumnRenamed("digest", "bundle_hash")
     signed = H.hmac_sha256_hex(config.hmac_secret, F.col("bundle_hash")) if config.hmac_secret else F.lit(None).cast("string")
     return Bundles(headers.join(digests, "bundle_key").withColumn("hmac", signed), records, segments)
 
 
 def bundle_problems(bundles: Bundles, secret: str | None = None) -> DataFrame:
-    """(bundle_key, problem): a row for everything that is wrong with a bundle."""
-    records = bundles.records.withColumn("_parsed", parse_payload(F.col("payload_json")))
-    canonical = records.withColumn("payload_canonical", F.col("_parsed.canonical"))
-    digests = bundle_hashes(bundles.headers, canonical, bundles.segments)
+    """(bundle_key, problem): a row for everything that is wrong with a bundle.
+    Records are parsed once: their own problems and canonical payloads are staged,
+    and the latter are what the bundles' hashes are made of."""
+    at = F.concat(F.lit(M.AT_SEQ), F.col("seq").cast("string"))
+    linked = H.record_hash(F.col("prev_hash"), F.col("content_hash"))
+    none = F.array().cast("array<string>")
+    parsed = bundles.records.withColumn("_parsed", parse_payload(F.col("payload_json")))
+    own = F.concat(
+        F.when(F.col("payload_json").isNull(), none).otherwise(_leaf_problems(at)),
+        F.when(F.equal_null(H.content_hash(), F.col("content_hash")), none).otherwise(F.array(F.concat(F.lit(M.BUNDLE_CONTENT_DIFFERS), at))),
+        F.when(F.equal_null(linked, F.col("record_hash")), none).otherwise(F.array(F.concat(F.lit(M.BUNDLE_RECORD_DIFFERS), at))),
+    )
+    checked = parsed.withColumn("payload_canonical", F.col("_parsed.canonical"))
+    checked = staged(checked.select("bundle_key", "seq", "prev_hash", "record_hash", record_text().alias("text"), own.alias("problems")), "checkedrecords")
+    digests = bundle_hashes(bundles.headers, checked, bundles.segments)
     headers = bundles.headers.join(digests, "bundle_key", "left")
-    found = [headers.filter(~F.equal_null("digest", "bundle_hash")).select("bundle_key", F.lit(M.BUNDLE_HASH_DIFFERS).alias("problem"))]
+    problems = headers.filter(~F.equal_null("digest", "bundle_hash")).select("bundle_key", F.lit(M.BUNDLE_HASH_DIFFERS).alias("problem"))
     if secret is not None:
         wrong = F.col("hmac").isNotNull() & (H.hmac_sha256_hex(secret, F.col("bundle_hash")) != F.col("hmac"))
-        found.append(headers.filter(wrong).select("bundle_key", F.lit(M.HMAC_DIFFERS).alias("problem")))
-    at = F.concat(F.lit(M.AT_SEQ), F.col("seq").cast("string"))
-    found.append(records.filter(F.col("payload_json").isNotNull()).select("bundle_key", F.explode(_leaf_problems(at)).alias("problem")))
-    found.append(records.filter(~F.equal_null(H.content_hash(), F.col("content_hash"))).select("bundle_key", F.concat(F.lit(M.BUNDLE_CONTENT_DIFFERS), at).alias("problem")))
-    linked = H.record_hash(F.col("prev_hash"), F.col("content_hash"))
-    found.append(records.filter(~F.equal_null(linked, F.col("record_hash"))).select("bundle_key", F.concat(F.lit(M.BUNDLE_RECORD_DIFFERS), at).alias("problem")))
-    found.append(_segment_problems(bundles))
-    problems = found[0]
-    for more in found[1:]:
-        problems = problems.unionByName(more)
-    return problems
+        problems = problems.unionByName(headers.filter(wrong).select("bundle_key", F.lit(M.HMAC_DIFFERS).alias("problem")))
+    problems = problems.unionByName(checked.filter(F.size("problems") > 0).select("bundle_key", F.explode("problems").alias("problem")))
+    return problems.unionByName(_segment_problems(checked, bundles.segments))
 
 
 def verify_bundles(bundles: Bundles, secret: str | None = None, listed: bool = False) -> DataFrame:
@@ -206,26 +217,27 @@ def _leaf_problems(at: Column) -> Column:
     return F.filter(F.transform(H.entries(F.col("leaf_commitments_json")), check), lambda p: p.isNotNull())
 
 
-def _segment_problems(bundles: Bundles) -> DataFrame:
+def _segment_problems(records: DataFrame, segments: DataFrame) -> DataFrame:
     """Records that a segment lacks (the first ends its check) and links that
     don't hold within it.
 
     Only the ends of the records' runs, the segments' starts and the broken
     links are put in order, so a segment costs the same however long it claims
-    to be.
+    to be. They lie in ranges, so a bundle with most of them is many tasks' work.
     """
-    ends = runs(bundles.records).select("bundle_key", F.col("from_seq").alias("at"), F.lit(0).alias("rank"), F.col("to_seq").alias("run_to"), F.lit(None).cast("long").alias("seg_to"), F.lit(None).cast("string").alias("prior"))
-    starts = bundles.segments.select("bundle_key", F.col("from_seq").alias("at"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("run_to"), F.col("to_seq").alias("seg_to"), F.col("prior_record_hash").alias("prior"))
-    so_far = Window.partitionBy("bundle_key").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    run_end = F.last("run_to", ignorenulls=True).over(so_far)
-    present = F.greatest(F.coalesce(run_end, F.col("at") - 1), F.col("at") - 1)  # up to here no record is missing
-    marked = ends.unionByName(starts).withColumn("_end", F.least(present, "seg_to")).filter("rank = 1")
+    null = F.lit(None).cast("long")
+    ends = runs(records).select("bundle_key", F.col("from_seq").alias("at"), F.lit(0).alias("rank"), F.col("to_seq").alias("run_to"), null.alias("seg_to"), F.lit(None).cast("string").alias("prior"))
+    starts = segments.select("bundle_key", F.col("from_seq").alias("at"), F.lit(1).alias("rank"), null.alias("run_to"), F.col("to_seq").alias("seg_to"), F.col("prior_record_hash").alias("prior"))
+    marked = with_running_max(ends.unionByName(starts), ["bundle_key"], ["at", "rank"], "run_to", "_reached")
+    present = F.greatest(F.coalesce("_reached", F.col("at") - 1), F.col("at") - 1)  # up to here no record is missing
+    marked = staged(marked.withColumn("_end", F.least(present, "seg_to")).filter("rank = 1"), "segmentstarts")
     gone = marked.filter("seg_to > _end").select("bundle_key", F.concat(F.lit(M.SEGMENT_RECORD_MISSING), (F.col("_end") + 1).cast("string")).alias("problem"))
-    own = bundles.records.select("bundle_key", "seq", "prev_hash")
-    before = bundles.records.select("bundle_key", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
+    own = records.select("bundle_key", "seq", "prev_hash")
+    before = records.select("bundle_key", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
     first = marked.filter("_end >= at").select("bundle_key", F.col("at").alias("seq"), "prior").join(own, ["bundle_key", "seq"])
     first = first.filter(~F.equal_null("prior", "prev_hash")).select("bundle_key", "seq")
-    inner = own.join(before, ["bundle_key", "seq"]).filter(~F.equal_null("_before", "prev_hash")).select("bundle_key", F.col("seq").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("_end"))
-    covered = inner.unionByName(marked.select("bundle_key", "at", "rank", "_end")).withColumn("_covered", F.max("_end").over(so_far)).filter((F.col("rank") == 0) & (F.col("_covered") >= F.col("at")))
+    inner = own.join(before, ["bundle_key", "seq"]).filter(~F.equal_null("_before", "prev_hash")).select("bundle_key", F.col("seq").alias("at"), F.lit(0).alias("rank"), null.alias("_end"))
+    covered = with_running_max(inner.unionByName(marked.select("bundle_key", "at", "rank", "_end")), ["bundle_key"], ["at", "rank"], "_end", "_covered")
+    covered = covered.filter((F.col("rank") == 0) & (F.col("_covered") >= F.col("at")))
     broken = first.unionByName(covered.select("bundle_key", F.col("at").alias("seq"))).distinct()
     return gone.unionByName(broken.select("bundle_key", F.concat(F.lit(M.SEGMENT_LINK_BROKEN), F.col("seq").cast("string")).alias("problem")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import messages as M
@@ -17,6 +17,8 @@ from ledgerloom.operators.verify import verify_chain
 
 #: Requests that may be sent to every task.
 BROADCAST_REQUESTS = 200_000
+#: Widths of time bins.
+BIN_DAYS = (1, 32, 1024)
 
 
 @dataclass
@@ -28,18 +30,57 @@ class AccessReports:
     meta_events: DataFrame
 
 
-def matched_events(events: DataFrame, requests: DataFrame, config: LedgerConfig = LedgerConfig(), scan_cap: int | None = None) -> DataFrame:
+def _day(instant: Column) -> Column:
+    return F.unix_date(F.to_date(F.substr(instant, F.lit(1), F.lit(10))))
+
+
+def _bins(day: Column, days: int) -> Column:
+    return F.floor(day / F.lit(days)).cast("long")
+
+
+def _binned_requests(wanted: DataFrame) -> DataFrame:
+    """wanted with (_level, _bin) of the days that each window touches: bins of
+    the narrowest width of which it touches 33 at most. A window that is open on
+    one side goes with the widest bins from there on, or with none if it has no end."""
+    first, last = _day(F.col("from_c")), _day(F.col("to_c"))
+    every = F.array(F.struct(F.lit(len(BIN_DAYS)).alias("level"), F.lit(0).cast("long").alias("bin")))
+    chosen = every
+    for level in reversed(range(len(BIN_DAYS))):
+        days = BIN_DAYS[level]
+        spread = F.transform(F.sequence(_bins(first, days), F.greatest(_bins(first, days), _bins(last, days))), lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+        chosen = F.when(F.col("from_c").isNotNull() & F.col("to_c").isNotNull() & (last - first <= 32 * days), spread).otherwise(chosen)
+    return wanted.withColumn("_at", F.explode(chosen)).select("*", F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin")).drop("_at")
+
+
+def _binned_events(rows: DataFrame) -> DataFrame:
+    """rows with the bin of each width that their day lies in."""
+    day = _day(F.col("event_ts_c"))
+    own = [F.struct(F.lit(level).alias("level"), _bins(day, days).alias("bin")) for level, days in enumerate(BIN_DAYS)]
+    own.append(F.struct(F.lit(len(BIN_DAYS)).alias("level"), F.lit(0).cast("long").alias("bin")))
+    return rows.withColumn("_at", F.explode(F.array(*own))).select("*", F.col("_at.level").alias("_level2"), F.col("_at.bin").alias("_bin2")).drop("_at")
+
+
+def matched_events(
+    events: DataFrame, requests: DataFrame, config: LedgerConfig = LedgerConfig(), scan_cap: int | None = None, broadcast_requests: int = BROADCAST_REQUESTS
+) -> DataFrame:
     """(request_id, seq) of the access events of each request's resource within
     [from_c, to_c). scan_cap=n looks only at the n first rows of each, before
-    types are filtered, as a single request of the service does."""
+    types are filtered, as a single request of the service does.
+
+    A moderate number of requests is broadcast. More are joined by resource and
+    time bins, so that an account with very many rows and very many short windows
+    meets a window's rows only, and its bins are spread over tasks.
+    """
     wanted = requests.select("request_id", F.col("resource_type").alias("_type"), F.col("resource_id").alias("_id"), "from_c", "to_c")
-    if requests.count() <= BROADCAST_REQUESTS:
-        wanted = F.broadcast(wanted)
     rows = events.select("seq", "event_type", "resource_type", "resource_id", "event_ts_c")
     if scan_cap is None:
         rows = rows.filter(F.col("event_type").isin(*config.access_event_types))
     within = (F.col("from_c").isNull() | (F.col("event_ts_c") >= F.col("from_c"))) & (F.col("to_c").isNull() | (F.col("event_ts_c") < F.col("to_c")))
-    found = rows.join(wanted, (F.col("resource_type") == F.col("_type")) & (F.col("resource_id") == F.col("_id")) & within)
+    same = (F.col("resource_type") == F.col("_type")) & (F.col("resource_id") == F.col("_id"))
+    if requests.count() <= broadcast_requests:
+        found = rows.join(F.broadcast(wanted), same & within)
+    else:
+        found = _binned_events(rows).join(_binned_requests(wanted), same & (F.col("_level2") == F.col("_level")) & (F.col("_bin2") == F.col("_bin")) & within)
     if scan_cap is not None:
         place = F.row_number().over(Window.partitionBy("request_id").orderBy("seq"))
         found = found.withColumn("_place", place).filter(F.col("_place") <= scan_cap).filter(F.col("event_type").isin(*config.access_event_types))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,108 +13,152 @@ from ledgerloom import messages as M
 from ledgerloom.config import REDACTION_EVENT_TYPE, REDACTION_RESOURCE_TYPE, SENTINEL_PREFIX, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, replace_leaves
-from ledgerloom.operators.tables import staged
-from ledgerloom.schemas import EVENT_COLUMNS
+from ledgerloom.operators.tables import broadcast_if_small, event_keys, staged
 
 
 @dataclass
 class Redacted:
     """redactions: new rows of that table; events: the whole patched event table;
+    patches: the payloads and salts that change, for a table that merges them;
     rejected: (request_id, reason); meta_events: new events to append, in order."""
 
     redactions: DataFrame
     events: DataFrame
+    patches: DataFrame
     rejected: DataFrame
     meta_events: DataFrame
 
 
-def redaction_id(run_id: str) -> Column:
+def redaction_id(run_id: str, chain: str | None = None) -> Column:
     """An id that a retried task draws again: from the run, the event and the path."""
-    digest = H.domain_hash(F.lit(run_id), F.col("seq").cast("string"), F.col("field_path"))
+    where = [F.col("seq").cast("string"), F.col("field_path")]
+    digest = H.domain_hash(F.lit(run_id), *([] if chain is None else [F.col(chain)]), *where)
     cut = [F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat_ws("-", *cut)
 
 
-def _conflict_losers(paths: DataFrame) -> DataFrame:
+def _conflict_losers(paths: DataFrame, chain: str | None = None) -> DataFrame:
     """(request_id) of requests that meet a leaf which an earlier request takes.
 
-    Earlier means in order of request_id. A request that is itself turned away
-    takes nothing, so the least undecided request of each leaf decides, round
-    by round; a round settles at least one request of every group that meets.
+    Earlier means in order of request_id; a request that is itself turned away
+    takes nothing. A request names one event, so only requests of one event can
+    meet: events with a leaf that two requests want go, in order, through a fold
+    that knows the leaves taken so far. One pass, however long a row of requests
+    that hang on each other is; a task holds the leaves of one event.
     """
-    open_, lost = paths.select("request_id", "seq", "field_path"), None
-    while True:
-        contested = open_.groupBy("seq", "field_path").agg(F.min("request_id").alias("first"), F.count_distinct("request_id").alias("n")).filter("n > 1")
-        contested = staged(contested, "contested")
-        if contested.isEmpty():
-            return lost if lost is not None else paths.select("request_id").limit(0)
-        behind = open_.join(contested, ["seq", "field_path"]).filter("request_id != first").select("request_id").distinct()
-        winners = contested.select(F.col("first").alias("request_id")).distinct().join(behind, "request_id", "left_anti")
-        taken = open_.join(winners, "request_id", "left_semi").select("seq", "field_path").distinct()
-        out = open_.join(taken, ["seq", "field_path"], "left_semi").join(winners, "request_id", "left_anti").select("request_id").distinct()
-        out = staged(out, "losers")
-        lost = out if lost is None else lost.unionByName(out)
-        open_ = staged(open_.join(out, "request_id", "left_anti"), "undecided")
+    keys = event_keys(chain)
+    wanted = paths.groupBy(*keys, "field_path").agg(F.count_distinct("request_id").alias("n")).filter("n > 1").select(*keys).distinct()
+    contested = paths.join(wanted, keys, "left_semi").select(F.concat_ws("\x1f", *keys).alias("event"), "request_id", "field_path")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        event, request, asked, taken = None, None, [], set()
+
+        def turned_away() -> bool:
+            if any(p in taken for p in asked):
+                return True
+            taken.update(asked)
+            return False
+
+        for frame in frames:
+            out = []
+            for e, r, path in zip(frame["event"], frame["request_id"], frame["field_path"]):
+                if (e, r) != (event, request):
+                    if asked and turned_away():
+                        out.append(request)
+                    taken = taken if e == event else set()
+                    event, request, asked = e, r, []
+                asked.append(path)
+            yield pd.DataFrame({"request_id": out}, dtype=object)
+        if asked and turned_away():
+            yield pd.DataFrame({"request_id": [request]}, dtype=object)
+
+    ordered = contested.repartition("event").sortWithinPartitions("event", "request_id")
+    return ordered.mapInPandas(fold, "request_id string")
 
 
 def redact(
-    events: DataFrame, redactions: DataFrame, requests: DataFrame, run_id: str, redacted_at: Column | None = None, config: LedgerConfig = LedgerConfig()
+    events: DataFrame,
+    redactions: DataFrame,
+    requests: DataFrame,
+    run_id: str,
+    redacted_at: Column | None = None,
+    config: LedgerConfig = LedgerConfig(),
+    chain: str | None = None,
 ) -> Redacted:
     """Apply redaction requests to the event table. No hash changes: the leaf's
-    commitment stays and its value becomes a sentinel."""
+    commitment stays and its value becomes a sentinel. Events of many chains
+    name theirs in a column, which redactions and results have too."""
+    keys = event_keys(chain)
     redacted_at = F.current_timestamp() if redacted_at is None else redacted_at
-    found = requests.join(events.select("event_id", "seq", "archived_at", "leaf_commitments_json", "leaf_salts_json"), "event_id", "left")
+    wanted = broadcast_if_small(requests.select("event_id").distinct())  # then events aren't shuffled to be found
+    columns = ["event_id", *keys, "archived_at", "recorded_at_c", "payload_json", "leaf_commitments_json", "leaf_salts_json"]
+    targets = staged(events.select(*columns).join(wanted, "event_id", "left_semi"), "targets")
+    found = requests.join(targets.select("event_id", *keys, "archived_at"), "event_id", "left")
     n_paths = F.coalesce(F.size("field_paths"), F.lit(0))
     reason = (
         F.when(F.col("seq").isNull(), F.concat(F.lit(M.NO_EVENT), F.coalesce("event_id", F.lit("null"))))
         .when(F.col("archived_at").isNotNull(), F.concat(F.lit(M.IS_ARCHIVED), F.col("seq").cast("string")))
         .when(n_paths <= 0, F.lit(M.NO_PATHS))
     )
-    found = staged(found.withColumn("reason", reason), "requests")
+    found = staged(found.withColumnRenamed("reason", "_why").withColumn("reason", reason), "requests")
     paths = found.filter("reason is null").select("*", F.posexplode("field_paths").alias("at", "field_path"))
-    taken = redactions.select(F.col("event_seq").alias("seq"), "field_path", F.lit(True).alias("_taken"))
-    paths = paths.join(taken, ["seq", "field_path"], "left")
-    commitment = H.string_map(F.col("leaf_commitments_json"))[F.col("field_path")]
+    taken = redactions.withColumnRenamed("event_seq", "seq").select(*keys, "field_path", F.lit(True).alias("_taken")).distinct()
+    paths = paths.join(taken, [*keys, "field_path"], "left").join(_leaves(targets, keys), [*keys, "field_path"], "left")
     repeated = F.array_position("field_paths", F.col("field_path")) != F.col("at") + 1
     fault = (
-        F.when(commitment.isNull(), F.concat(F.lit(M.NO_LEAF), F.col("field_path")))
+        F.when(F.col("commitment").isNull(), F.concat(F.lit(M.NO_LEAF), F.col("field_path")))
         .when(F.col("_taken").isNotNull() | repeated, F.concat(F.col("field_path"), F.lit(M.ALREADY_REDACTED), F.col("seq").cast("string")))
         .when(F.col("field_path") == "", F.lit("the payload itself cannot be redacted"))
     )
-    paths = paths.withColumn("commitment", commitment).withColumn("fault", fault)
+    paths = paths.withColumn("fault", fault)
     faults = paths.filter("fault is not null").groupBy("request_id").agg(F.min_by("fault", "at").alias("reason"))
     sound = staged(paths.join(faults.select("request_id"), "request_id", "left_anti").drop("reason", "fault", "_taken"), "paths")
-    losers = _conflict_losers(sound)
+    losers = staged(_conflict_losers(sound, chain), "losers")
     early = sound.join(losers, "request_id", "left_semi").groupBy("request_id").agg(F.min_by(F.struct("field_path", "seq"), "at").alias("p"))
     late = early.select("request_id", F.concat(F.lit("a leaf is redacted by an earlier request on seq "), F.col("p.seq").cast("string")).alias("reason"))
     rejected = found.filter("reason is not null").select("request_id", "reason").unionByName(faults).unionByName(late)
     won = sound.join(losers, "request_id", "left_anti")
     keep = F.coalesce("retain_salt", F.lit(config.retain_salt))
-    salt = H.string_map(F.col("leaf_salts_json"))[F.col("field_path")]
-    won = won.select("*", keep.alias("keep"), salt.alias("salt"), redaction_id(run_id).alias("redaction_id"))
-    won = staged(won, "redactions")
-    rows = won.join(requests.select("request_id", "reason"), "request_id").select(
-        "redaction_id", F.col("seq").alias("event_seq"), "field_path", F.col("commitment").alias("field_commitment"),
+    own_id = redaction_id(run_id) if chain is None else redaction_id(run_id, chain)
+    won = staged(won.select("*", keep.alias("keep"), own_id.alias("redaction_id")), "redactions")
+    rows = won.select(
+        "redaction_id", *keys[:-1], F.col("seq").alias("event_seq"), "field_path", F.col("commitment").alias("field_commitment"),
         F.when(F.col("keep"), F.col("salt")).alias("field_salt"), (F.col("keep") & F.col("salt").isNotNull()).alias("salt_retained"),
-        "reason", "redacted_by", redacted_at.alias("redacted_at"),
+        F.col("_why").alias("reason"), "redacted_by", redacted_at.alias("redacted_at"),
     )
-    return Redacted(rows, patched(events, won), rejected, _meta_events(requests, won))
+    patches = _patches(won, targets, keys)
+    return Redacted(rows, patched(events, patches, chain), patches, rejected, _meta_events(requests, won))
 
 
-def patched(events: DataFrame, won: DataFrame) -> DataFrame:
-    changes = won.groupBy("seq").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("field_path").alias("pointer"), F.concat(F.lit(SENTINEL_PREFIX), F.col("redaction_id")).alias("value")))).alias("_changes")
-    )
-    joined = events.join(changes, "seq", "left")
+def _leaves(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field_path, commitment, salt) of all leaves of the events."""
+
+    def listed(column: str, name: str) -> DataFrame:
+        pairs = targets.select(*keys, F.explode(H.entries(F.col(column))).alias("e"))
+        return pairs.select(*keys, F.col("e.key").alias("field_path"), F.col("e.value").alias(name))
+
+    return listed("leaf_commitments_json", "commitment").join(listed("leaf_salts_json", "salt"), [*keys, "field_path"], "left")
+
+
+def _patches(won: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, payload_json, leaf_salts_json, recorded_at_c) of the events that change, and of no others."""
+    change = F.struct(F.col("field_path").alias("pointer"), F.concat(F.lit(SENTINEL_PREFIX), F.col("redaction_id")).alias("value"))
+    changes = won.groupBy(*keys).agg(F.array_sort(F.collect_list(change)).alias("_changes")).join(targets.select(*keys, "payload_json", "leaf_salts_json", "recorded_at_c"), keys)
     gone = F.transform("_changes", lambda c: c["pointer"])
     salts = H.pairs_json(F.filter(H.entries(F.col("leaf_salts_json")), lambda e: ~F.array_contains(gone, e["key"])), "key", "value")
-    touched = F.col("_changes").isNotNull()
+    return changes.select(*keys, replace_leaves(F.col("payload_json"), F.col("_changes")).alias("payload_json"), salts.alias("leaf_salts_json"), "recorded_at_c")
+
+
+def patched(events: DataFrame, patches: DataFrame, chain: str | None = None) -> DataFrame:
+    """events with the payloads and salts of patches (at most one a row) instead
+    of their own. Where patches are few, events aren't shuffled."""
+    keys = event_keys(chain)
+    new = patches.select(*keys, F.col("payload_json").alias("_payload"), F.col("leaf_salts_json").alias("_salts"), F.lit(True).alias("_touched"))
+    joined = events.join(broadcast_if_small(staged(new, "patches")), keys, "left")
+    touched = F.coalesce("_touched", F.lit(False))
     return joined.withColumns(
-        {
-            "payload_json": F.when(touched, replace_leaves(F.col("payload_json"), F.col("_changes"))).otherwise(F.col("payload_json")),
-            "leaf_salts_json": F.when(touched, salts).otherwise(F.col("leaf_salts_json")),
-        }
-    ).select(*EVENT_COLUMNS)
+        {"payload_json": F.when(touched, F.col("_payload")).otherwise(F.col("payload_json")), "leaf_salts_json": F.when(touched, F.col("_salts")).otherwise(F.col("leaf_salts_json"))}
+    ).select(*events.columns)
 
 
 def _meta_events(requests: DataFrame, won: DataFrame) -> DataFrame:
@@ -135,14 +181,15 @@ def _meta_events(requests: DataFrame, won: DataFrame) -> DataFrame:
     )
 
 
-def check_disclosures(redactions: DataFrame, disclosed: DataFrame) -> DataFrame:
+def check_disclosures(redactions: DataFrame, disclosed: DataFrame, chain: str | None = None) -> DataFrame:
     """Does a disclosed leaf (event_seq, field_path, leaf) match what was
     redacted: verdict proven, refuted, unprovable (salt not kept) or unknown."""
-    joined = disclosed.join(redactions.select("event_seq", "field_path", "field_commitment", "field_salt", "salt_retained"), ["event_seq", "field_path"], "left")
+    by = [*event_keys(chain)[:-1], "event_seq", "field_path"]
+    joined = disclosed.join(redactions.select(*by, "field_commitment", "field_salt", "salt_retained"), by, "left")
     verdict = (
         F.when(F.col("field_commitment").isNull(), F.lit("unknown"))
         .when(~F.col("salt_retained"), F.lit("unprovable"))
         .when(H.leaf_commitment(F.col("field_salt"), F.col("leaf")) == F.col("field_commitment"), F.lit("proven"))
         .otherwise(F.lit("refuted"))
     )
-    return joined.select("event_seq", "field_path", "leaf", verdict.alias("verdict"))
+    return joined.select(*by, "leaf", verdict.alias("verdict"))

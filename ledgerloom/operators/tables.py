@@ -51,13 +51,62 @@ def with_dense_seq(df: DataFrame, order: list[str], start: int | Column, name: s
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, start + F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
-def redacted_paths(redactions: DataFrame) -> DataFrame:
-    """(seq, redacted_paths) of the events that have any, paths in order."""
-    return redactions.groupBy(F.col("event_seq").alias("seq")).agg(F.array_sort(F.collect_list("field_path")).alias("redacted_paths"))
+def with_running_max(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the largest `value` so far within its key, in the order of columns.
+
+    Rows are dealt in ranges of key and order, so a key with most of the rows is
+    spread over tasks; what a key had in earlier ranges is added. Only the first
+    and last key of a range can go on elsewhere: two rows of each range decide.
+    """
+    placed = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = staged(placed.withColumn("_part", F.spark_partition_id()), "ranges")
+    so_far = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_own", F.max(value).over(so_far))
+    names = F.struct(*key)
+    edges = placed.groupBy("_part").agg(F.min(names).alias("lo"), F.max(names).alias("hi"))
+    edges = edges.select("_part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("k")).select("_part", "k.*")
+    totals = placed.join(F.broadcast(edges), ["_part", *key], "left_semi").groupBy("_part", *key).agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_part", *key, F.max("_top").over(earlier).alias("_carried"))
+    joined = own.join(F.broadcast(carried), ["_part", *key], "left")
+    return joined.withColumn(name, F.greatest("_own", "_carried")).drop("_part", "_own", "_carried")
+
+
+def contiguous_runs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, from_seq, to_seq) of the runs of seqs of each key. A run's first and
+    last row have no neighbour; the i-th first belongs to the i-th last, numbered
+    over all keys in range partitions, so no key's runs are one task's."""
+    rows = rows.select(*key, "seq").distinct()
+    by = [*key, "seq"]
+    firsts = rows.join(rows.select(*key, (F.col("seq") + 1).alias("seq")), by, "left_anti").withColumnRenamed("seq", "from_seq")
+    lasts = rows.join(rows.select(*key, (F.col("seq") - 1).alias("seq")), by, "left_anti").select(F.col("seq").alias("to_seq"), *[F.col(k).alias(f"_{k}") for k in key])
+    firsts = with_dense_seq(firsts, [*key, "from_seq"], 0, "_n")
+    lasts = with_dense_seq(lasts, [*[f"_{k}" for k in key], "to_seq"], 0, "_n")
+    return firsts.join(lasts, "_n").select(*key, "from_seq", "to_seq")
+
+
+def event_keys(chain: str | None) -> list[str]:
+    """What tells a row of an event table: its seq, and its chain where there are many."""
+    return ["seq"] if chain is None else [chain, "seq"]
+
+
+def redacted_paths(redactions: DataFrame, chain: str | None = None) -> DataFrame:
+    """(keys, redacted_paths) of the events that have any, paths in order."""
+    keys = event_keys(chain)
+    return redactions.withColumnRenamed("event_seq", "seq").groupBy(*keys).agg(F.array_sort(F.collect_list("field_path")).alias("redacted_paths"))
+
+
+#: Rows of some hundred bytes that may be sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than these."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def with_redacted_paths(events: DataFrame, redactions: DataFrame | None) -> DataFrame:
+def with_redacted_paths(events: DataFrame, redactions: DataFrame | None, chain: str | None = None) -> DataFrame:
     if redactions is None:
         return events.withColumn("redacted_paths", F.array().cast("array<string>"))
-    joined = events.join(redacted_paths(redactions), "seq", "left")
+    joined = events.join(redacted_paths(redactions, chain), event_keys(chain), "left")
     return joined.withColumn("redacted_paths", F.coalesce("redacted_paths", F.array().cast("array<string>")))

@@ -1,58 +1,160 @@
-"""Chain verification in parallel.
+"""Chain verification in parallel, of one chain or of many.
 
-Each row is held against its stored predecessor, so all checks are local to a
-row or to a pair of rows; the report of a walk that stops at the first
-inconsistency follows from the least violating row and the least missing seq.
+What a row says about itself (leaves, content hash, record hash) is checked where
+the row lies; only rows that fail leave that scan, and they meet the redactions.
+Links, gaps and repeated keys need a row's neighbours: hashes and ids alone are
+dealt into buckets of seqs, each with the row before it, and one window over a
+bucket tells them all. No exchange carries a payload. The report of a walk that
+stops at the first inconsistency follows from the least violating row and the
+least missing seq.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import messages as M
 from ledgerloom.config import DUPLICATE_KEY, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import parse_payload
-from ledgerloom.operators.tables import with_dense_seq, with_redacted_paths
+from ledgerloom.operators.tables import broadcast_if_small, contiguous_runs, event_keys, staged
 
-VIOLATION = "struct<type:string,detail:string>"
+FACTS = "array<struct<pointer:string,commitment:string>>"
+FAULTS = "array<struct<rank:int,place:int,pointer:string,type:string,detail:string>>"
 REPORT = (
     "intact boolean, records_checked long, from_seq long, to_seq long, deep boolean, "
     "archived_segments array<struct<from_seq:bigint,to_seq:bigint>>, "
     "first_inconsistency struct<seq:bigint,event_id:string,violation_type:string,detail:string>"
 )
+#: Seqs of a bucket whose rows meet in one window.
+BUCKET = 1 << 16
+# The order in which a row's checks are made.
+_GENESIS, _LINK, _NO_COPY, _LEAVES, _CONTENT, _RECORD, _TWICE, _HEAD = range(8)
 
 
-def _violation(kind: str, detail: Column | str) -> Column:
+def _fault(rank: int, kind: str, detail: Column | str, pointer: Column | None = None, place: Column | None = None) -> Column:
     detail = F.lit(detail) if isinstance(detail, str) else detail
-    return F.struct(F.lit(kind).alias("type"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(rank).alias("rank"), (F.lit(0) if place is None else place).alias("place"), (none if pointer is None else pointer).alias("pointer"), F.lit(kind).alias("type"), detail.alias("detail"))
 
 
-def _leaf_violation(leaves: Column, salts_json: Column) -> Column:
-    """The first leaf that fails: stored ones in their order, then added ones."""
-    stored = H.entries(F.col("leaf_commitments_json"))
-    salts, now = H.string_map(salts_json), F.map_from_entries(leaves)
+def leaf_facts(payload: Column, salts_json: Column) -> Column:
+    """The commitments that a payload and its salts give, null where a salt is missing."""
+    leaves, salts = F.coalesce(parse_payload(F.coalesce(payload, F.lit("null")))["leaves"], F.array().cast("array<struct<pointer:string,leaf:string>>")), H.string_map(salts_json)
+    facts = F.transform(leaves, lambda x: F.struct(x["pointer"].alias("pointer"), H.leaf_commitment(salts[x["pointer"]], x["leaf"]).alias("commitment")))
+    return F.when(payload.isNull(), F.array().cast(FACTS)).otherwise(facts)
 
-    def check(entry: Column) -> Column:
-        pointer, leaf, salt = entry["key"], now[entry["key"]], salts[entry["key"]]
+
+def _leaf_faults(facts: Column) -> Column:
+    """All leaves that fail: stored ones in their order, then added ones, which
+    no redaction excuses."""
+    now = F.map_from_entries(facts)
+
+    def check(entry: Column, i: Column) -> Column:
+        pointer, own = entry["key"], now[entry["key"]]
         text = F.concat(F.lit(M.LEAF), pointer)
         return (
-            F.when(F.array_contains("redacted_paths", pointer), F.lit(None).cast(VIOLATION))
-            .when(leaf.isNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MISSING))))
-            .when(salt.isNull(), _violation("MISSING_SALT", F.concat(F.lit(M.NO_SALT), pointer)))
-            .when(H.leaf_commitment(salt, leaf) != entry["value"], _violation("LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MODIFIED))))
+            F.when(~F.map_contains_key(now, pointer), _fault(_LEAVES, "LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MISSING)), pointer, i))
+            .when(own.isNull(), _fault(_LEAVES, "MISSING_SALT", F.concat(F.lit(M.NO_SALT), pointer), pointer, i))
+            .when(own != entry["value"], _fault(_LEAVES, "LEAF_COMMITMENT_MISMATCH", F.concat(text, F.lit(M.LEAF_MODIFIED)), pointer, i))
         )
 
-    failed = F.filter(F.transform(stored, check), lambda v: v.isNotNull())
-    added = F.array_except(F.transform(leaves, lambda x: x["pointer"]), F.map_keys(H.string_map(F.col("leaf_commitments_json"))))
-    first_added = F.get(added, F.lit(0))
-    return F.coalesce(
-        F.get(failed, F.lit(0)),
-        F.when(first_added.isNotNull(), _violation("LEAF_COMMITMENT_MISMATCH", F.concat(F.lit(M.LEAF), first_added, F.lit(M.LEAF_ADDED)))),
+    failed = F.array_compact(F.transform(H.entries(F.col("leaf_commitments_json")), check))
+    added = F.array_except(F.transform(facts, lambda x: x["pointer"]), F.map_keys(H.string_map(F.col("leaf_commitments_json"))))
+    more = F.transform(added, lambda p, i: _fault(_LEAVES, "LEAF_COMMITMENT_MISMATCH", F.concat(F.lit(M.LEAF), p, F.lit(M.LEAF_ADDED)), None, F.lit(1 << 30) + i))
+    return F.concat(failed.cast(FAULTS), more.cast(FAULTS))
+
+
+def _own_faults(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_id, fault): what rows say against themselves. An archived row
+    has no payload here; a deep check takes the one of its copy."""
+    archived = F.col("archived_at").isNotNull()
+    facts = leaf_facts(F.when(~archived, F.col("payload_json")), F.col("leaf_salts_json"))
+    rows = events.withColumn("_facts", facts)
+    content = F.when(archived, _fault(_CONTENT, "CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS_ARCHIVED)).otherwise(_fault(_CONTENT, "CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS))
+    none = F.array().cast(FAULTS)
+    faults = F.concat(
+        F.when(archived, none).otherwise(_leaf_faults(F.col("_facts"))),
+        F.when(F.equal_null(H.content_hash(), F.col("content_hash")), none).otherwise(F.array(content).cast(FAULTS)),
+        F.when(F.equal_null(H.record_hash(F.col("prev_hash"), F.col("content_hash")), F.col("record_hash")), none).otherwise(F.array(_fault(_RECORD, "RECORD_HASH_MISMATCH", M.RECORD_DIFFERS)).cast(FAULTS)),
+    )
+    return rows.select(*keys, "event_id", F.explode(faults).alias("fault"))
+
+
+def _copy_faults(events: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_id, fault) of archived rows whose copy is missing or fails:
+    commitments made of the copies meet those of the rows."""
+    copies = archive.select(*keys, leaf_facts(F.col("payload_json"), F.col("leaf_salts_json")).alias("_facts"))
+    rows = events.filter(F.col("archived_at").isNotNull()).select(*keys, "event_id", "leaf_commitments_json").join(copies, keys, "left")
+    faults = F.when(F.col("_facts").isNull(), F.array(_fault(_NO_COPY, "CONTENT_HASH_MISMATCH", M.NO_ARCHIVE_COPY)).cast(FAULTS)).otherwise(_leaf_faults(F.col("_facts")))
+    return rows.select(*keys, "event_id", F.explode(faults).alias("fault"))
+
+
+def neighbours(events: DataFrame, chain: str | None = None) -> DataFrame:
+    """(keys, event_id, prev_hash, archived, before_lo, before_hi, twins, alone,
+    ends, run_ends) of every row: the record hashes at the seq before, how many
+    rows have its seq, whether no row has the one before or after it, and whether
+    a run of archived rows ends with it. Each bucket also has the last row of the one before."""
+    keys = event_keys(chain)
+    at = F.floor(F.col("seq") / BUCKET)
+    rows = events.select(*keys, "event_id", "prev_hash", "record_hash", F.col("archived_at").isNotNull().alias("archived"))
+    dealt = rows.withColumn("_bucket", F.explode(F.when(F.pmod("seq", F.lit(BUCKET)) == BUCKET - 1, F.array(at, at + 1)).otherwise(F.array(at))))
+    near = Window.partitionBy(*keys[:-1], "_bucket").orderBy("seq")
+    before, here, after = near.rangeBetween(-1, -1), near.rangeBetween(0, 0), near.rangeBetween(1, 1)
+    n = F.count(F.lit(1))
+    seen = dealt.select(
+        *keys, "event_id", "prev_hash", "record_hash", "archived", "_bucket", F.min("record_hash").over(before).alias("before_lo"), F.max("record_hash").over(before).alias("before_hi"),
+        n.over(before).alias("_before"), n.over(here).alias("twins"), n.over(after).alias("_after"), F.max("archived").over(after).alias("_next"),
+    )
+    # A bucket's last row looks back in its own bucket and ahead in the next one.
+    own, ahead = F.col("_bucket") == at, F.col("_bucket") == F.floor((F.col("seq") + 1) / BUCKET)
+    return seen.select(
+        *keys, "event_id", "prev_hash", "record_hash", "archived", "before_lo", "before_hi", F.when(own, F.col("twins")).otherwise(F.lit(0)).alias("twins"), own.alias("own"),
+        (own & (F.col("_before") == 0)).alias("alone"), (ahead & (F.col("_after") == 0)).alias("ends"), (ahead & F.col("archived") & ~F.coalesce("_next", F.lit(False))).alias("run_ends"),
+    )
+
+
+def _link_fault(config: LedgerConfig) -> Column:
+    """What is wrong with how a row goes on from the row before; null: nothing."""
+    differs = F.col("before_lo").isNotNull() & ((F.col("prev_hash") != F.col("before_lo")) | (F.col("prev_hash") != F.col("before_hi")))
+    return F.when((F.col("seq") == 1) & (F.col("prev_hash") != config.genesis), _fault(_GENESIS, "GENESIS_MISMATCH", M.GENESIS_DIFFERS)).when(
+        (F.col("seq") != 1) & differs, _fault(_LINK, "PREV_HASH_MISMATCH", M.LINK_DIFFERS)
     )
 
 
+def _twice(seen: DataFrame, events: DataFrame, chain: str | None) -> DataFrame:
+    """(keys, event_id, fault) of seqs and event ids that more than one row has,
+    at the largest seq of such rows. An event id is one of all chains."""
+    keys = event_keys(chain)
+    seqs = seen.filter("twins > 1").groupBy(*keys).agg(F.max("twins").alias("n")).withColumn("event_id", F.lit(None).cast("string"))
+    text = F.format_string("%d rows have seq %d", "n", "seq")
+    seqs = seqs.select(*keys, "event_id", _fault(_TWICE, DUPLICATE_KEY, text).alias("fault"))
+    ids = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*keys)).alias("k")).filter("n > 1")
+    text = F.concat(F.col("n").cast("string"), F.lit(" rows have event_id "), F.coalesce("event_id", F.lit("null")))
+    return seqs.unionByName(ids.select("k.*", "event_id", _fault(_TWICE, DUPLICATE_KEY, text).alias("fault")))
+
+
+def _excused(faults: DataFrame, redactions: DataFrame | None, chain: str | None) -> DataFrame:
+    """faults without those of leaves that a redaction names."""
+    if redactions is None:
+        return faults
+    keys = event_keys(chain)
+    gone = redactions.select(*keys[:-1], F.col("event_seq").alias("seq"), F.col("field_path").alias("_pointer")).distinct()
+    own = faults.withColumn("_pointer", F.col("fault.pointer"))
+    return own.join(gone, [*keys, "_pointer"], "left_anti").drop("_pointer")
+
+
+def _own_and_copy_faults(events: DataFrame, redactions: DataFrame | None, archive: DataFrame | None, deep: bool, chain: str | None) -> DataFrame:
+    keys = event_keys(chain)
+    if deep and archive is None:
+        raise ValueError("a deep check needs the archive")
+    found = _own_faults(events, keys)
+    if deep:
+        found = found.unionByName(_copy_faults(events, archive, keys))
+    return _excused(found, redactions, chain)
+
+
 def row_violations(
     events: DataFrame,
     redactions: DataFrame | None = None,
@@ -61,40 +163,14 @@ def row_violations(
     config: LedgerConfig = LedgerConfig(),
     chain: str | None = None,
 ) -> DataFrame:
-    """(seq, event_id, violation_type, detail) of every row that fails a check,
+    """(keys, event_id, violation_type, detail) of every row that fails a check,
     by its first failing one. Missing rows are for missing_after. Events of many
-    chains name theirs in a column, which the result has too."""
-    keys = ["seq"] if chain is None else [chain, "seq"]
-    if deep and archive is None:
-        raise ValueError("a deep check needs the archive")
-    rows = with_redacted_paths(events, redactions)
-    before = events.select(*keys[:-1], (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("_before"))
-    rows = rows.join(before, keys, "left")
-    archived = F.col("archived_at").isNotNull()
-    checked, salts = F.when(~archived, F.col("payload_json")), F.col("leaf_salts_json")
-    no_copy = F.lit(False)
-    if deep:
-        copies = archive.select("seq", F.col("payload_json").alias("_payload"), F.col("leaf_salts_json").alias("_salts"), F.lit(True).alias("_copied"))
-        rows = rows.join(copies, "seq", "left")
-        checked = F.when(archived, F.col("_payload")).otherwise(F.col("payload_json"))
-        salts = F.when(archived, F.col("_salts")).otherwise(F.col("leaf_salts_json"))
-        no_copy = archived & F.col("_copied").isNull()
-    rows = rows.withColumn("_checked", ~archived | F.lit(deep)).withColumn("_parsed", parse_payload(F.coalesce(checked, F.lit("null"))))
-    rows = rows.withColumn("_salts_now", salts)
-    leaves = F.when(checked.isNull(), F.array().cast("array<struct<pointer:string,leaf:string>>")).otherwise(F.coalesce("_parsed.leaves", F.array().cast("array<struct<pointer:string,leaf:string>>")))
-    content = F.when(archived, _violation("CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS_ARCHIVED)).otherwise(
-        _violation("CONTENT_HASH_MISMATCH", M.CONTENT_DIFFERS)
-    )
-    first = F.coalesce(
-        F.when((F.col("seq") == 1) & (F.col("prev_hash") != config.genesis), _violation("GENESIS_MISMATCH", M.GENESIS_DIFFERS)),
-        F.when((F.col("seq") != 1) & F.col("_before").isNotNull() & (F.col("prev_hash") != F.col("_before")), _violation("PREV_HASH_MISMATCH", M.LINK_DIFFERS)),
-        F.when(no_copy, _violation("CONTENT_HASH_MISMATCH", M.NO_ARCHIVE_COPY)),
-        F.when(F.col("_checked"), _leaf_violation(leaves, F.col("_salts_now"))),
-        F.when(~F.equal_null(H.content_hash(), F.col("content_hash")), content),
-        F.when(~F.equal_null(H.record_hash(F.col("prev_hash"), F.col("content_hash")), F.col("record_hash")), _violation("RECORD_HASH_MISMATCH", M.RECORD_DIFFERS)),
-    )
-    found = rows.select(*keys, "event_id", first.alias("v")).filter("v is not null")
-    return found.select(*keys, "event_id", F.col("v.type").alias("violation_type"), F.col("v.detail").alias("detail"))
+    chains name theirs in a column, which redactions, archive and result have too."""
+    keys = event_keys(chain)
+    links = neighbours(events, chain).filter("own").select(*keys, "event_id", _link_fault(config).alias("fault")).filter("fault is not null")
+    found = _own_and_copy_faults(events, redactions, archive, deep, chain).unionByName(links)
+    first = found.groupBy(*keys, "event_id").agg(F.min("fault").alias("v"))
+    return first.select(*keys, "event_id", F.col("v.type").alias("violation_type"), F.col("v.detail").alias("detail"))
 
 
 def missing_after(events: DataFrame, from_seq: int, to_seq: int) -> DataFrame:
@@ -116,23 +192,71 @@ def duplicate_keys(events: DataFrame) -> DataFrame:
     return out
 
 
-def duplicate_violations(events: DataFrame) -> DataFrame:
-    """(seq, event_id, violation_type, detail) of every key that repeats. A copy
-    of a row, or a second row with sound hashes of its own, passes all checks
-    that look at one row and its predecessor."""
-    text = F.concat(F.col("n").cast("string"), F.lit(" rows have "), F.col("key"), F.lit(" "), F.col("value"))
-    event_id = F.when(F.col("key") == "event_id", F.col("value"))
-    return duplicate_keys(events).select("seq", event_id.alias("event_id"), F.lit(DUPLICATE_KEY).alias("violation_type"), text.alias("detail"))
+def archived_runs(events: DataFrame, from_seq: int | None = None, to_seq: int | None = None, chain: str | None = None) -> DataFrame:
+    """(chain, from_seq, to_seq) of the contiguous runs of archived rows in a range."""
+    rows = events.filter(F.col("archived_at").isNotNull())
+    rows = rows if from_seq is None else rows.filter(F.col("seq") >= from_seq)
+    rows = rows if to_seq is None else rows.filter(F.col("seq") <= to_seq)
+    return contiguous_runs(rows, event_keys(chain)[:-1])
+
 
+def _walks(events: DataFrame, bounds: DataFrame, chain: str, redactions: DataFrame | None, archive: DataFrame | None, deep: bool, config: LedgerConfig) -> DataFrame:
+    """A row for each row of bounds (chain, lo, hi, first, last, head_seq,
+    head_hash): what a walk from first to last finds. Only hashes and failing
+    rows are shuffled; they meet the bounds of their chains afterwards."""
+    keys = event_keys(chain)
+    seen = neighbours(events, chain)
+    limits = broadcast_if_small(bounds.select(chain, "first", "last", "head_seq", "head_hash"))
+    near = seen.join(limits, chain).filter(F.col("seq").between(F.col("first") - 1, F.col("last")))
+    near = near.select(
+        *keys, "event_id", "own", "twins", "alone", "ends", _link_fault(config).alias("link"), (F.col("own") & (F.col("seq") == F.col("first") - 1)).alias("anchor"),
+        (F.col("seq") >= F.col("first")).alias("within"), (F.col("own") & (F.col("seq") == F.col("head_seq")) & (F.col("record_hash") != F.col("head_hash"))).alias("other_head"),
+        (F.col("run_ends") | (F.col("archived") & (F.col("seq") == F.col("last")))).alias("run_ends"), "last",
+    )
+    # One pass over all rows keeps those that a report needs: ends of gaps and runs, and what fails.
+    marks = staged(near.filter("(own and (link is not null or twins > 1 or alone or other_head)) or anchor or ends or run_ends"), "marks")
+    twice = marks.withColumn("twins", F.when(F.col("own"), F.col("twins")).otherwise(F.lit(0)))
+    links = marks.filter("own and link is not null").select(*keys, "event_id", F.col("link").alias("fault"))
+    head = marks.filter("other_head").select(*keys, "event_id", _fault(_HEAD, "RECORD_HASH_MISMATCH", "record_hash is not that of the expected head").alias("fault"))
+    found = _own_and_copy_faults(events, redactions, archive, deep, chain).unionByName(links).unionByName(head).unionByName(_twice(twice, events, chain))
+    found = found.join(limits, chain).filter(F.col("seq").between(F.col("first"), F.col("last")))
+    worst = found.groupBy(chain).agg(F.min(F.struct("seq", "fault", "event_id")).alias("b"))
+    # A gap begins after a row without a successor, and ends at a row without a predecessor.
+    sums = marks.groupBy(chain).agg(F.min(F.when(F.col("ends") & (F.col("seq") < F.col("last")), F.col("seq") + 1)).alias("gap"), F.count(F.when(F.col("anchor"), 1)).alias("anchors"))
+    walks = bounds.join(worst, chain, "left").join(sums, chain, "left")
+    walks = walks.withColumn("e", F.when(F.coalesce(F.col("lo") > F.col("first"), F.lit(True)), F.col("first")).otherwise(F.col("gap")))
+    limit = F.when(F.col("b.seq") < F.coalesce("e", F.lit((1 << 63) - 1)), F.col("b.seq") - 2).otherwise(F.coalesce(F.col("e") - 1, F.col("last")))
+    walks = staged(walks.withColumn("limit", limit), "walks")
+    after = marks.join(walks.select(chain, "e", "limit"), chain).groupBy(chain).agg(
+        F.min(F.when(F.col("alone") & (F.col("seq") > F.col("e")), F.col("seq"))).alias("n"),
+        F.count_distinct(F.when(F.col("run_ends") & F.col("within") & (F.col("seq") <= F.col("limit")), F.col("seq"))).alias("archived_runs"),
+    )
+    walks = walks.join(after, chain, "left")
+    b, e, n = F.col("b.seq"), F.col("e"), F.col("n")
+    told = b.isNotNull() & (e.isNull() | (b < e))
+    nothing = F.col("first") > F.col("last")
+    loose = (F.col("first") > 1) & (F.coalesce("anchors", F.lit(0)) == 0) & ~nothing
+    gap = F.when(n.isNotNull(), F.format_string(M.GAP.replace("{}", "%d"), e, n)).otherwise(F.format_string(M.CUT_OFF.replace("{}", "%d"), e - 1, F.col("last")))
+
+    def case(at_row: Column, at_gap: Column, cut_off: Column, intact: Column, none: Column) -> Column:
+        return F.when(nothing, none).when(told, at_row).when(e.isNotNull() & n.isNotNull(), at_gap).when(e.isNotNull(), cut_off).otherwise(intact)
 
-def archived_runs(events: DataFrame, from_seq: int, to_seq: int) -> DataFrame:
-    """(from_seq, to_seq) of the contiguous runs of archived rows in a range.
-    The runs' ends are numbered in range partitions, as they may be many."""
-    rows = events.filter(F.col("archived_at").isNotNull() & F.col("seq").between(from_seq, to_seq)).select("seq").distinct()
-    firsts = rows.join(rows.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti").withColumnRenamed("seq", "from_seq")
-    lasts = rows.join(rows.select((F.col("seq") - 1).alias("seq")), "seq", "left_anti").withColumnRenamed("seq", "to_seq")
-    firsts, lasts = with_dense_seq(firsts, ["from_seq"], 0, "_n"), with_dense_seq(lasts, ["to_seq"], 0, "_n")
-    return firsts.join(lasts, "_n").select("from_seq", "to_seq")
+    null = F.lit(None)
+    shown = walks.select(
+        chain,
+        F.when(loose, null.cast("boolean")).otherwise(nothing | (~told & e.isNull())).alias("intact"),
+        case(b - F.col("first") + 1, e - F.col("first") + 1, e - F.col("first"), F.col("last") - F.col("first") + 1, F.lit(0)).cast("long").alias("records_checked"),
+        F.col("first").alias("from_seq"),
+        case(b, n, e - 1, F.col("last"), F.lit(0)).cast("long").alias("to_seq"),
+        F.lit(deep).alias("deep"),
+        F.when(nothing, F.lit(0)).otherwise(F.coalesce("archived_runs", F.lit(0))).alias("archived_runs"),
+        F.col("limit").alias("runs_until"),
+        F.when(loose, null.cast("long")).otherwise(case(b, e, e, null, null)).cast("long").alias("violation_seq"),
+        F.when(loose, null.cast("string")).otherwise(case(F.col("b.event_id"), null, null, null, null)).alias("event_id"),
+        F.when(loose, null.cast("string")).otherwise(case(F.col("b.fault.type"), F.lit("SEQUENCE_GAP"), F.lit("SEQUENCE_GAP"), null, null)).alias("violation_type"),
+        F.when(loose, F.format_string(M.NOT_ANCHORED, "first")).otherwise(case(F.col("b.fault.detail"), gap, gap, null, null)).alias("detail"),
+    )
+    return shown
 
 
 def verify_chain(
@@ -154,60 +278,63 @@ def verify_chain(
     seq of their rows. The segments are one array; archived_runs gives them as a
     table. ValueError if the row before from_seq is missing.
     """
-    spark = events.sparkSession
-    bounds = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    first = lo if from_seq is None else max(from_seq, 1)
-    last = hi if to_seq is None else min(to_seq, hi)
-    if expected_head and to_seq is None:
-        last = max(last, expected_head[0])
-    if hi == 0 or first > last:
-        checked_from, checked_to = (first, last) if hi else (0, 0)
-        return _report(spark, True, 0, checked_from, checked_to if not hi else last, deep, None, None)
-    if first > 1 and events.filter(F.col("seq") == first - 1).isEmpty():
-        raise ValueError(f"predecessor of seq {first} is missing; the range can't be anchored")
-    gap = missing_after(events, first, last).agg(F.min("seq")).first()[0]
-    bad = row_violations(events.filter(F.col("seq").between(first - 1, last)), redactions, archive, deep, config).filter(F.col("seq") >= first)
-    bad = bad.withColumn("_rank", F.lit(0)).unionByName(duplicate_violations(events.filter(F.col("seq").between(first, last))).withColumn("_rank", F.lit(1)))
-    bad = bad.agg(F.min_by(F.struct("seq", "event_id", "violation_type", "detail"), F.struct("seq", "_rank", "detail")).alias("b")).first()["b"]
-    if bad is not None and (gap is None or bad["seq"] < gap):
-        runs = archived_runs(events, first, last).filter(F.col("to_seq") <= bad["seq"] - 2)
-        return _report(spark, False, bad["seq"] - first + 1, first, bad["seq"], deep, runs, tuple(bad))
-    if gap is None:
-        head_now = events.filter(F.col("seq") == last).first() if expected_head else None
-        if expected_head and head_now["record_hash"] != expected_head[1] and last == expected_head[0]:
-            found = (last, head_now["event_id"], "RECORD_HASH_MISMATCH", "record_hash is not that of the expected head")
-            return _report(spark, False, last - first + 1, first, last, deep, archived_runs(events, first, last - 2), found)
-        return _report(spark, True, last - first + 1, first, last, deep, archived_runs(events, first, last), None)
-    after = events.filter((F.col("seq") > gap) & (F.col("seq") <= last)).agg(F.min("seq")).first()[0]
-    runs = archived_runs(events, first, gap - 1)
-    if after is not None:
-        found = (gap, None, "SEQUENCE_GAP", M.GAP.format(gap, after))
-        return _report(spark, False, gap - first + 1, first, gap, deep, runs, found)
-    found = (gap, None, "SEQUENCE_GAP", M.CUT_OFF.format(gap - 1, last))
-    return _report(spark, False, gap - first, first, gap - 1, deep, runs, found)
-
-
-def verify_chains(events: DataFrame, chain: str, config: LedgerConfig = LedgerConfig()) -> DataFrame:
-    """A row for each of many chains, named by a column: the chain, intact,
-    records_checked, last_seq and the first inconsistency's seq, type and detail,
-    as a walk from seq 1 finds it. Chains are checked beside each other."""
-    ends = events.groupBy(chain).agg(F.max("seq").alias("last_seq"))
-    bad = row_violations(events, config=config, chain=chain).select(chain, "seq", F.lit(0).alias("rank"), "violation_type", "detail")
-    twice = events.groupBy(chain, "seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    twice = twice.select(chain, "seq", F.lit(1).alias("rank"), F.lit(DUPLICATE_KEY).alias("violation_type"), F.format_string("%d rows have seq %d", "n", "seq").alias("detail"))
-    present = events.select(chain, "seq")
-    wanted = present.select(chain, (F.col("seq") + 1).alias("seq")).unionByName(ends.select(chain, F.lit(1).cast("long").alias("seq"))).distinct()
-    missing = wanted.join(present, [chain, "seq"], "left_anti").join(ends, chain).filter(F.col("seq") <= F.col("last_seq"))
-    gaps = missing.groupBy(chain).agg(F.min("seq").alias("seq"))
-    after = present.withColumnRenamed("seq", "later").join(gaps, chain).filter("later > seq").groupBy(chain, "seq").agg(F.min("later").alias("later"))
-    gaps = after.select(chain, "seq", F.lit(0).alias("rank"), F.lit("SEQUENCE_GAP").alias("violation_type"), F.format_string(M.GAP.replace("{}", "%d"), "seq", "later").alias("detail"))
-    first = bad.unionByName(twice).unionByName(gaps).groupBy(chain).agg(F.min_by(F.struct("seq", "violation_type", "detail"), F.struct("seq", "rank", "detail")).alias("v"))
-    joined = ends.join(first, chain, "left")
-    return joined.select(
-        chain, F.col("v").isNull().alias("intact"), F.coalesce("v.seq", "last_seq").alias("records_checked"), "last_seq",
-        F.col("v.seq").alias("violation_seq"), "v.violation_type", "v.detail",
-    )
+    spark, one = events.sparkSession, "_chain"
+    ends = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    lo, hi = ends["lo"], ends["hi"] or 0
+    head_seq, head_hash = expected_head or (None, None)
+    if not hi and not head_seq:
+        return _report(spark, True, 0, 0, 0, deep, None, None)
+    first = (lo or 1) if from_seq is None else max(from_seq, 1)
+    last = max(hi, head_seq or 0) if to_seq is None else min(to_seq, hi)
+    part = events.filter(F.col("seq").between(first - 1, last))
+    bounds = spark.createDataFrame([("", lo, hi, first, last, head_seq, head_hash)], f"{one} string, lo long, hi long, first long, last long, head_seq long, head_hash string")
+
+    def named(df: DataFrame | None) -> DataFrame | None:
+        return None if df is None else df.withColumn(one, F.lit(""))
+
+    row = _walks(named(part), bounds, one, named(redactions), named(archive), deep, config).first()
+    if row["intact"] is None:
+        raise ValueError(row["detail"])
+    found = None if row["intact"] else (row["violation_seq"], row["event_id"], row["violation_type"], row["detail"])
+    runs = archived_runs(part, first, last).filter(F.col("to_seq") <= row["runs_until"]) if row["archived_runs"] else None
+    return _report(spark, row["intact"], row["records_checked"], first, row["to_seq"], deep, runs, found)
+
+
+def verify_chains(
+    events: DataFrame,
+    chain: str,
+    redactions: DataFrame | None = None,
+    archive: DataFrame | None = None,
+    ranges: DataFrame | None = None,
+    heads: DataFrame | None = None,
+    deep: bool = False,
+    config: LedgerConfig = LedgerConfig(),
+) -> DataFrame:
+    """A row for each of many chains, named by a column that all tables have: the
+    chain, intact, records_checked, from_seq, to_seq, deep, archived_runs (how
+    many; the function gives them), last_seq and the first inconsistency's seq,
+    event id, type and detail. Chains are checked beside each other.
+
+    ranges (chain, from_seq, to_seq; nulls stand for 1 and the last seq) limits
+    the check to its chains. heads (chain, last_seq, last_hash) also finds rows
+    cut off at the end, and chains that are gone. Where the row before a range is
+    missing, intact is null and detail says so.
+    """
+    ends = events.groupBy(chain).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    if heads is not None:
+        ends = ends.join(heads.select(chain, F.col("last_seq").alias("head_seq"), F.col("last_hash").alias("head_hash")), chain, "full")
+    else:
+        ends = ends.withColumns({"head_seq": F.lit(None).cast("long"), "head_hash": F.lit(None).cast("string")})
+    if ranges is not None:
+        ends = ends.join(ranges.select(chain, "from_seq", "to_seq"), chain)
+        events = events.join(broadcast_if_small(ranges.select(chain)), chain, "left_semi")
+    else:
+        ends = ends.withColumns({"from_seq": F.lit(None).cast("long"), "to_seq": F.lit(None).cast("long")})
+    reached = F.greatest(F.coalesce("hi", F.lit(0)), F.coalesce("head_seq", F.lit(0)))
+    first, last = F.greatest(F.coalesce("from_seq", F.lit(1)), F.lit(1)), F.when(F.col("to_seq").isNull(), reached).otherwise(F.least("to_seq", F.coalesce("hi", F.lit(0))))
+    bounds = ends.select(chain, "lo", "hi", first.cast("long").alias("first"), last.cast("long").alias("last"), "head_seq", "head_hash")
+    walks = _walks(events, bounds, chain, redactions, archive, deep, config).drop("runs_until")
+    return walks.join(bounds.select(chain, F.coalesce("hi", F.lit(0)).alias("last_seq")), chain)
 
 
 def _report(spark: SparkSession, intact, checked, first, last, deep, runs: DataFrame | None, found) -> DataFrame:

@@ -17,10 +17,10 @@ def _hmac(text: str) -> str:
 
 
 
-def _hashed(event_ts: str = "ts_c", recorded_at: str = "ts_c") -> str:
+def _hashed(event_ts: str = "ts_c", recorded_at: str = "ts_c", seq: str = "event_id + 1") -> str:
     return f"""
 WITH raw AS (
-  SELECT event_id AS n, event_id + 1 AS seq, sha256('event-' || event_id) AS d, user_id, upper(event_type) AS kind,
+  SELECT event_id AS n, {seq} AS seq, sha256('event-' || event_id) AS d, user_id, upper(event_type) AS kind,
     json_extract_string(props, '$.k') AS k, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS v,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS ts_c, ts
   FROM events),
@@ -56,7 +56,22 @@ chain AS (
   FROM hashed h, folded)"""
 )
 
+# A chain for each actor: the same fold within each.
+CHAINS = (
+    _hashed(seq="row_number() OVER (PARTITION BY user_id ORDER BY event_id)")
+    + f""",
+folded AS (SELECT actor_id, {_FOLD.format('list(content_hash ORDER BY seq)')} AS acc, count(*) AS total FROM hashed GROUP BY actor_id),
+chain AS (
+  SELECT h.*, h.actor_id AS chain, ('0x' || substr(event_id, 1, 8))::BIGINT % 101 AS x, total AS last_seq, substr(acc, 1, 64) AS last_hash,
+    substr(acc, 64 * (total - seq) + 1, 64) AS record_hash, substr(acc, 64 * (total - seq + 1) + 1, 64) AS prev_hash
+  FROM hashed h JOIN folded USING (actor_id))"""
+)
+
 _REDACTION_ID = "sha256('run-1' || chr(31) || seq || chr(31) || '/value')"
+_CHAIN_REDACTION = "sha256('run-1' || chr(31) || chain || chr(31) || seq || chr(31) || '/value')"
+_MONTHS = f"""{HASHED},
+placed AS (SELECT *, '2024-0' || (1 + n * 6 // (SELECT count(*) FROM events)) AS month FROM hashed),
+dated AS (SELECT *, month || substr(ts_c, 8) < '2024-03-16T00:00:00' AS due FROM placed)"""
 _REQUESTED = "seq % 10 IN (1, 2, 3, 4)"
 _WON = f"({_REQUESTED} AND seq % 50 NOT IN (1, 2, 3, 4))"
 
@@ -65,11 +80,11 @@ _RECORD = """'{"actorId":"' || actor_id || '","archived":false,"contentHash":"'
   || '","recordHash":"' || record_hash || '","recordedAt":"' || ts_c || '","redactedPaths":[],"resourceId":"' || resource_id || '","resourceType":"' || resource_type || '","seq":' || seq || '}'"""
 
 
-def _bundles(selected: str) -> str:
-    """CTEs over selected(bundle_key, filter_type, filter_value, seq or null)."""
-    return f"""{CHAIN},
+def _bundles(selected: str, chain: str = CHAIN, keys: str = "seq") -> str:
+    """CTEs over selected(bundle_key, filter_type, filter_value, keys or null)."""
+    return f"""{chain},
 selected AS ({selected}),
-picked AS (SELECT s.bundle_key, c.* FROM selected s JOIN chain c USING (seq)),
+picked AS (SELECT s.bundle_key, c.* FROM selected s JOIN chain c USING ({keys})),
 numbered AS (SELECT *, seq - row_number() OVER (PARTITION BY bundle_key ORDER BY seq) AS island FROM picked),
 segments AS (
   SELECT bundle_key, min(seq) AS from_seq, max(seq) AS to_seq, min_by(prev_hash, seq) AS prior_record_hash FROM numbered GROUP BY bundle_key, island),
@@ -116,7 +131,30 @@ _REPORT_EVENTS = f""" SELECT request_id, 'COMPLIANCE_REPORT_GENERATED' AS event_
 _BY_ACTOR = f"{HASHED}, own AS (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY n) AS place, ('0x' || substr(event_id, 1, 8))::BIGINT % 101 AS x FROM hashed)"
 
 ORACLE_SQL = {
-    "append_many_chains": f"{_BY_ACTOR} SELECT actor_id AS chain, place AS seq, event_id FROM own",
+    "append_many_chains": f"{CHAINS} SELECT chain, seq, event_id, content_hash, prev_hash, record_hash FROM chain",
+    "chains_ledger": f"{CHAINS} SELECT chain, seq, prev_hash, record_hash, last_seq, last_hash FROM chain",
+    "chains_redacted": f"""{CHAINS} SELECT chain, seq, CASE WHEN seq % 5 = 1 THEN '{{"k":' || k || ',"value":"__REDACTED__:' || {_UUID.format(_CHAIN_REDACTION)} || '"}}' ELSE payload END AS payload_json,
+  CASE WHEN seq % 5 = 1 THEN '{{"/k":"' || sk || '"}}' ELSE salts_json END AS leaf_salts_json, record_hash FROM chain""",
+    "chains_verified": f"""{CHAINS},
+summed AS (
+  SELECT chain, max(seq) AS last_seq, min(seq) FILTER (x = 5 AND ts < TIMESTAMP '2024-01-17') AS b, count(*) FILTER (ts < TIMESTAMP '2024-01-17') > 0 AS any_due FROM chain GROUP BY chain)
+SELECT chain, b IS NULL AS intact, coalesce(b, last_seq) AS records_checked, 1::BIGINT AS from_seq, coalesce(b, last_seq) AS to_seq, true AS deep, (b IS NULL AND any_due)::BIGINT AS archived_runs,
+  b AS violation_seq, CASE WHEN b > 0 THEN 'LEAF_COMMITMENT_MISMATCH' END AS violation_type, CASE WHEN b > 0 THEN 'payload leaf /k was modified' END AS detail, last_seq FROM summed""",
+    "chains_bundles": _bundles(
+        "SELECT chain || '/eventType=ACCOUNT_VIEWED' AS bundle_key, 'eventType' AS filter_type, 'ACCOUNT_VIEWED' AS filter_value, chain, seq FROM chain WHERE event_type = 'ACCOUNT_VIEWED'", CHAINS, "chain, seq"
+    )
+    + " SELECT bundle_key, bundle_hash FROM headers",
+    "retention_months": f"""{_MONTHS}
+SELECT month, count(*) AS n, count(*) FILTER (due) AS archived, count(*) FILTER (NOT due) AS payloads, 1 + bool_or(due)::BIGINT AS made FROM dated GROUP BY month""",
+    "redaction_overlay": f"""{_MONTHS},
+touched AS (SELECT DISTINCT month FROM dated WHERE seq % 1000 = 7 AND month < '2024-03'),
+months AS (SELECT DISTINCT month, month IN (SELECT month FROM touched) AS hit FROM dated)
+SELECT 'row' AS what, CASE WHEN month < '2024-03' THEN '{{"k":' || k || ',"value":"__REDACTED__:' || {_UUID.format(_REDACTION_ID)} || '"}}' ELSE payload END AS payload_json,
+  CASE WHEN month < '2024-03' THEN '{{"/k":"' || sk || '"}}' ELSE salts_json END AS month, seq AS made FROM dated WHERE seq % 1000 = 7
+UNION ALL SELECT 'merged', 'events', month, 1 FROM months UNION ALL SELECT 'merged', 'patches', month, 2 FROM touched UNION ALL SELECT 'compacted', month, NULL, NULL FROM touched
+UNION ALL SELECT 'compact', 'events', month, CASE WHEN hit THEN 3 ELSE 1 END FROM months""",
+    "redact_chained_requests": """SELECT printf('r%09d', event_id) AS request_id, 'a leaf is redacted by an earlier request on seq 1' AS reason
+FROM events WHERE event_id % 2 = 1 AND event_id < (SELECT max(event_id) FROM events)""",
     "verify_many_chains": f"""{_BY_ACTOR},
 kept AS (SELECT actor_id, place, x FROM own WHERE x != 7),
 ends AS (SELECT actor_id, max(place) AS last_seq FROM kept GROUP BY actor_id),
@@ -136,7 +174,8 @@ SELECT n, canonical, unnest(['/c~0d/x~1~0y', '/c~0d/list/0', '/c~0d/list/1', '/c
     "verify_ranges": """WITH kept AS (SELECT event_id + 1 AS seq FROM events WHERE (event_id + 1) % 1009 != 700), r(a, z) AS (VALUES (101, 600), (301, 900), (702, 1500)),
 b AS (SELECT a, least(z, (SELECT max(seq) FROM kept)) AS z FROM r),
 g AS (SELECT a, z, (SELECT min(x) FROM (SELECT unnest(range(a, z + 1)) AS x) WHERE x NOT IN (SELECT seq FROM kept)) AS gap FROM b)
-SELECT a AS asked_from, gap IS NULL AS intact, greatest(coalesce(gap, z) - a + 1, 0)::BIGINT AS records_checked, a::BIGINT AS from_seq, coalesce(gap, z)::BIGINT AS to_seq, gap::BIGINT AS violation_seq FROM g""",
+SELECT a AS asked_from, gap IS NULL AS intact, greatest(coalesce(gap, z) - a + 1, 0)::BIGINT AS records_checked, a::BIGINT AS from_seq,
+  CASE WHEN a > z THEN 0 ELSE coalesce((SELECT min(seq) FROM kept WHERE seq > gap), z) END::BIGINT AS to_seq, gap::BIGINT AS violation_seq FROM g""",
     "verify_duplicates": f"""{HASHED} SELECT false AS intact, 105::BIGINT AS records_checked, 105::BIGINT AS violation_seq, 'DUPLICATE_KEY' AS violation_type,
   '2 rows have event_id ' || event_id AS detail FROM hashed WHERE seq = 105""",
     "verify_increments": """SELECT 0::BIGINT AS batch_id, 1::BIGINT AS from_seq, 500::BIGINT AS to_seq, true AS intact, NULL::BIGINT AS violation_seq, NULL AS violation_type
@@ -160,7 +199,27 @@ SELECT request_id, reason FROM told WHERE reason IS NOT NULL""",
     "retention_tables": f"""{CHAIN} SELECT seq, ts < TIMESTAMP '2024-01-17' AS archived, ts < TIMESTAMP '2024-01-17' AS gone, record_hash,
   CASE WHEN ts < TIMESTAMP '2024-01-17' THEN payload END AS copy, 2::BIGINT AS version FROM chain""",
     "bundle_of_one": f"{_BY_RESOURCE} SELECT bundle_key, filter_type, filter_value, bundle_hash FROM headers WHERE filter_value = 'acct-7'",
-    "bundle_json": "SELECT DISTINCT 'resourceId=acct-' || (user_id % 40) AS bundle_key, true AS valid FROM events",
+    "bundle_json": f"{CHAIN} SELECT 'resourceId=' || resource_id AS bundle_key, seq, event_id, actor_id, payload AS payload_json, salts_json AS leaf_salts_json, content_hash, prev_hash, record_hash, true AS valid FROM chain",
+    "verify_chain_stream": f"""{_BY_ACTOR},
+kept AS (SELECT *, coalesce(lag(place) OVER (PARTITION BY actor_id ORDER BY place), 0) AS before FROM own WHERE x != 7)
+SELECT actor_id AS chain, before + 1 AS seq, NULL AS event_id, 'SEQUENCE_GAP' AS violation_type, 'expected seq ' || (before + 1) || ' but next present record is ' || place AS detail FROM kept WHERE place > before + 1
+UNION ALL SELECT actor_id, place, event_id, CASE WHEN place = 1 THEN 'GENESIS_MISMATCH' ELSE 'PREV_HASH_MISMATCH' END,
+  CASE WHEN place = 1 THEN 'prev_hash != configured genesis value' ELSE 'prev_hash does not match the previous record''s record_hash' END FROM kept WHERE place = before + 1 AND x = 8""",
+    "verify_changed_ranges": f"""{HASHED}
+SELECT seq, event_id, 'CONTENT_HASH_MISMATCH' AS violation_type, 'recomputed content_hash != stored' AS detail FROM hashed WHERE seq % 2503 = 100
+UNION ALL SELECT seq, event_id, 'RECORD_HASH_MISMATCH', 'recomputed record_hash != stored' FROM hashed WHERE seq % 2503 = 255
+UNION ALL SELECT seq, event_id, 'PREV_HASH_MISMATCH', 'prev_hash does not match the previous record''s record_hash' FROM hashed WHERE seq % 2503 = 256""",
+    "query_stored_lookup": f"{CHAIN} SELECT seq, event_id, record_hash FROM chain WHERE seq = 42 UNION ALL SELECT seq, event_id, record_hash FROM chain WHERE actor_id = 'user-5'",
+    "compliance_many_windows": f"""{HASHED},
+accounts AS (SELECT DISTINCT resource_id FROM hashed WHERE resource_type = 'CLIENT_ACCOUNT'),
+days AS (SELECT resource_id, d, printf('T%02d:30:00.000000000Z', d % 24) AS t FROM accounts, range(1, 29) r(d)),
+requests AS (
+  SELECT resource_id || '/' || d AS request_id, resource_id, printf('2024-01-%02d', d) || t AS from_c, printf('2024-01-%02d', d + 2) || t AS to_c FROM days
+  UNION ALL SELECT resource_id || '/long', resource_id, '2023-06-01T00:00:00.000000000Z', '2024-01-16T12:00:00.000000000Z' FROM accounts
+  UNION ALL SELECT resource_id || '/longer', resource_id, '2001-01-01T00:00:00.000000000Z', '2101-01-01T00:00:00.000000000Z' FROM accounts
+  UNION ALL SELECT resource_id || '/open', resource_id, '2024-01-20T00:00:00.000000000Z', '9' FROM accounts)
+SELECT request_id, seq FROM requests r JOIN hashed h ON h.resource_type = 'CLIENT_ACCOUNT' AND h.resource_id = r.resource_id AND ts_c >= from_c AND ts_c < to_c
+WHERE h.event_type IN ('ACCOUNT_VIEWED', 'ACCOUNT_SEARCHED')""",
     "compliance_capped": f"""{HASHED}, {_WINDOWS},
 seen AS (
   SELECT r.request_id, h.seq, h.event_type, row_number() OVER (PARTITION BY r.request_id ORDER BY h.seq) AS place FROM requests r JOIN hashed h ON h.resource_type = r.resource_type
@@ -180,7 +239,7 @@ SELECT actor_id AS chain_id, seqs[i] AS seq, substr(acc, 64 * (total - i + 1) +
   NULL::BIGINT AS violation_seq FROM events""",
     "verify_tampered_report": """WITH kept AS (SELECT event_id + 1 AS seq FROM events WHERE (event_id + 1) % 1009 != 700),
 gap AS (SELECT min(seq) + 1 AS e FROM kept WHERE seq + 1 NOT IN (SELECT seq FROM kept) AND seq < (SELECT max(seq) FROM kept))
-SELECT e IS NULL AS intact, coalesce(e, (SELECT count(*) FROM kept)) AS records_checked, 1::BIGINT AS from_seq, coalesce(e, (SELECT max(seq) FROM kept)) AS to_seq, e AS violation_seq,
+SELECT e IS NULL AS intact, coalesce(e, (SELECT count(*) FROM kept)) AS records_checked, 1::BIGINT AS from_seq, coalesce((SELECT min(seq) FROM kept WHERE seq > e), (SELECT max(seq) FROM kept)) AS to_seq, e AS violation_seq,
   CASE WHEN e IS NOT NULL THEN 'SEQUENCE_GAP' END AS violation_type,
   'expected seq ' || e || ' but next present record is ' || (SELECT min(seq) FROM kept WHERE seq > e) AS detail FROM gap""",
     "verify_violations": f"""{HASHED},

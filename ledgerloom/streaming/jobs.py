@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerloom.config import LedgerConfig
+from ledgerloom import messages as M
+from ledgerloom.config import DUPLICATE_KEY, LedgerConfig
 from ledgerloom.operators.append import append_events, chain_head
 from ledgerloom.operators.verify import verify_chain
 from ledgerloom.sources.ledger_tables import read_events, write_events
@@ -75,3 +80,50 @@ def continuous_verify(stream: DataFrame, events_path: str, state_path: str, chec
             incremental_verify(read_events(batch.sparkSession, events_path), state_path, config)
 
     return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
+
+
+FOUND = "chain string, seq long, event_id string, violation_type string, detail string"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ChainLinks(StatefulProcessor):
+    """Follows the links of each chain: its state is the last seq and record hash."""
+
+    def __init__(self, genesis: str):
+        self.genesis = genesis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq long, record_hash string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chain, out = key[0], []
+        seq, before = self.last.get() if self.last.exists() else (0, self.genesis)
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # narrow rows of one chain and one batch
+        for at, event_id, prev, record in zip(batch["seq"], batch["event_id"], batch["prev_hash"], batch["record_hash"]):
+            if at <= seq:
+                out.append((chain, at, event_id, DUPLICATE_KEY, f"seq {at} comes after seq {seq}"))
+                continue
+            if at > seq + 1:
+                out.append((chain, seq + 1, None, "SEQUENCE_GAP", M.GAP.format(seq + 1, at)))
+            elif at == 1 and prev != before:
+                out.append((chain, at, event_id, "GENESIS_MISMATCH", M.GENESIS_DIFFERS))
+            elif prev != before:
+                out.append((chain, at, event_id, "PREV_HASH_MISMATCH", M.LINK_DIFFERS))
+            seq, before = int(at), record
+        self.last.update((seq, before))
+        yield pd.DataFrame(out, columns=["chain", "seq", "event_id", "violation_type", "detail"]).astype({"seq": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def follow_chains(stream: DataFrame, chain: str, config: LedgerConfig = LedgerConfig()) -> DataFrame:
+    """A stream of (chain, seq, event_id, violation_type, detail): gaps, broken
+    links and seqs that come again, as rows of many chains arrive. Chains are
+    followed beside each other; what is kept of each survives a restart with the
+    checkpoint. Rows of a chain come in the order of its seqs, batch by batch."""
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)  # the only store for such states
+    rows = stream.select(F.col(chain).alias("chain"), "seq", "event_id", "prev_hash", "record_hash")
+    return rows.groupBy("chain").transformWithStateInPandas(ChainLinks(config.genesis), FOUND, "Append", "None")

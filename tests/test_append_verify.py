@@ -64,7 +64,8 @@ def test_intact_empty_and_bounds(spark):
     assert empty["intact"] and (empty["records_checked"], empty["from_seq"], empty["to_seq"]) == (0, 0, 0)
     part = check(events, from_seq=2, to_seq=99)
     assert (part["records_checked"], part["from_seq"], part["to_seq"]) == (2, 2, 3)
-    assert check(events, from_seq=5)["records_checked"] == 0
+    none = check(events, from_seq=5)
+    assert none["intact"] and (none["records_checked"], none["from_seq"], none["to_seq"]) == (0, 5, 0)
     with pytest.raises(ValueError):
         check(events.filter("seq > 1"))
 
@@ -124,7 +125,7 @@ def walk(rows, first, last, bad):
         if seq != expected:
             if open_run:
                 runs.append((open_run, before))
-            return (False, checked, expected, runs, expected)
+            return (False, checked, seq, runs, expected)
         if seq in bad:
             return (False, checked, seq, runs, seq)
         if archived:

@@ -135,7 +135,7 @@ def test_bundles(spark, tmp_path):
     assert verdicts(bundle.verify_bundles(bundle.Bundles(headers, made.records, made.segments), listed=True))["resourceId=acct-2"][1] == ["bundle hash mismatch"]
     gone = bundle.Bundles(made.headers, made.records.filter("seq != 3"), made.segments)
     assert "segment record missing: seq 3" in verdicts(bundle.verify_bundles(gone, listed=True))["resourceId=acct-1"][1]
-    json_io.write_bundles(made, f"{tmp_path}/bundles")
+    json_io.write_bundle_rows(made, f"{tmp_path}/bundles")
     back = json_io.read_bundles(spark, f"{tmp_path}/bundles")
     assert verdicts(bundle.verify_bundles(back, "test-hmac-secret", listed=True)) == {"resourceId=acct-1": (True, []), "resourceId=acct-2": (True, [])}
     text = json.loads(json_io.bundle_text(made).filter("bundle_key = 'resourceId=acct-1'").first()["value"])
