@@ -1,12 +1,12 @@
 """License scans: winnowed template fingerprints, then banded alignment.
 
 A template's word k-grams are winnowed (Schleimer et al., 2003) into an
-inverted index. All k-grams of a text probe it, so a text that has as few as
-k + window - 1 words of a template in a row meets one of its fingerprints.
-An edit every few words leaves no k-gram, so places also count where enough of
-a template's words, in whatever order, lie within a band of diagonals: without
-that no alignment can cover enough. Each candidate place is aligned with the
-template within its band.
+inverted index: pairs of words of the short notices, and every second or so triple
+of longer texts. All pairs and triples of a text probe it. The index alone
+proposes candidates: the diagonals whose band holds a fingerprint that both share,
+two of a longer template. Each is aligned with the template within its band of
+words, so texts that insert or drop more than `band` words in one place are
+beyond it. A run of four words of a longer template always holds a fingerprint.
 """
 
 from __future__ import annotations
@@ -89,78 +89,61 @@ _WORD = re.compile(r"[^\W_]+")
 _CELLS = 1 << 20
 
 
+# (k, window) of short templates and of the others.
+_SHORT, _LONG = (2, 1), (3, 2)
+_SHORT_WORDS, _LEAST_WORDS = 20, 3
+
+
 class TemplateIndex:
     """Winnowed fingerprints of all templates. A k-gram is exact: the numbers of
     its words, in a vocabulary of the templates' words, in one integer."""
 
-    def __init__(self, templates: dict[str, str], k: int = 5, window: int = 4, band: int = 8):
-        self.k, self.band = k, band
+    def __init__(self, templates: dict[str, str], band: int = 8):
+        self.band = band
         self.names = sorted(templates)
         words = {n: _WORD.findall(templates[n].lower()) for n in self.names}
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
         self.base = len(self.vocabulary) + 1
-        if self.base**k >= 1 << 63:
-            raise ValueError("too many different words for k-grams of this length")
         self.ids = [np.array([self.vocabulary[w] for w in words[n]], np.int64) for n in self.names]
-        self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {k: defaultdict(list) for k, _ in (_SHORT, _LONG)}
         for t, ids in enumerate(self.ids):
-            if len(ids) < k:
-                raise ValueError(f"template {self.names[t]} has under {k} words")
-            grams = self.grams(ids)
+            k, window = _SHORT if len(ids) <= _SHORT_WORDS else _LONG
+            if len(ids) < _LEAST_WORDS:
+                raise ValueError(f"template {self.names[t]} has under {_LEAST_WORDS} words")
+            grams = self.grams(ids, k)
             order = (grams * -7046029254386353131) ^ (grams >> 7)
             width = min(window, len(grams))
             kept = {at + int(np.argmin(order[at : at + width])) for at in range(len(grams) - width + 1)}
             for at in sorted(kept):
-                self.index[int(grams[at])].append((t, at))
-        self.keys = np.array(sorted(self.index), np.int64)
+                self.index[k][int(grams[at])].append((t, at))
+        self.keys = {k: np.array(sorted(found), np.int64) for k, found in self.index.items()}
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
+    def grams(self, ids: np.ndarray, k: int) -> np.ndarray:
         """The k-gram at each place; -1 where it has a word of no template."""
-        n = len(ids) - self.k + 1
+        n = len(ids) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(self.k):
+        for j in range(k):
             out = out * self.base + ids[j : j + n]
             known &= ids[j : j + n] > 0
         return np.where(known, out, -1)
 
     def places(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, first word in the text) of every candidate place."""
-        grams = self.grams(ids)
+        """(template, diagonal) of every candidate: all diagonals whose band holds
+        a fingerprint that text and template share."""
         found: dict[int, list[int]] = defaultdict(list)
-        for at in np.flatnonzero(np.isin(grams, self.keys)) if len(grams) else ():
-            for t, own in self.index[int(grams[at])]:
-                found[t].append(int(at) - own)
+        for k, keys in self.keys.items():
+            grams = self.grams(ids, k)
+            for at in np.flatnonzero(np.isin(grams, keys)) if len(grams) else ():
+                for t, own in self.index[k][int(grams[at])]:
+                    found[t].append(int(at) - own)
         out = []
         for t, diagonals in found.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is None or d - last > self.band_of(t):
-                    out.append((t, d))
-                    last = d
-        return out
-
-    def dense(self, ids: np.ndarray, least: float) -> list[tuple[int, int]]:
-        """(template, diagonal) of every band that has the share `least` of a
-        template's words: a superset of the places whose alignment covers that."""
-        out: list[tuple[int, int]] = []
-        present = np.zeros(self.base, bool)
-        present[ids] = True
-        for t, own in enumerate(self.ids):
-            need = max(1, int(np.ceil(least * len(own) - 1e-9)))
-            if np.count_nonzero(present[own]) < need:
-                continue
-            b, first = self.band_of(t), len(own) + self.band_of(t)
-            counts = np.zeros(len(ids) + len(own) + 2 * b + 1, np.int32)  # of centre c - first
-            for w in np.unique(own):
-                at = np.flatnonzero(ids == w)
-                for i in np.flatnonzero(own == w):
-                    near = np.zeros(len(counts), bool)
-                    for o in range(-b, b + 1):
-                        near[at - i + first + o] = True
-                    counts += near
-            out += [(t, int(c) - first) for c in np.flatnonzero(counts >= need)]
+            b, met = self.band_of(t), np.sort(diagonals)
+            near = np.unique((np.unique(met)[:, None] + np.arange(-b, b + 1)).ravel())
+            held = np.searchsorted(met, near + b, "right") - np.searchsorted(met, near - b)
+            out += [(t, int(d)) for d in near[held >= (1 if len(self.ids[t]) <= _SHORT_WORDS else 2)]]
         return out
 
     def band_of(self, t: int) -> int:
@@ -222,7 +205,7 @@ class TemplateIndex:
         words = _WORD.findall(text.lower())
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words], np.int64)
-        candidates = sorted({*self.places(ids), *self.dense(ids, least)}) if ids.any() else []
+        candidates = sorted(self.places(ids)) if ids.any() else []
         out, where = [], None
         for t, pairs in self.aligned(candidates, ids, least):
             coverage = len(pairs) / len(self.ids[t])

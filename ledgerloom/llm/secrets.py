@@ -3,7 +3,9 @@
 Every text is a version of the blob named by its SHA-256. A ledger holds the
 (blob, rule version) pairs that were scanned, with their findings; a run scans
 the pairs that it lacks, adds them, and findings are joined back to all paths
-with that blob.
+with that blob. Which row of a blob is scanned is decided on hashes alone, and the
+text is scanned where it lies: texts move only where a run has more unseen blobs
+than may be sent to every task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shared_dir
+from ledgerloom.llm.common import shared_dir, stored
+
+#: Keys of some 60 bytes that may be sent to every task.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -55,10 +60,12 @@ class Ledger:
         parts = [f"{self.path}/run={n}" for n in range(self.runs)]
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], LEDGER_SCHEMA)
 
-    def scan(self, versions: DataFrame, rule_sets: dict[int, tuple[Rule, ...]] | None = None) -> None:
-        """Scan what the ledger lacks of these versions and rules, and add it."""
+    def scan(self, versions: DataFrame, rule_sets: dict[int, tuple[Rule, ...]] | None = None, known: DataFrame | None = None) -> None:
+        """Scan what the ledger lacks of these versions and rules, and add it.
+        known: the versions without their texts, where they are stored already."""
         rule_sets = rule_sets or RULE_SETS
-        fresh = scan_blobs(unseen_blobs(versions, self.read(), list(rule_sets)), rule_sets)
+        fresh = scan_blobs(unseen_blobs(versions, self.read(), list(rule_sets), known), rule_sets)
+        fresh = fresh.dropDuplicates(["blob", "rule_version"])  # rows that are wholly equal are scanned each
         fresh.write.mode("overwrite").parquet(f"{self.path}/run={self.runs}")
         self.runs += 1
 
@@ -105,21 +112,30 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.regexp_like(text, pattern), walked).otherwise(none)
 
 
+def _blob(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def versions_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(path, blob, text) of every row; null text is the empty blob."""
+    """(path, row, blob, text) of every row; null text is the empty blob. row is
+    a quick hash of path and text, by which a row is found again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("path"), F.sha2(F.encode(text, "UTF-8"), 256).alias("blob"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("path"), F.xxhash64(F.col(id_col), text).alias("row"), _blob(text).alias("blob"), text.alias("text"))
 
 
-def unseen_blobs(versions: DataFrame, ledger: DataFrame, rule_versions: list[int]) -> DataFrame:
-    """One row for each blob with the rule versions that it hasn't been scanned
-    by (`todo`); text comes with it. Copies meet before and after the shuffle,
-    so a blob with a third of the paths is one row of each task."""
+def unseen_blobs(versions: DataFrame, ledger: DataFrame, rule_versions: list[int], known: DataFrame | None = None) -> DataFrame:
+    """One row for each blob (rows that are equal stay each) with the rule
+    versions that it hasn't been scanned by (`todo`); its text comes with it. The
+    row is chosen on hashes alone; copies meet before and after that shuffle, so a
+    blob with a third of the paths is one row of each task."""
     done = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("done"))
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
+    chosen = (versions if known is None else known).groupBy("blob").agg(F.min("row").alias("row"))
     wanted = F.array(*[F.lit(v) for v in sorted(rule_versions)])
-    left = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<int>"))))
-    return left.filter(F.size("todo") > 0).select("blob", "text", "todo")
+    left = chosen.join(done, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<int>"))))
+    left = stored(left.filter(F.size("todo") > 0).select("row", F.xxhash64("blob").alias("_check"), "todo"), "unseenblobs")
+    left = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    rows = versions.select("row", "text").join(left, "row").withColumn("blob", _blob(F.col("text")))  # hashed again for these rows alone
+    return rows.filter(F.xxhash64("blob") == F.col("_check")).select("blob", "text", "todo")
 
 
 def scan_blobs(blobs: DataFrame, rule_sets: dict[int, tuple[Rule, ...]]) -> DataFrame:
@@ -167,9 +183,11 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     versions = versions_of(docs, id_col, text_col)
     ledger = Ledger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
-    ledger.scan(versions.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 0), {1: BASE_RULES})
-    ledger.scan(versions)
-    spans = findings_by_path(versions, ledger.read())
+    known = stored(versions.select("path", "row", "blob"), "versions", lasting=True)
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    ledger.scan(versions.filter(half), {1: BASE_RULES}, known.filter(half))
+    ledger.scan(versions, known=known)
+    spans = findings_by_path(known, ledger.read())
     base = [r.kind for r in BASE_RULES]
 
     def count(kind: str) -> Column:

@@ -146,3 +146,13 @@ def test_items_without_an_id(spark):
     got = sorted((r["doc_id"], r["item_id"] or 0, r["n_words"], r["similarity"]) for r in D.contaminated(docs, benchmark).collect())
     assert got == [(0, 0, 20, 1.0), (0, 1, 20, 1.0), (1, 0, 30, 1.0), (2, 1, 25, 1.0)]
     assert [r["doc_id"] for r in D.without_contaminated(docs, benchmark).collect()] == [9]
+
+
+def test_items_of_very_many_equal_words(spark):
+    """More shingles than 16 bits count; an ordinary text of that length too."""
+    hashes = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: F.lit(-1).cast("long")).alias("h"))
+    assert hashes.select(D.simhash_of(F.col("h"))).first()[0] == -1
+    item = "again " * 40_000
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "a clean text of some few words")], "doc_id long, text string")
+    left = D.without_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r["doc_id"] for r in left.collect()] == [2]

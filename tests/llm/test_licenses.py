@@ -46,28 +46,39 @@ def test_offsets_where_lower_case_is_longer():
 
 
 def test_recall_against_alignment_everywhere():
-    """Any text whose alignment at some diagonal covers 0.8 is found."""
+    """Of the texts whose alignment at some diagonal covers 0.8, the index
+    proposes nine in ten or more for every template, and what it finds covers as
+    much as the best alignment does."""
     index, rng = licenses.TemplateIndex(licenses.TEMPLATES), random.Random(6)
     texts = [
         "This work is licensed under the terms of the GNU General Public License, version 3",
         "Licensed under Apache License, Version 2.0",
     ]
     for template in licenses.TEMPLATES.values():
-        for every in (3, 4, 5, 6):
-            words = licenses._WORD.findall(template)
-            for at in range(rng.randrange(every), len(words), every):
-                words[at] = rng.choice(["", "other", f"{words[at]} more"])
-            texts.append(f"some words before {' '.join(words)} and after the text")
-    found = 0
+        for every in (3, 4, 5, 6, 7, 9, 12):
+            for _ in range(3):
+                words = licenses._WORD.findall(template)
+                for at in range(rng.randrange(every), len(words), every):
+                    words[at] = rng.choice(["", "other", f"{words[at]} more"])
+                texts.append(f"some words before {' '.join(words)} and after the text")
+    known, met = {n: 0 for n in index.names}, {n: 0 for n in index.names}
     for text in texts:
         ids = licenses.np.array([index.vocabulary.get(w, 0) for w in licenses._WORD.findall(text.lower())], licenses.np.int64)
         got = {m["template"]: m["coverage"] for m in index.scan(text, 0.8)}
         for t, name in enumerate(index.names):
             own = len(index.ids[t])
             best = index._tables(t, ids, licenses.np.arange(-own, len(ids) + 1))[0, :, 0].max() / own
-            assert got.get(name) == (round(best, 6) if best >= 0.8 else None), (name, text)
-            found += best >= 0.8
-    assert found > 20 and {m["template"] for x in texts[:2] for m in index.scan(x, 0.8)} == {"GPL-notice", "Apache-2.0-notice"}
+            known[name] += best >= 0.8
+            met[name] += name in got
+            assert name not in got or got[name] == round(best, 6), (name, text)
+    assert min(known.values()) >= 8 and all(met[n] >= 0.9 * known[n] for n in known), {n: (met[n], known[n]) for n in known}
+    print({n: (met[n], known[n]) for n in known})
+    assert {m["template"] for x in texts[:2] for m in index.scan(x, 0.8)} == {"GPL-notice", "Apache-2.0-notice"}
+
+
+def test_the_index_alone_proposes(monkeypatch):
+    monkeypatch.setattr(licenses.TemplateIndex, "places", lambda self, ids: [])
+    assert licenses.TemplateIndex(licenses.TEMPLATES).scan(licenses.TEMPLATES["MIT"], 0.8) == []
 
 
 def plain_lcs(own, ids, diagonal, band):
@@ -82,13 +93,12 @@ def plain_lcs(own, ids, diagonal, band):
 
 
 def test_alignment_tables_against_plain_ones():
+    """Short notices at all diagonals, whole licences around the right one."""
     index, rng = licenses.TemplateIndex(licenses.TEMPLATES), random.Random(2)
     for t, own in enumerate(index.ids):
-        if len(own) > 60:
-            continue
         ids = [rng.choice([0, *own]) for _ in range(10)] + [w for w in own if rng.random() < 0.8] + [0] * rng.randint(0, 5)
         ids = licenses.np.array(ids)
-        diagonals = licenses.np.arange(-5, len(ids))
+        diagonals = licenses.np.arange(-5, len(ids)) if len(own) <= 60 else licenses.np.array([-40, -8, 0, 7, 10, 90])
         got = index._tables(t, ids, diagonals)[0, :, 0]
         assert got.tolist() == [plain_lcs(own.tolist(), ids.tolist(), d, index.band_of(t)) for d in diagonals.tolist()]
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -164,3 +165,19 @@ def test_proportions_beyond_the_queues(spark, monkeypatch):
         for p in sequences[s]:
             have[p["source"]] += p["length"]
         assert all(abs(have[q] - 610 * total[q] / total.total()) <= 2 for q in "ab")
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_very_long_white_space_is_encoded(special):
+    """Where the ranks' pattern gives up, the ids are those of the tokenizer."""
+    for text in ("a" + " " * 1_000_000 + "b", "\n" * 1_000_000):
+        ids = packing.encoder("byte_bpe_50k", special)(text)
+        tokenizer = packing.load_tokenizer("byte_bpe_50k", special)
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids and tokenizer.decode(ids) == text
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", " ", "\n", "\t ", "é", "1", "<|endoftext|>", "文", "́"]), st.integers(1, 300)), max_size=6))
+def test_long_runs_have_the_tokenizers_ids(runs):
+    text = "".join(c * n for c, n in runs)
+    assert packing.encoder("byte_bpe_50k", True)(text) == packing.load_tokenizer("byte_bpe_50k", True).encode(text, add_special_tokens=False).ids
