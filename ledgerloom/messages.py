@@ -31,6 +31,7 @@ BUNDLE_RECORD_DIFFERS = "record hash mismatch"
 BUNDLE_LEAF_UNKNOWN = "cannot verify leaf "
 BUNDLE_LEAF = "leaf "
 BUNDLE_LEAF_MODIFIED = " modified"
+BUNDLE_RECORD_UNREADABLE = "record cannot be read"
 SEGMENT_RECORD_MISSING = "segment record missing: seq "
 SEGMENT_LINK_BROKEN = "broken chain link at seq "
 

@@ -88,9 +88,10 @@ def anchored(segments: DataFrame, events: DataFrame, genesis: str, chain: str |
     return joined.select("bundle_key", "from_seq", "to_seq", prior_hash.alias("prior_record_hash"))
 
 
-def ordered_digests(parts: DataFrame, key: str = "bundle_key") -> DataFrame:
+def ordered_digests(parts: DataFrame, key: str = "bundle_key", repeats: bool = False) -> DataFrame:
     """(key, digest): SHA-256 of the texts of each key in the order of column
-    `place`, read as a stream: a key's texts are never in memory together."""
+    `place`, read as a stream: a key's texts are never in memory together. A place
+    that repeats is an error unless `repeats`, which forged bundles may have."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, digest, last = None, None, None
@@ -101,7 +102,7 @@ def ordered_digests(parts: DataFrame, key: str = "bundle_key") -> DataFrame:
                     if digest is not None:
                         done.append((open_key, digest.hexdigest()))
                     open_key, digest, last = k, hashlib.sha256(), None
-                if last is not None and place <= last:
+                if last is not None and (place < last or place == last and not repeats):
                     raise ValueError(f"place {place} follows {last} in {k}")
                 last = place
                 digest.update(text.encode())
@@ -113,7 +114,7 @@ def ordered_digests(parts: DataFrame, key: str = "bundle_key") -> DataFrame:
     return ordered.mapInPandas(run, f"{key} string, digest string")
 
 
-def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame) -> DataFrame:
+def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame, repeats: bool = False) -> DataFrame:
     """(bundle_key, digest) of the canonical text without hash and hmac;
     records have their canonical texts in column text."""
     lead = H.object_text([
@@ -138,7 +139,7 @@ def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame) -
     parts = fixed(0, opening).unionByName(listed(records.select("bundle_key", "seq", "text"), 1)).unionByName(fixed(2, F.lit('],"segments":[')))
     parts = parts.unionByName(listed(segments.select("bundle_key", F.col("from_seq").alias("seq"), segment.alias("text")), 3)).unionByName(fixed(4, F.lit("]}")))
     place = F.col("place.k").cast("long") * F.lit(1 << 56) + F.col("place.n")
-    return ordered_digests(parts.select("bundle_key", place.alias("place"), "text"))
+    return ordered_digests(parts.select("bundle_key", place.alias("place"), "text"), repeats=repeats)
 
 
 RECORD_COLUMNS = ["seq", "event_id", "event_type", "actor_id", "resource_type", "resource_id", "payload_json", "payload_canonical", "leaf_salts_json", "leaf_commitments_json", "redacted_paths", "event_ts_c", "recorded_at_c", "content_hash", "prev_hash", "record_hash", "archived"]
@@ -177,21 +178,22 @@ def bundle_problems(bundles: Bundles, secret: str | None = None) -> DataFrame:
     linked = H.record_hash(F.col("prev_hash"), F.col("content_hash"))
     none = F.array().cast("array<string>")
     parsed = bundles.records.withColumn("_parsed", parse_payload(F.col("payload_json")))
-    own = F.concat(
+    own = F.when(F.col("seq").isNull(), F.array(F.lit(M.BUNDLE_RECORD_UNREADABLE))).otherwise(F.concat(
         F.when(F.col("payload_json").isNull(), none).otherwise(_leaf_problems(at)),
         F.when(F.equal_null(H.content_hash(), F.col("content_hash")), none).otherwise(F.array(F.concat(F.lit(M.BUNDLE_CONTENT_DIFFERS), at))),
         F.when(F.equal_null(linked, F.col("record_hash")), none).otherwise(F.array(F.concat(F.lit(M.BUNDLE_RECORD_DIFFERS), at))),
-    )
+    ))
     checked = parsed.withColumn("payload_canonical", F.col("_parsed.canonical"))
     checked = staged(checked.select("bundle_key", "seq", "prev_hash", "record_hash", record_text().alias("text"), own.alias("problems")), "checkedrecords")
-    digests = bundle_hashes(bundles.headers, checked, bundles.segments)
+    known, segments = checked.filter("seq is not null"), bundles.segments.filter("from_seq is not null")
+    digests = bundle_hashes(bundles.headers, known, segments, repeats=True)
     headers = bundles.headers.join(digests, "bundle_key", "left")
     problems = headers.filter(~F.equal_null("digest", "bundle_hash")).select("bundle_key", F.lit(M.BUNDLE_HASH_DIFFERS).alias("problem"))
     if secret is not None:
         wrong = F.col("hmac").isNotNull() & (H.hmac_sha256_hex(secret, F.col("bundle_hash")) != F.col("hmac"))
         problems = problems.unionByName(headers.filter(wrong).select("bundle_key", F.lit(M.HMAC_DIFFERS).alias("problem")))
     problems = problems.unionByName(checked.filter(F.size("problems") > 0).select("bundle_key", F.explode("problems").alias("problem")))
-    return problems.unionByName(_segment_problems(checked, bundles.segments))
+    return problems.unionByName(_segment_problems(known, segments))
 
 
 def verify_bundles(bundles: Bundles, secret: str | None = None, listed: bool = False) -> DataFrame:

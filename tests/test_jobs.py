@@ -133,6 +133,8 @@ def test_bundles(spark, tmp_path):
     assert not valid and problems == ["bundle hash mismatch", "leaf /k modified at seq 1", "leaf /s modified at seq 1"]
     headers = made.headers.withColumn("bundle_hash", F.lit("0" * 64))
     assert verdicts(bundle.verify_bundles(bundle.Bundles(headers, made.records, made.segments), listed=True))["resourceId=acct-2"][1] == ["bundle hash mismatch"]
+    twice = bundle.Bundles(made.headers, made.records.unionByName(made.records.filter("seq = 3")), made.segments)
+    assert verdicts(bundle.verify_bundles(twice, listed=True))["resourceId=acct-1"] == (False, ["bundle hash mismatch"])
     gone = bundle.Bundles(made.headers, made.records.filter("seq != 3"), made.segments)
     assert "segment record missing: seq 3" in verdicts(bundle.verify_bundles(gone, listed=True))["resourceId=acct-1"][1]
     json_io.write_bundle_rows(made, f"{tmp_path}/bundles")
