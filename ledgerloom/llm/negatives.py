@@ -10,8 +10,9 @@ anchor's largest (focus) coordinates, cut out of the ordered lists, intersect in
 a superset of the rows that matter; these are verified by exact inner products.
 
 Anchors are a stated set of queries. They meet all rows in blocks: a task holds
-one block of anchors and one bucket. The longest bucket alone is searched first
-and gives every anchor a threshold that its best rows reach in any case.
+one block of anchors and one bucket. Buckets are searched in rounds, the longest
+one first and eight times as many each time; after a round every anchor's
+threshold is what its best rows so far reach, so later rounds return few rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ from ledgerloom.llm.common import scratch, stored
 BUCKET_ROWS = 4096
 ANCHOR_ROWS = 1024
 FOCUS = 3
+#: How many times the buckets of the rounds before a round has.
+GROWTH = 8
 SCALE = 256
 _EPS = 1e-9
 _PACKED = "vec_ids binary, labels binary, width int, vectors binary"
-_BEST = "anchor long, positive_id long, other_id long, score long"
+_FOUND = ["anchor", "positive_id", "positive_score", "other_id", "score"]
+_PAIR = ["anchor", "positive_id", "positive_score"]
+_BEST = "anchor long, positive_id long, positive_score long, other_id long, score long"
 
 
 def labelled_vectors(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -74,8 +79,8 @@ def _packed(rows: pd.DataFrame, vectors: np.ndarray) -> dict:
 
 
 def length_buckets(rows: DataFrame, size: int = BUCKET_ROWS) -> DataFrame:
-    """A row for each bucket: its longest length, its rows by length and its
-    ordered lists of coordinates."""
+    """A row for each bucket: its longest length, its rows by length, its ordered
+    lists of coordinates and its place among all buckets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _in_chunks(frames, size):
@@ -87,7 +92,8 @@ def length_buckets(rows: DataFrame, size: int = BUCKET_ROWS) -> DataFrame:
 
     parts = max(1, -(-rows.count() // size))
     by_length = [F.desc("norm2"), "vec_id", "label"]
-    return rows.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length).mapInPandas(run, f"longest double, {_PACKED}, lists binary")
+    packed = rows.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length).mapInPandas(run, f"longest double, {_PACKED}, lists binary")
+    return packed.withColumn("place", F.spark_partition_id())  # longest first
 
 
 class _Bucket:
@@ -147,20 +153,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _positives(bucket: _Bucket, anchor: pd.Series, scores: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple]:
-    own = np.flatnonzero((bucket.labels[at] == anchor["label"]) & (bucket.ids[at] != anchor["vec_id"]))
+def _positives(bucket: _Bucket, anchor: dict, scores: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple]:
+    own = np.flatnonzero((bucket.labels[at] == anchor["label"]) & (bucket.ids[at] != anchor["vec_id"]) & (scores >= anchor["threshold"]))
     for i in own[_best(scores[own], bucket.ids[at[own]], k)]:
-        yield anchor["anchor"], None, int(bucket.ids[at[i]]), int(scores[i])
+        yield anchor["anchor"], None, None, int(bucket.ids[at[i]]), int(scores[i])
 
 
-def _negatives(bucket: _Bucket, anchor: pd.Series, scores: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple]:
+def _negatives(bucket: _Bucket, anchor: dict, scores: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple]:
     other = np.flatnonzero((bucket.labels[at] != anchor["label"]) & (bucket.ids[at] != anchor["vec_id"]))
     ids, theirs = bucket.ids[at[other]], scores[other]
-    for positive, score in zip(anchor["positive_ids"], anchor["positive_scores"]):
-        least, most = -(-50 * int(score) // 100), 95 * int(score) // 100
-        within = np.flatnonzero((theirs >= least) & (theirs <= most))
+    for positive, score, floor in zip(anchor["positive_ids"], anchor["positive_scores"], anchor["floors"]):
+        within = np.flatnonzero((theirs >= floor) & (theirs <= 95 * int(score) // 100))
         for i in within[_best(theirs[within], ids[within], k)]:
-            yield anchor["anchor"], int(positive), int(ids[i]), int(theirs[i])
+            yield anchor["anchor"], int(positive), int(score), int(ids[i]), int(theirs[i])
 
 
 def _search(anchors: DataFrame, buckets: DataFrame, find: Callable, k: int) -> DataFrame:
@@ -174,7 +179,7 @@ def _search(anchors: DataFrame, buckets: DataFrame, find: Callable, k: int) -> D
 
     length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     needed = F.when((F.col("threshold") > 0) & (length > 0), F.col("threshold") / length * (1 - 1e-6)).otherwise(F.lit(float("-inf")))
-    columns = ["anchor", "vec_id", "label", "q", "threshold", "positive_ids", "positive_scores"]
+    columns = ["anchor", "vec_id", "label", "q", "threshold", "positive_ids", "positive_scores", "floors"]
     kinds = dict(anchors.dtypes)
     block = ",".join(f"{c}:array<{kinds[c]}>" for c in columns)
     rows = anchors.select(*columns).withColumn("needed", needed)
@@ -193,7 +198,7 @@ def _search(anchors: DataFrame, buckets: DataFrame, find: Callable, k: int) -> D
                     some = bucket.candidates(vector, anchor["threshold"])
                     scores = bucket.scores(vector, exact, some)
                     found += find(bucket, anchor, scores, everyone if some is None else some, k)
-                yield pd.DataFrame(found, columns=["anchor", "positive_id", "other_id", "score"]).astype({"positive_id": "Int64"})
+                yield pd.DataFrame(found, columns=_FOUND).astype({"positive_id": "Int64", "positive_score": "Int64"})
 
     # Blocks of stated queries against buckets; a pair whose lengths can't reach is left out.
     pairs = buckets.join(blocks, F.col("needed") <= F.col("longest"))
@@ -206,6 +211,20 @@ def _first(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _in_rounds(buckets: DataFrame, parts: int, keys: list[str], k: int, search: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """The first k of all buckets for each key. search(some buckets, reached)
+    returns what may be among them; reached has (keys, least): the k-th best score
+    of the keys that have k rows already."""
+    best, reached, done, upto = None, None, 0, 1
+    while best is None or done < parts:
+        found = search(buckets.filter((F.col("place") >= done) & (F.col("place") < upto)), reached).select(*_FOUND)
+        found = found if best is None else best.unionByName(found)
+        best = stored(_first(found, keys, k).select(*_FOUND), "bestsofar")
+        reached = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select(*keys, "least")
+        done, upto = upto, GROWTH * upto
+    return best
+
+
 def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -220,33 +239,29 @@ def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, n
     with scratch(embeddings.sparkSession):
         rows = stored(labelled_vectors(embeddings, id_col, vec_col, label_col), "vectors")
         buckets = stored(length_buckets(rows), "lengthbuckets")
-        longest = buckets.agg(F.max("longest")).first()[0]
-        if longest is None:
-            return embeddings.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-        top = stored(buckets.orderBy(F.desc("longest"), "vec_ids").limit(1), "longestbucket")
+        parts = buckets.agg(F.max("place")).first()[0]
+        parts = 0 if parts is None else parts + 1
         anchors = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "label", "q").distinct()
         anchors = stored(anchors.withColumn("anchor", F.xxhash64("vec_id", "label", "q")), "anchors")
-        none = [F.array().cast("array<long>").alias(c) for c in ("positive_ids", "positive_scores")]
+        none = [F.array().cast("array<long>").alias(c) for c in ("positive_ids", "positive_scores", "floors")]
         unknown = F.lit(float("-inf"))
-        seen = _search(anchors.select("*", unknown.alias("threshold"), *none), top, _positives, positives)
-        known = _threshold(seen, ["anchor"], positives).groupBy("anchor").agg(F.min("least").alias("threshold"))
-        found = _search(anchors.join(known, "anchor", "left").select("anchor", "vec_id", "label", "q", F.coalesce("threshold", unknown).alias("threshold"), *none), buckets, _positives, positives)
-        best = stored(_first(found, ["anchor"], positives).select("anchor", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives", lasting=True)
-        lists = best.groupBy("anchor").agg(F.collect_list("positive_id").alias("positive_ids"), F.collect_list("positive_score").alias("positive_scores"), F.min(F.ceil(F.col("positive_score") / 2)).cast("double").alias("least"))
-        asking = stored(anchors.join(lists, "anchor"), "asking")
-        seen = _search(asking.withColumn("threshold", F.col("least")), top, _negatives, negatives)
-        full = _threshold(seen, ["anchor", "positive_id"], negatives)
-        # Where each positive has enough negatives among the longest, no worse ones matter.
-        known = full.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("reached"))
-        sure = asking.join(known, "anchor", "left").withColumn("threshold", F.when(F.col("n") == F.size("positive_ids"), F.greatest("reached", "least")).otherwise(F.col("least")))
-        found = stored(_search(sure, buckets, _negatives, negatives), "negatives", lasting=True)
-        of_anchor = stored(anchors.select("anchor", F.col("vec_id").alias("anchor_id")), "anchorids", lasting=True)
-    ranked = _first(found, ["anchor", "positive_id"], negatives).select("anchor", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    joined = ranked.join(best.distinct(), ["anchor", "positive_id"]).join(of_anchor, "anchor")
-    return joined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
+        def nearest(some: DataFrame, reached: DataFrame | None) -> DataFrame:
+            asking = anchors.withColumn("least", F.lit(None).cast("long")) if reached is None else anchors.join(reached, "anchor", "left")
+            return _search(asking.select("anchor", "vec_id", "label", "q", F.coalesce(F.col("least").cast("double"), unknown).alias("threshold"), *none), some, _positives, positives)
 
-def _threshold(seen: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(keys, least): the k-th best score where k rows were found."""
-    ranked = _first(seen, keys, k).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least"))
-    return ranked.filter(F.col("n") >= k).select(*keys, "least")
+        found = _in_rounds(buckets, parts, ["anchor"], positives, nearest)
+        best = stored(found.select("anchor", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")).distinct(), "positives")
+        least = F.ceil(F.col("positive_score") / 2)  # half the positive's score is what a negative must reach
+
+        def between(some: DataFrame, reached: DataFrame | None) -> DataFrame:
+            asked = best.withColumn("least", F.lit(None).cast("long")) if reached is None else best.join(reached, _PAIR, "left")
+            asked = asked.withColumn("p", F.struct("positive_id", "positive_score", F.greatest(least, F.coalesce("least", least)).alias("floor")))
+            lists = asked.groupBy("anchor").agg(F.collect_list("p").alias("l"))
+            lists = lists.select("anchor", *[F.col(f"l.{c}").alias(name) for c, name in (("positive_id", "positive_ids"), ("positive_score", "positive_scores"), ("floor", "floors"))])
+            return _search(anchors.join(lists, "anchor").withColumn("threshold", F.array_min("floors").cast("double")), some, _negatives, negatives)
+
+        found = stored(_in_rounds(buckets, parts, _PAIR, negatives, between), "negatives", lasting=True)
+        of_anchor = stored(anchors.select("anchor", F.col("vec_id").alias("anchor_id")), "anchorids", lasting=True)
+    ranked = _first(found, _PAIR, negatives).select(*_PAIR, F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score"))
+    return ranked.join(of_anchor, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -71,7 +71,7 @@ def test_coordinate_ranges_keep_all_that_reach():
 
 def test_odd_rows(spark):
     rows = [
-        (0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (3, [0.4, float("nan")], 2), (4, [0.4, None], 2), (5, None, 2),
+        (0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (2, [0.9, 0.5], 1), (3, [0.4, float("nan")], 2), (4, [0.4, None], 2), (5, None, 2),
         (6, [0.45, 0.1], 2), (8, [0.45, 0.1], 2), (9, [0.45, 0.1], None), (None, [0.45, 0.1], 2), (10, [], 2), (11, [0.0, 0.0], 3), (50, [0.0, 0.0], 3), (12, [float("inf"), 0.0], 2), (13, [0.4], 4),
     ]
     assert got(negatives.hard_negatives(frame(spark, rows))) == plain_negatives(rows)
