@@ -3,6 +3,8 @@
 Parquet has no update, so a job that changes rows writes a new version of the
 event table and then names it in a one-row `current` table; readers resolve
 that name when they start, and a job that dies before it leaves the old version.
+These are the plain tables of one chain or many; ledger.py has commits that claim
+a version and write only what changes.
 """
 
 from __future__ import annotations
@@ -13,31 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
+from ledgerloom.operators.tables import event_keys
 
 
-def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows lie by seq, so seq ranges and recent times touch few files."""
-    events.select(*schemas.EVENT_COLUMNS).repartitionByRange("seq").sortWithinPartitions("seq").write.mode(mode).parquet(path)
+def _named(schema: str, chain: str | None) -> str:
+    return schema if chain is None else f"{chain} string, {schema}"
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AUDIT_EVENT).parquet(path)
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists", chain: str | None = None) -> None:
+    """Rows lie by (chain and) seq, so seq ranges and recent times touch few files."""
+    keys = event_keys(chain)
+    rows = events.select(*keys[:-1], *schemas.EVENT_COLUMNS)
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
-def write_archive(copies: DataFrame, path: str) -> None:
-    copies.select(*schemas.EVENT_COLUMNS).write.mode("append").parquet(path)
+def read_events(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
+    return spark.read.schema(_named(schemas.AUDIT_EVENT, chain)).parquet(path)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ARCHIVED_EVENT).parquet(path)
+def write_archive(copies: DataFrame, path: str, chain: str | None = None) -> None:
+    copies.select(*event_keys(chain)[:-1], *schemas.EVENT_COLUMNS).write.mode("append").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
+    return spark.read.schema(_named(schemas.ARCHIVED_EVENT, chain)).parquet(path)
 
 
 def write_redactions(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def read_redactions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REDACTION).parquet(path)
+def read_redactions(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
+    return spark.read.schema(_named(schemas.REDACTION, chain)).parquet(path)
 
 
 class EventTable:
