@@ -64,7 +64,8 @@ def encoder(name: str, special_tokens: bool):
     of about a million white-space characters, and such a text goes to the
     tokenizer of the JSON file, whose ids are the same."""
     encoding = load_encoding(name)
-    fast = partial(encoding.encode, allowed_special="all") if special_tokens else encoding.encode_ordinary
+    # Not encode_ordinary, which ends the process there.
+    fast = partial(encoding.encode, allowed_special="all" if special_tokens else set(), disallowed_special=())
 
     def encode(text: str) -> list[int]:
         try:
