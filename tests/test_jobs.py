@@ -166,7 +166,7 @@ def test_segments_by_walking_them(spark):
                 expected.add((key, f"broken chain link at seq {s}"))
     records = spark.createDataFrame(records, "bundle_key string, seq long, prev_hash string, record_hash string")
     segments = spark.createDataFrame(segments, "bundle_key string, from_seq long, to_seq long, prior_record_hash string")
-    got = {tuple(r) for r in bundle._segment_problems(bundle.Bundles(None, records, segments)).collect()}
+    got = {tuple(r) for r in bundle._segment_problems(records, segments).collect()}
     assert got == expected and len(expected) > 50
 
 
