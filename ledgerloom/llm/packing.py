@@ -149,9 +149,9 @@ def deal(capacity: int, rounds: int, totals: np.ndarray, shares: np.ndarray) ->
     return given
 
 
-def queue_of(docs: DataFrame, mixture: dict | None, text_col: str, source_col: str) -> Column:
+def queue_of(docs: DataFrame, mixture: dict | None, text_col: str, source_col: str, max_queues: int) -> Column:
     """The queue of a row: its source's own ("=" and the name, "" if null) where
-    the mixture names the source or it has a share of 1 / MAX_QUEUES of all bytes
+    the mixture names the source or it has a share of 1 / max_queues of all bytes
     or more; smaller sources share queues ("#" and a number). So the number of
     queues is bounded, whatever the number of sources."""
     source = F.col(source_col).cast("string")
@@ -160,8 +160,8 @@ def queue_of(docs: DataFrame, mixture: dict | None, text_col: str, source_col: s
     sizes = stored(sizes, "sources")
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     single = {"" if m is None else f"={m}" for m in mixture or ()}
-    single |= {r["_queue"] for r in sizes.filter(F.col("_size") * F.lit(MAX_QUEUES) >= F.lit(total)).collect()}  # MAX_QUEUES rows at most
-    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
+    single |= {r["_queue"] for r in sizes.filter(F.col("_size") * F.lit(max_queues) >= F.lit(total)).collect()}  # max_queues rows at most
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
     return F.when(own.isin(*single), own).otherwise(shared) if single else shared
 
 
@@ -219,25 +219,30 @@ def pack_documents(
     text_col: str = "text",
     source_col: str = "source",
     special_tokens: bool = False,
+    max_queues: int | None = None,
 ) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset and source.
 
     mixture gives target shares by source (0 for one it doesn't name); by default
     each source's share is that of its tokens, so all last to the end. Sources
-    that the mixture names, and those with 1 / MAX_QUEUES of all bytes or more,
-    have queues of their own; smaller ones share queues by hash, each with the
-    sum of their shares (0 beside a mixture), and windows hold the proportions of
-    queues. All sequences but the last are full;
+    that the mixture names, and those with 1 / max_queues of all bytes or more
+    (MAX_QUEUES if none is given), have queues of their own; smaller ones share
+    queues by hash, each with the sum of their shares (0 beside a mixture), and
+    windows hold the proportions of queues. With max_queues at the number of bytes
+    every source has a queue; the driver holds a few numbers for each queue. All sequences but the last are full;
     the last is filled as far as tokens last. With special_tokens their strings
     in a text are their ids, else ordinary text. Null and empty texts are the end
     id alone, a null source is a queue of its own, null and repeated ids are
     packed row by row, an empty table gives no row, other columns are ignored.
     """
-    queue = queue_of(docs, mixture, text_col, source_col)
+    max_queues = MAX_QUEUES if max_queues is None else max_queues
+    if max_queues < 1:
+        raise ValueError("max_queues must be 1 or more")
+    queue = queue_of(docs, mixture, text_col, source_col, max_queues)
     tokens = tokenise(docs, queue, F.col(source_col).cast("string"), tokenizer, end_id, id_col, text_col, special_tokens)
     by_part = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")
-    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # 2 * MAX_QUEUES rows at most, and what the mixture names
+    totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # 2 * max_queues rows at most, and what the mixture names
     names = sorted(totals)
     counts = np.array([totals[q] for q in names], np.int64)
     shares = counts.astype(float) if mixture is None else np.array([0.0 if q.startswith("#") else mixture.get(q[1:] if q else None, 0.0) for q in names])

@@ -91,6 +91,29 @@ def test_many_sources_share_queues(spark, monkeypatch):
     checked(packing.pack_documents(docs, length=16).collect(), {i: f"text number {i}" for i in range(20)}, 16)
 
 
+def test_small_sources_have_queues_of_their_own_on_request(spark, monkeypatch):
+    """Sources that share a queue by default keep their own proportions with a larger bound."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 1)
+    texts = {i: "word " * (3000 if i < 40 else 30) for i in range(60)}
+    docs = spark.createDataFrame([(i, t, "large" if i < 40 else "first" if i < 50 else "second") for i, t in texts.items()], "doc_id long, text string, source string").coalesce(1)
+
+    def all_in_proportion(rows):
+        sizes = Counter()
+        for r in rows:
+            sizes[r["source"]] += r["length"]
+        sequences = checked(rows, texts, 6000)
+        windows = [Counter() for _ in range(len(sequences) - 1)]
+        for s, have in enumerate(windows):
+            for p in sequences[s]:
+                have[p["source"]] += p["length"]
+        return all(abs(have[q] - 6000 * n / sizes.total()) <= 2 for have in windows for q, n in sizes.items())
+
+    assert all_in_proportion(packing.pack_documents(docs, length=6000, max_queues=10_000).collect())
+    assert not all_in_proportion(packing.pack_documents(docs, length=6000).collect())
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, max_queues=0)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=6), st.integers(1, 50), st.data())
 def test_round_robin(totals, capacity, data):
