@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,11 @@ _PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 
 
-@lru_cache(maxsize=200_000)
+#: Words whose features a worker keeps; idle workers keep them beside later stages.
+CACHED_WORDS = 30_000
+
+
+@lru_cache(maxsize=CACHED_WORDS)
 def features_of(word: str) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings, 32 bits each."""
     raw = [f"w:{word}", *(f"p:{word[:k]}" for k in _PREFIXES if len(word) > k)]
@@ -54,14 +57,14 @@ class Model:
     def __init__(self, ids: np.ndarray, weights: np.ndarray, rate_weights: np.ndarray, bias: float, length_weight: float):
         self.bias, self.length_weight = bias, length_weight
         self.table = {int(i): (float(w), float(r)) for i, w, r in zip(ids, weights, rate_weights) if w or r}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
-    def _kept(self, word: str) -> list[int]:
+    def _kept(self, word: str) -> tuple[int, ...]:
         kept = self.words.get(word)
         if kept is None:
-            if len(self.words) > 500_000:
-                self.words.clear()
-            kept = self.words[word] = [f for f in features_of(word) if f in self.table]
+            kept = tuple([f for f in features_of.__wrapped__(word) if f in self.table])
+            if len(self.words) < CACHED_WORDS:  # frequent words come early
+                self.words[word] = kept
         return kept
 
     def score(self, text: str | None) -> float:
@@ -96,11 +99,10 @@ def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, least_docs
     if not positive or not unlabelled:
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), float(np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))), 0.0)
     ids, df = np.unique(np.concatenate([p[0] for p in positive]), return_counts=True)
-    uids, udf = np.unique(np.concatenate([u[0] for u in unlabelled]), return_counts=True)
     in_u = np.zeros(len(ids))
-    at = np.searchsorted(uids, ids)
-    hit = (at < len(uids)) & (uids[np.minimum(at, len(uids) - 1)] == ids)
-    in_u[hit] = udf[at[hit]]
+    for found, *_ in unlabelled if len(ids) else ():  # a document has a feature once
+        at = np.minimum(np.searchsorted(ids, found), len(ids) - 1)
+        in_u[at[ids[at] == found]] += 1
     # kept: clearly more frequent in P than in U, by a two-sample z of shares
     a, b, n, m = df / len(positive), in_u / len(unlabelled), len(positive), len(unlabelled)
     pooled = (df + in_u) / (n + m)
@@ -160,15 +162,15 @@ def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col:
             for text in batch.column(0):
                 text = text.as_py()
                 f, c = document_features(text)
-                out.append((f.astype("<i8").tobytes(), c.astype("<f4").tobytes(), len(_WORD.findall(text.lower()))))
+                out.append((f.astype("<u4").tobytes(), c.astype("<f4").tobytes(), len(_WORD.findall(text.lower()))))
             f, c, n = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], names=["f", "c", "n"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
     texts = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text")
     rows = texts.mapInArrow(run, "f binary, c binary, n long").collect()
-    kept = [(np.frombuffer(r["f"], "<i8"), np.frombuffer(r["c"], "<f4"), r["n"]) for r in rows]
-    return sorted(kept, key=lambda d: (d[2], d[0].tobytes(), d[1].tobytes()))  # the order of rows must not change a fit
+    rows.sort(key=lambda r: (r["n"], r["f"], r["c"]))  # the order of rows must not change a fit
+    return [(np.frombuffer(r["f"], "<u4"), np.frombuffer(r["c"], "<f4"), r["n"]) for r in rows]
 
 
 def fold_of(id_column: Column) -> Column:
@@ -202,9 +204,9 @@ def score_udf(docs: DataFrame, model: Model):
     """A column function text -> score; the model goes to each executor once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
     return score
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -125,3 +126,23 @@ def test_an_id_that_repeats_is_one_training_row(spark):
     docs = spark.createDataFrame([(1, "same text")] * 500 + [(2, "b"), (2, "a")], "doc_id long, text string")
     ids = spark.createDataFrame([(1,), (2,)], "id long")
     assert len(toxicity._training_documents(docs, ids, "doc_id", "text")) == 2
+
+
+def test_memory_of_workers_and_of_a_fit():
+    ids = [f for i in range(0, 60_000, 7) for f in toxicity.features_of(f"word{chr(97 + i % 26)}{'abcdefghij'[i % 10]}")]
+    model = toxicity.Model(np.array(ids), np.ones(len(ids)), np.ones(len(ids)), -1.0, 0.1)
+    names = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(60_000)]
+    first, last = " ".join(names[:100]), " ".join(["worda", "wordaa", *names[-100:]])
+    fresh = toxicity.Model(np.array(ids), np.ones(len(ids)), np.ones(len(ids)), -1.0, 0.1).score(last)
+    kept = model.score(first)
+    model.score(" ".join(names))
+    assert model.score(last) == fresh and model.score(first) == kept
+    assert len(model.words) < 50_000 and toxicity.features_of.cache_info().currsize < 50_000
+    rng = np.random.default_rng(3)
+    make = lambda n: (np.unique(rng.integers(0, 2**32, n)), np.ones(n, np.float32), n)
+    positive, unlabelled = [make(10) for _ in range(50)], [make(500) for _ in range(2000)]
+    tracemalloc.start()
+    toxicity.fit(positive, unlabelled, 0.1, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # all features of the unlabelled texts at once would be 8e6
