@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_or_empty
+from ledgerloom.llm.common import scratch, stored, text_or_empty
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
@@ -30,6 +30,8 @@ FOLDS, HELD_OUT = 3, 1
 
 #: Words whose features a worker keeps; idle workers keep them beside later stages.
 CACHED_WORDS = 30_000
+#: What a feature needs to be fitted: positives that have it, and their excess over the unlabelled texts.
+LEAST_DOCS, LEAST_Z = 4, 3.0
 
 
 @lru_cache(maxsize=CACHED_WORDS)
@@ -90,7 +92,13 @@ def rate(count, total):
     return np.minimum(50.0 * count / np.maximum(total, 1.0), 3.0)
 
 
-def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, least_docs: int = 4, rounds: int = 600, step: float = 0.05, l2: float = 1e-4) -> Model:
+def excess(positives, unlabelled, n: int, m: int, sqrt):
+    """Two-sample z of a feature's shares of n positives and of m unlabelled texts, by its counts."""
+    pooled = (positives + unlabelled) / (n + m)
+    return (positives / n - unlabelled / m) / sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
+
+
+def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, least_docs: int = LEAST_DOCS, rounds: int = 600, step: float = 0.05, l2: float = 1e-4) -> Model:
     """Fit on documents given as (feature hashes, counts, number of words).
 
     Features that fewer than least_docs positives have are left out: they can't
@@ -103,11 +111,8 @@ def fit(positive: list[tuple], unlabelled: list[tuple], prior: float, least_docs
     for found, *_ in unlabelled if len(ids) else ():  # a document has a feature once
         at = np.minimum(np.searchsorted(ids, found), len(ids) - 1)
         in_u[at[ids[at] == found]] += 1
-    # kept: clearly more frequent in P than in U, by a two-sample z of shares
-    a, b, n, m = df / len(positive), in_u / len(unlabelled), len(positive), len(unlabelled)
-    pooled = (df + in_u) / (n + m)
-    z = (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
-    kept = ids[(df >= least_docs) & (z > 3.0)]
+    # kept: clearly more frequent in P than in U
+    kept = ids[(df >= least_docs) & (excess(df, in_u, len(positive), len(unlabelled), np.sqrt) > LEAST_Z)]
     k = len(kept)
     docs = [*positive, *unlabelled]
     rows, cols, vals, rates = [], [], [], []
@@ -152,9 +157,10 @@ class Sample:
     unlabelled: int = 6000
 
 
-def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[tuple]:
-    """Features of the documents whose ids are in a table of bounded size; of
-    rows that share an id, of the one with the least text hash."""
+def _training_features(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(f, c, n): features, counts and number of words of the documents whose ids
+    are in a table of bounded size; of rows that share an id, of the one with the
+    least text hash. Hashes are signed here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,17 +168,50 @@ def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col:
             for text in batch.column(0):
                 text = text.as_py()
                 f, c = document_features(text)
-                out.append((f.astype("<u4").tobytes(), c.astype("<f4").tobytes(), len(_WORD.findall(text.lower()))))
+                out.append((f.astype(np.uint32).view(np.int32), c.astype(np.float32), len(_WORD.findall(text.lower()))))
             f, c, n = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(c, pa.binary()), pa.array(n, pa.int64())], names=["f", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.float32())), pa.array(n, pa.int64())], names=["f", "c", "n"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
     texts = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text")
-    rows = texts.mapInArrow(run, "f binary, c binary, n long").collect()
+    return texts.mapInArrow(run, "f array<int>, c array<float>, n long")
+
+
+def _features_to_fit(positive: DataFrame, unlabelled: DataFrame, n: int, m: int) -> np.ndarray:
+    """All features that fit() keeps, ascending, and perhaps some at the very
+    bound; they are counted by Spark, as all features of the training texts are
+    too much for the driver."""
+    each = [side.select(F.explode("f").alias("f"), F.lit(p).alias("p")) for side, p in ((positive, 1), (unlabelled, 0))]
+    counts = each[0].unionByName(each[1]).groupBy("f").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("u"))
+    found = counts.filter((F.col("p") >= LEAST_DOCS) & (excess(F.col("p"), F.col("u"), n, m, F.sqrt) > LEAST_Z - 1e-6)).select("f").collect()
+    return np.sort(np.array([r["f"] for r in found], np.int32).view(np.uint32))
+
+
+def _collected(features: DataFrame, wanted: np.ndarray | None = None) -> list[tuple]:
+    """The documents on the driver, with the wanted features alone, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for f, c in zip(batch.column("f"), batch.column("c")):
+                f, c = f.values.to_numpy().view(np.uint32), c.values.to_numpy()
+                if wanted is not None:
+                    own = np.isin(f, wanted)
+                    f, c = f[own], c[own]
+                out.append((f.astype("<u4").tobytes(), c.astype("<f4").tobytes()))
+            f, c = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(c, pa.binary()), batch.column("n")], names=["f", "c", "n"])
+
+    rows = features.select("f", "c", "n").mapInArrow(run, "f binary, c binary, n long").collect()
     rows.sort(key=lambda r: (r["n"], r["f"], r["c"]))  # the order of rows must not change a fit
     return [(np.frombuffer(r["f"], "<u4"), np.frombuffer(r["c"], "<f4"), r["n"]) for r in rows]
 
 
+def _training_documents(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[tuple]:
+    """The documents with all their features."""
+    return _collected(_training_features(docs, ids, id_col, text_col))
+
+
 def fold_of(id_column: Column) -> Column:
     """CRC-32 of the id as text, modulo the number of folds; null for a null id."""
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(FOLDS))
@@ -195,9 +234,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def least(rows: DataFrame, n: int) -> DataFrame:
         return rows.select("id").orderBy(F.xxhash64("id"), "id").limit(n)
 
-    positive = _training_documents(docs, least(known.filter("y = 1"), sample.positives), id_col, text_col)
-    unlabelled = _training_documents(docs, least(ids, sample.unlabelled), id_col, text_col)
-    return fit(positive, unlabelled, prior)
+    with scratch(docs.sparkSession):
+        positive = stored(_training_features(docs, least(known.filter("y = 1"), sample.positives), id_col, text_col), "positive")
+        unlabelled = stored(_training_features(docs, least(ids, sample.unlabelled), id_col, text_col), "unlabelled")
+        n, m = positive.count(), unlabelled.count()
+        if not n or not m:
+            return fit([], [], prior)
+        wanted = _features_to_fit(positive, unlabelled, n, m)
+        return fit(_collected(positive, wanted), _collected(unlabelled, wanted), prior)
 
 
 def score_udf(docs: DataFrame, model: Model):

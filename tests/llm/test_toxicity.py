@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import toxicity
 
@@ -146,3 +147,21 @@ def test_memory_of_workers_and_of_a_fit():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4e6  # all features of the unlabelled texts at once would be 8e6
+
+
+def test_a_fit_collects_only_features_that_it_keeps(spark, small, monkeypatch):
+    """The same model as by all features of the training texts on the driver."""
+    docs, labels = small("documents"), small("labels")
+    given, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: given.append((p, u, prior)) or fit(p, u, prior))
+    model = toxicity.train(docs, labels)
+    positive, unlabelled, prior = given[0]
+    rows = labels.filter((F.col("toxic") == 1) & (toxicity.fold_of(F.col("doc_id")) != toxicity.HELD_OUT)).select(F.col("doc_id").alias("id")).distinct()
+    ids = docs.select(F.col("doc_id").alias("id")).filter(toxicity.fold_of(F.col("id")) != toxicity.HELD_OUT).distinct()
+    whole = [toxicity._training_documents(docs, x, "doc_id", "text") for x in (rows, ids)]
+    assert [len(x) for x in whole] == [len(positive), len(unlabelled)] and model.table
+    plain = fit(*whole, prior)
+    assert set(plain.table) == set(model.table)
+    for f, weights in plain.table.items():
+        assert np.allclose(weights, model.table[f], atol=1e-9)
+    assert sum(len(d[0]) for d in [*positive, *unlabelled]) < sum(len(d[0]) for x in whole for d in x) / 10
