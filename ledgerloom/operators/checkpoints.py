@@ -8,21 +8,18 @@ whose digest is that of a range which was found sound before.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import LedgerConfig
-from ledgerloom.operators.tables import event_keys, staged
+from ledgerloom.operators.tables import broadcast_if_small, event_keys, staged
 from ledgerloom.operators.verify import row_violations
 from ledgerloom.schemas import EVENT_COLUMNS
 
 RANGE = 4096
 FAN_OUT = 256
-#: Changed ranges that are named one by one in the scan's filter; more are read by a join.
-NAMED_RANGES = 1000
+#: Changed ranges that are named one by one in the scan's filter, which each row meets; more are read by a join.
+NAMED_RANGES = 64
 
 
 def range_digests(events: DataFrame, size: int = RANGE, chain: str | None = None) -> DataFrame:
@@ -70,11 +67,16 @@ def rows_of_ranges(events: DataFrame, ranges: DataFrame, size: int = RANGE, chai
     if chain is None:
         some = near.orderBy("_from").limit(NAMED_RANGES + 1).collect()
         if len(some) <= NAMED_RANGES:
-            named = [F.col("seq").between(r["_from"], r["_to"]) for r in some]
-            return events.filter(reduce(or_, named, F.lit(False)))
+            return events.filter(_any([F.col("seq").between(r["_from"], r["_to"]) for r in some]))
     by = event_keys(chain)[:-1]
     parts = ranges.select(*by, F.explode(F.array(*[F.col("node") + i for i in ((-1, 0, 1) if more else (0,))])).alias("_node")).distinct()
-    return events.withColumn("_node", F.floor(F.col("seq") / size)).join(parts, [*by, "_node"], "left_semi").drop("_node")
+    return events.withColumn("_node", F.floor(F.col("seq") / size)).join(broadcast_if_small(parts), [*by, "_node"], "left_semi").drop("_node")
+
+
+def _any(terms: list[Column]) -> Column:
+    """Does one of them hold: in halves, as a row of several hundred is too deep for the planner."""
+    half = len(terms) // 2
+    return (_any(terms[:half]) | _any(terms[half:])) if half else terms[0] if terms else F.lit(False)
 
 
 def check_changed(events: DataFrame, before: DataFrame, redactions: DataFrame | None = None, size: int = RANGE, config: LedgerConfig = LedgerConfig(), chain: str | None = None) -> DataFrame:
