@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import RECORD_PREFIX, SEPARATOR, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import parse_payload
-from ledgerloom.operators.tables import staged, with_dense_seq
+from ledgerloom.operators.tables import broadcast_if_small, staged, unstaged, with_dense_seq
 from ledgerloom.schemas import EVENT_COLUMNS
 
 _NAMED = ("event_type", "actor_id", "resource_type", "resource_id")
@@ -24,10 +24,18 @@ MAX_LENGTH = 200
 
 @dataclass
 class Appended:
-    """accepted: rows of the event table; rejected: input rows with a reason."""
+    """events: rows of the event table, made as they are read; rejected: input
+    rows with a reason. parts: the tables that events are made of."""
 
     events: DataFrame
     rejected: DataFrame
+    parts: tuple[DataFrame, ...] = ()
+
+    def staged(self, name: str = "chain") -> DataFrame:
+        """The events as a table; what they were made of is deleted, so events can't be read again."""
+        out = staged(self.events, name)
+        unstaged(*self.parts)
+        return out
 
 
 def _utf16_length(text: Column) -> Column:
@@ -151,10 +159,11 @@ def append_events(
     time is the record time where an event names none.
     """
     head = head or (0, config.genesis)
-    accepted, rejected, order = _arrived(incoming, order, recorded_at, event_id)
-    rows = _hashed(with_dense_seq(accepted, order, head[0]), salts)
-    links = staged(link(rows, head[1]), "links")
-    return Appended(_linked(rows.join(links, "seq")).select(*EVENT_COLUMNS), rejected)
+    accepted, rejected, order, incoming = _arrived(incoming, order, recorded_at, event_id)
+    rows = with_dense_seq(accepted, order, head[0], made=_committing(salts))
+    unstaged(incoming)
+    links = staged(link(rows.withColumn("content_hash", H.content_hash()), head[1]), "links")
+    return Appended(_linked(rows.join(links, "seq")).select(*EVENT_COLUMNS), rejected, (rows, links))
 
 
 def append_chains(
@@ -171,21 +180,22 @@ def append_chains(
     that the events keep: the fold of each runs beside the others. heads has
     (chain, last_seq, last_hash) of chains to go on from; others begin anew.
     """
-    accepted, rejected, order = _arrived(incoming, order, recorded_at, event_id)
-    numbered = staged(with_dense_seq(accepted, [chain, *order], 0, "_n"), "chains")
+    accepted, rejected, order, incoming = _arrived(incoming, order, recorded_at, event_id)
+    numbered = with_dense_seq(accepted, [chain, *order], 0, "_n", _committing(salts))
+    unstaged(incoming)
     starts = numbered.groupBy(chain).agg(F.min("_n").alias("_first"))
     if heads is None:
         starts = starts.withColumns({"_last": F.lit(0).cast("long"), "head_hash": F.lit(config.genesis)})
     else:
         starts = starts.join(heads.select(chain, F.col("last_seq").alias("_last"), F.col("last_hash").alias("head_hash")), chain, "left").fillna({"_last": 0, "head_hash": config.genesis})
-    rows = numbered.join(starts, chain).withColumn("seq", F.col("_last") + F.col("_n") - F.col("_first") + 1).drop("_n", "_first", "_last")
-    rows = _hashed(rows, salts)
-    links = staged(link_chains(rows, chain, config.genesis), "links")
-    return Appended(_linked(rows.drop("head_hash").join(links, [chain, "seq"])).select(chain, *EVENT_COLUMNS), rejected)
+    starts = staged(starts, "starts")
+    rows = numbered.join(broadcast_if_small(starts), chain).withColumn("seq", F.col("_last") + F.col("_n") - F.col("_first") + 1).drop("_n", "_first", "_last")
+    links = staged(link_chains(rows.withColumn("content_hash", H.content_hash()), chain, config.genesis), "links")
+    return Appended(_linked(rows.drop("head_hash").join(links, [chain, "seq"])).select(chain, *EVENT_COLUMNS), rejected, (numbered, starts, links))
 
 
-def _arrived(incoming: DataFrame, order: list[str] | None, recorded_at: Column | None, event_id: Column | None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(accepted, rejected, order columns): parsed events with ids and times, staged."""
+def _arrived(incoming: DataFrame, order: list[str] | None, recorded_at: Column | None, event_id: Column | None) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    """(accepted, rejected, order columns, table of both): parsed events with ids and times, staged."""
     parsed = incoming.withColumn("parsed", parse_payload(F.col("payload"))).withColumn("reason", rejection())
     if order is None:
         parsed = parsed.withColumn("_arrival", F.monotonically_increasing_id())
@@ -193,17 +203,22 @@ def _arrived(incoming: DataFrame, order: list[str] | None, recorded_at: Column |
     parsed = parsed.withColumns({"event_id": F.uuid() if event_id is None else event_id, "recorded_at_c": H.canonical_instant(F.current_timestamp()) if recorded_at is None else recorded_at})
     parsed = parsed.withColumn("event_ts_c", F.coalesce("timestamp", "recorded_at_c") if "timestamp" in incoming.columns else F.col("recorded_at_c"))
     parsed = staged(parsed, "incoming")
-    rejected = parsed.filter(F.col("reason").isNotNull()).select(*[c for c in incoming.columns if c != "reason"], "reason")
-    return parsed.filter(F.col("reason").isNull()).drop("reason"), rejected, order
+    rejected = staged(parsed.filter(F.col("reason").isNotNull()).select(*[c for c in incoming.columns if c != "reason"], "reason"), "rejected")
+    return parsed.filter(F.col("reason").isNull()).drop("reason"), rejected, order, parsed
+
+
+def _committing(salts: Column | None) -> Callable[[DataFrame], DataFrame]:
+    """What adds commitments to rows (which are then staged, as salts are random) and keeps what an event needs of them."""
 
+    def made(rows: DataFrame) -> DataFrame:
+        own = committed(rows, random_salts(F.col("parsed.leaves")) if salts is None else salts)
+        return own.drop(*[c for c in ("payload", "timestamp") if c in own.columns])
 
-def _hashed(rows: DataFrame, salts: Column | None) -> DataFrame:
-    """Numbered events with commitments (staged, as salts are random) and content hashes."""
-    rows = staged(committed(rows, random_salts(F.col("parsed.leaves")) if salts is None else salts), "committed")
-    return rows.withColumn("content_hash", H.content_hash())
+    return made
 
 
 def _linked(rows: DataFrame) -> DataFrame:
+    """Rows with their links and content hashes, which are made again rather than shuffled."""
     return rows.withColumns(
-        {"event_ts": H.instant_to_timestamp(F.col("event_ts_c")), "recorded_at": H.instant_to_timestamp(F.col("recorded_at_c")), "archived_at": F.lit(None).cast("timestamp")}
+        {"content_hash": H.content_hash(), "event_ts": H.instant_to_timestamp(F.col("event_ts_c")), "recorded_at": H.instant_to_timestamp(F.col("recorded_at_c")), "archived_at": F.lit(None).cast("timestamp")}
     )

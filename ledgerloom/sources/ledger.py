@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.config import LedgerConfig
 from ledgerloom.operators import append, redact, retention
-from ledgerloom.operators.tables import event_keys, staged
+from ledgerloom.operators.tables import event_keys, packed, staged, unstaged
 
 MANIFEST = "number long, kind string, month string, folder string, made long"
 #: Columns that rows are looked up by, so row groups carry Bloom filters of them.
 LOOKED_UP = ("event_id", "actor_id", "resource_id")
+#: Bytes of a row group, as Parquet has them by default, and the least that a row takes in the writer's memory.
+ROW_GROUP, ROW_BYTES = 128 << 20, 256
 
 
 def month_of(recorded_at: str = "recorded_at_c") -> Column:
@@ -86,12 +88,14 @@ class Ledger:
         """Write rows as new parts, each month's in order of their keys."""
         folder = f"{self.path}/data/{kind}-{uuid.uuid4().hex}"
         if not by_month:
-            rows.write.parquet(folder)
+            packed(rows).parquet(folder)
             return [(kind, None, folder)]
         order = ["month", *self.keys]
-        writer = rows.withColumn("month", month_of()).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("month")
+        writer = packed(rows.withColumn("month", month_of()).repartitionByRange(*order).sortWithinPartitions(*order)).partitionBy("month")
+        # A filter for the rows that a group can have: by default each takes 1 MB, which a file's writer holds to its end.
+        values = max((self.row_group_bytes or ROW_GROUP) // ROW_BYTES, 100)
         for column in LOOKED_UP if kind == "events" else ():
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(values))
         if self.row_group_bytes:
             writer = writer.option("parquet.block.size", str(self.row_group_bytes))
         writer.parquet(folder)
@@ -102,9 +106,15 @@ class Ledger:
     def add(self, events: DataFrame, at: int | None = None) -> int:
         """Append linked rows, made from the heads of version `at`."""
         at = self.version() if at is None else at
-        rows = staged(events.select(*self.keys[:-1], *schemas.EVENT_COLUMNS), "added")
+        return self._add(staged(events.select(*self.keys[:-1], *schemas.EVENT_COLUMNS), "added"), at)[0]
+
+    def _add(self, rows: DataFrame, at: int) -> tuple[int, list[str]]:
+        """(version, folders) of staged rows, which are deleted once they are parts."""
         heads = rows.groupBy(*self.keys[:-1]).agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_hash")).filter("last_seq is not null")
-        return self._commit(at, [*self._write("events", rows), *self._write("heads", heads, by_month=False)])
+        events = self._write("events", rows)
+        number = self._commit(at, [*events, *self._write("heads", heads, by_month=False)])
+        unstaged(rows)
+        return number, [folder for _, _, folder in events]
 
     def append(self, incoming: DataFrame, config: LedgerConfig = LedgerConfig(), **options) -> append.Appended:
         """Number, hash and link new events after the current heads, and commit
@@ -116,8 +126,8 @@ class Ledger:
             made = append.append_events(incoming, (head["last_seq"], head["last_hash"]) if head else None, config=config, **options)
         else:
             made = append.append_chains(incoming, self.chain, self.heads() if at else None, config=config, **options)
-        self.add(made.events, at)
-        return made
+        _, folders = self._add(made.staged("added"), at)
+        return append.Appended(self._load("events", folders), made.rejected)
 
     def redact(self, requests: DataFrame, run_id: str, redacted_at: Column | None = None, config: LedgerConfig = LedgerConfig()) -> redact.Redacted:
         """Redact leaves: patches of the rows that change and the redactions are

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
-from ledgerloom.operators.tables import event_keys
+from ledgerloom.operators.tables import event_keys, packed
 
 
 def _named(schema: str, chain: str | None) -> str:
@@ -26,7 +26,7 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists", chai
     """Rows lie by (chain and) seq, so seq ranges and recent times touch few files."""
     keys = event_keys(chain)
     rows = events.select(*keys[:-1], *schemas.EVENT_COLUMNS)
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    packed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)).mode(mode).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def read_events(spark: SparkSession, path: str, chain: str | None = None) -> Dat
 
 
 def write_archive(copies: DataFrame, path: str, chain: str | None = None) -> None:
-    copies.select(*event_keys(chain)[:-1], *schemas.EVENT_COLUMNS).write.mode("append").parquet(path)
+    packed(copies.select(*event_keys(chain)[:-1], *schemas.EVENT_COLUMNS)).mode("append").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def read_archive(spark: SparkSession, path: str, chain: str | None = None) -> Da
 
 
 def write_redactions(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    packed(rows).mode("append").parquet(path)
 
 
 def read_redactions(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
