@@ -88,35 +88,40 @@ def anchored(segments: DataFrame, events: DataFrame, genesis: str, chain: str |
     return joined.select("bundle_key", "from_seq", "to_seq", prior_hash.alias("prior_record_hash"))
 
 
-def ordered_digests(parts: DataFrame, key: str = "bundle_key", repeats: bool = False) -> DataFrame:
+def ordered_digests(parts: DataFrame, key: str = "bundle_key", repeats: bool = False, text: Column | None = None) -> DataFrame:
     """(key, digest): SHA-256 of the texts of each key in the order of column
-    `place`, read as a stream: a key's texts are never in memory together. A place
-    that repeats is an error unless `repeats`, which forged bundles may have."""
+    `place`, read as a stream: a key's texts are never in memory together. Texts
+    that follow one of their own `kind`, where parts have that column, have a
+    comma before them. A place that repeats is an error unless `repeats`, which
+    forged bundles may have. `text`, the column of that name by default, is made
+    of the parts where they have been put in order, so that longer texts aren't shuffled."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, digest, last = None, None, None
+        open_key, digest, last, of = None, None, None, None
         for frame in frames:
             done = []
-            for k, place, text in zip(frame[key], frame["place"], frame["text"]):
+            for k, place, kind, text in zip(frame[key], frame["place"], frame["kind"], frame["text"]):
                 if k != open_key:
                     if digest is not None:
                         done.append((open_key, digest.hexdigest()))
-                    open_key, digest, last = k, hashlib.sha256(), None
+                    open_key, digest, last, of = k, hashlib.sha256(), None, None
                 if last is not None and (place < last or place == last and not repeats):
                     raise ValueError(f"place {place} follows {last} in {k}")
-                last = place
+                if kind == of:
+                    digest.update(b",")
+                last, of = place, None if kind < 0 else kind
                 digest.update(text.encode())
             yield pd.DataFrame(done, columns=[key, "digest"])
         if digest is not None:
             yield pd.DataFrame([(open_key, digest.hexdigest())], columns=[key, "digest"])
 
-    ordered = parts.select(key, "place", "text").repartition(key).sortWithinPartitions(key, "place")
-    return ordered.mapInPandas(run, f"{key} string, digest string")
+    parts = parts if "kind" in parts.columns else parts.withColumn("kind", F.lit(-1))
+    ordered = parts.repartition(key).sortWithinPartitions(key, "place")
+    return ordered.select(key, "place", "kind", (F.col("text") if text is None else text).alias("text")).mapInPandas(run, f"{key} string, digest string")
 
 
 def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame, repeats: bool = False) -> DataFrame:
-    """(bundle_key, digest) of the canonical text without hash and hmac;
-    records have their canonical texts in column text."""
+    """(bundle_key, digest) of the canonical text without hash and hmac."""
     lead = H.object_text([
         ("bundleVersion", json_string(F.col("bundle_version"))),
         ("exportedAt", json_string(F.col("exported_at"))),
@@ -126,23 +131,22 @@ def bundle_hashes(headers: DataFrame, records: DataFrame, segments: DataFrame, r
     opening = F.concat(F.substr(lead, F.lit(1), F.length(lead) - 1), F.lit(',"records":['))
     segment = H.object_text([("fromSeq", F.col("from_seq").cast("string")), ("priorRecordHash", json_string(F.col("prior_record_hash"))), ("toSeq", F.col("to_seq").cast("string"))])
 
-    def comma(first: str) -> Column:
-        return F.when(F.col("seq") == F.col(first), F.lit("")).otherwise(F.lit(","))
-
-    def listed(rows: DataFrame, kind: int) -> DataFrame:
-        least = rows.groupBy("bundle_key").agg(F.min("seq").alias("_first"))
-        return rows.join(least, "bundle_key").select("bundle_key", F.struct(F.lit(kind).alias("k"), F.col("seq").alias("n")).alias("place"), F.concat(comma("_first"), F.col("text")).alias("text"))
+    def at(kind: int, n: Column) -> list[Column]:
+        return ["bundle_key", F.lit(kind).alias("kind"), (F.lit(kind).cast("long") * F.lit(1 << 56) + n).alias("place")]
 
     def fixed(kind: int, text: Column) -> DataFrame:
-        return headers.select("bundle_key", F.struct(F.lit(kind).alias("k"), F.lit(0).cast("long").alias("n")).alias("place"), text.alias("text"))
+        return headers.select(*at(kind, F.lit(0).cast("long")), text.alias("text"))
 
-    parts = fixed(0, opening).unionByName(listed(records.select("bundle_key", "seq", "text"), 1)).unionByName(fixed(2, F.lit('],"segments":[')))
-    parts = parts.unionByName(listed(segments.select("bundle_key", F.col("from_seq").alias("seq"), segment.alias("text")), 3)).unionByName(fixed(4, F.lit("]}")))
-    place = F.col("place.k").cast("long") * F.lit(1 << 56) + F.col("place.n")
-    return ordered_digests(parts.select("bundle_key", place.alias("place"), "text"), repeats=repeats)
+    parts = fixed(0, opening).unionByName(fixed(2, F.lit('],"segments":['))).unionByName(fixed(4, F.lit("]}")))
+    parts = parts.unionByName(segments.select(*at(3, F.col("from_seq")), segment.alias("text")))
+    # Records go as their columns, which are half as long as their texts.
+    parts = parts.unionByName(records.select(*at(1, F.col("seq")), *TEXT_COLUMNS), allowMissingColumns=True)
+    return ordered_digests(parts, repeats=repeats, text=F.coalesce("text", record_text()))
 
 
 RECORD_COLUMNS = ["seq", "event_id", "event_type", "actor_id", "resource_type", "resource_id", "payload_json", "payload_canonical", "leaf_salts_json", "leaf_commitments_json", "redacted_paths", "event_ts_c", "recorded_at_c", "content_hash", "prev_hash", "record_hash", "archived"]
+#: What record_text needs.
+TEXT_COLUMNS = [c for c in RECORD_COLUMNS if c != "payload_json"]
 
 
 def export_bundles(
@@ -164,8 +168,7 @@ def export_bundles(
     present = chosen.join(events.select(*keys), keys, "left_semi")
     segments = staged(anchored(runs(present, ["bundle_key", *keys[:-1]]), events, config.genesis, chain), "segments")
     headers = filters.select("bundle_key", F.lit("1").alias("bundle_version"), F.lit(exported_at).alias("exported_at"), "filter_type", "filter_value", F.lit(config.genesis).alias("genesis_hash"))
-    texts = records.select("bundle_key", "seq", record_text().alias("text"))
-    digests = bundle_hashes(headers, texts, segments).withColumnRenamed("digest", "bundle_hash")
+    digests = bundle_hashes(headers, records, segments).withColumnRenamed("digest", "bundle_hash")
     signed = H.hmac_sha256_hex(config.hmac_secret, F.col("bundle_hash")) if config.hmac_secret else F.lit(None).cast("string")
     return Bundles(headers.join(digests, "bundle_key").withColumn("hmac", signed), records, segments)
 
@@ -184,7 +187,7 @@ def bundle_problems(bundles: Bundles, secret: str | None = None) -> DataFrame:
         F.when(F.equal_null(linked, F.col("record_hash")), none).otherwise(F.array(F.concat(F.lit(M.BUNDLE_RECORD_DIFFERS), at))),
     ))
     checked = parsed.withColumn("payload_canonical", F.col("_parsed.canonical"))
-    checked = staged(checked.select("bundle_key", "seq", "prev_hash", "record_hash", record_text().alias("text"), own.alias("problems")), "checkedrecords")
+    checked = staged(checked.select("bundle_key", *TEXT_COLUMNS, own.alias("problems")), "checkedrecords")
     known, segments = checked.filter("seq is not null"), bundles.segments.filter("from_seq is not null")
     digests = bundle_hashes(bundles.headers, known, segments, repeats=True)
     headers = bundles.headers.join(digests, "bundle_key", "left")

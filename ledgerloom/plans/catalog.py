@@ -12,7 +12,7 @@ from ledgerloom.config import GENESIS, LedgerConfig
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string, parse_payload
 from ledgerloom.operators import append, bundle, checkpoints, compliance, query, redact, retention, verify
-from ledgerloom.operators.tables import shared_dir, staged
+from ledgerloom.operators.tables import broadcast_if_small, packed, shared_dir, staged
 from ledgerloom.sources import json_io
 from ledgerloom.sources.driver_events import new_events
 from ledgerloom.sources.ledger import Ledger
@@ -39,7 +39,7 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chain(spark: SparkSession, sf_dir: str, chain: DataFrame | None = None) -> DataFrame:
     """The events as one appended chain, staged once for what reads it; a caller
     that has it already (a benchmark) hands it in."""
-    return staged(_appended(_incoming(spark, sf_dir)).events, "chain") if chain is None else chain
+    return _appended(_incoming(spark, sf_dir)).staged("chain") if chain is None else chain
 
 
 def _appended(incoming: DataFrame, head: tuple[int, str] | None = None) -> append.Appended:
@@ -139,7 +139,7 @@ def _actor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _incoming(spark, sf_dir).withColumn("chain", F.col("actor_id"))
     half = rows.agg(F.floor(F.count(F.lit(1)) / 2)).first()[0]
     options = {"order": ["n"], "recorded_at": F.col("timestamp"), "event_id": F.col("given_id"), "salts": append.seeded_salts(F.col("event_id"), F.col("parsed.leaves")), "config": CONFIG}
-    made = staged(append.append_chains(rows.filter(F.col("n") < half), "chain", **options).events, "chains")
+    made = append.append_chains(rows.filter(F.col("n") < half), "chain", **options).staged("chains")
     heads = made.groupBy("chain").agg(F.max("seq").alias("last_seq"), F.max_by("record_hash", "seq").alias("last_hash"))
     return made.unionByName(append.append_chains(rows.filter(F.col("n") >= half), "chain", heads, **options).events)
 
@@ -243,7 +243,7 @@ def redact_chained_requests(spark, sf_dir):
     rows = _incoming(spark, sf_dir)
     leaves = rows.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"p'), F.lpad(F.col("n").cast("string"), 9, "0"), F.lit('":'), F.get_json_object("payload", "$.k")))), ",").alias("l"))
     single = leaves.select(F.lit(0).alias("n"), F.lit("A").alias("event_type"), F.lit("a").alias("actor_id"), F.lit("CLIENT_ACCOUNT").alias("resource_type"), F.lit("r").alias("resource_id"), F.concat(F.lit("{"), "l", F.lit("}")).alias("payload"), F.lit("the-event").alias("given_id"), F.lit(EXPORTED_AT).alias("timestamp"))
-    event = staged(_appended(single).events, "single")
+    event = _appended(single).staged("single")
     name = lambda n: F.concat(F.lit("/p"), F.lpad(n.cast("string"), 9, "0"))
     last = rows.agg(F.max("n")).first()[0]
     requests = rows.filter(F.col("n") < last).select(F.format_string("r%09d", "n").alias("request_id"), F.lit("the-event").alias("event_id"), F.array(name(F.col("n")), name(F.col("n") + 1)).alias("field_paths"))
@@ -314,11 +314,11 @@ def verify_chain_stream(spark, sf_dir):
     """A stream over the chains of all actors, stopped and started again between
     two files; one row in 101 is missing and another one has a wrong link."""
     number = F.pmod(F.conv(F.substr("event_id", F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(101))
-    rows = staged(_actor_chains(spark, sf_dir).filter(number != 7).withColumn("prev_hash", F.when(number == 8, F.lit("0" * 64)).otherwise(F.col("prev_hash"))), "chains")
-    folder = _folder(spark, "chainstream")
+    rows = _actor_chains(spark, sf_dir).filter(number != 7).withColumn("prev_hash", F.when(number == 8, F.lit("0" * 64)).otherwise(F.col("prev_hash")))
+    rows, folder = staged(rows.select("chain", "seq", "event_id", "event_ts_c", "event_ts", "prev_hash", "record_hash"), "chains"), _folder(spark, "chainstream")
     half = rows.agg(F.expr("percentile_approx(event_ts_c::timestamp, 0.5)")).first()[0]
     for part in (F.col("event_ts") <= F.lit(half), F.col("event_ts") > F.lit(half)):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        packed(rows.filter(part).coalesce(1)).mode("append").parquet(f"{folder}/in")
         found = jobs.follow_chains(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "chain", CONFIG)
         found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/found").awaitTermination()
     return spark.read.schema(jobs.FOUND).parquet(f"{folder}/found")
@@ -329,7 +329,7 @@ def verify_changed_ranges(spark, sf_dir, chain=None):
     events = _chain(spark, sf_dir, chain)
     before = staged(checkpoints.range_digests(events, 128), "digests")
     changed = events.withColumns({"actor_id": F.when(F.col("seq") % 2503 == 100, "mallory").otherwise(F.col("actor_id")), "record_hash": F.when(F.col("seq") % 2503 == 255, F.lit("0" * 64)).otherwise(F.col("record_hash"))})
-    return checkpoints.check_changed(staged(changed, "changed"), before, size=128, config=CONFIG)
+    return checkpoints.check_changed(changed, before, size=128, config=CONFIG)
 
 
 def verify_gaps(spark, sf_dir):
@@ -543,9 +543,9 @@ def bundle_json(spark, sf_dir, chain=None):
     the records that came back, and whether their bundle is valid."""
     _, made = _bundles(spark, sf_dir, chain)
     folder = _folder(spark, "bundles")
-    json_io.write_bundles(made, folder)
+    json_io.write_bundles(made, folder, compression="gzip")
     back = json_io.read_bundle_lines(spark, folder)
-    checked = bundle.verify_bundles(back, CONFIG.hmac_secret).select("bundle_key", "valid")
+    checked = broadcast_if_small(staged(bundle.verify_bundles(back, CONFIG.hmac_secret).select("bundle_key", "valid"), "checked"))
     return back.records.select("bundle_key", "seq", "event_id", "actor_id", "payload_json", "leaf_salts_json", "content_hash", "prev_hash", "record_hash").join(checked, "bundle_key")
 
 

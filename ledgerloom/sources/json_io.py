@@ -10,6 +10,7 @@ from ledgerloom import schemas
 from ledgerloom.functions import hashing as H
 from ledgerloom.functions.json_text import json_string
 from ledgerloom.operators.bundle import Bundles, record_text
+from ledgerloom.operators.tables import broadcast_if_small, packed, staged
 
 _REQUEST = "eventType string, actorId string, resourceType string, resourceId string, payload string, timestamp string"
 
@@ -73,7 +74,7 @@ def bundle_lines(bundles: Bundles) -> DataFrame:
         return headers.select("bundle_key", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("at"), text.alias("value"))
 
     def listed(rows: DataFrame, kind: int, at: str, text: Column) -> DataFrame:
-        least = rows.groupBy("bundle_key").agg(F.min(at).alias("_first"))
+        least = broadcast_if_small(staged(rows.groupBy("bundle_key").agg(F.min(at).alias("_first")), "firsts"))
         comma = F.when(F.col(at) == F.col("_first"), F.lit("")).otherwise(F.lit(","))
         return rows.join(least, "bundle_key").select("bundle_key", F.lit(kind).alias("kind"), F.col(at).alias("at"), F.concat(comma, text).alias("value"))
 
@@ -81,15 +82,16 @@ def bundle_lines(bundles: Bundles) -> DataFrame:
     return lines.unionByName(listed(bundles.segments, 3, "from_seq", segment)).unionByName(fixed(4, closing))
 
 
-def write_bundles(bundles: Bundles, path: str) -> None:
+def write_bundles(bundles: Bundles, path: str, compression: str = "none") -> None:
     """A folder for each bundle key below `texts`: its files, one after the other
-    in the order of their names, are its JSON text. A bundle of any size is cut
-    into ranges of lines, so no task holds one. `records` has the records as Parquet."""
-    order = ["bundle_key", "kind", "at"]
-    lines = bundle_lines(bundles).repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select("bundle_key", "value").write.partitionBy("bundle_key").text(f"{path}/texts")
-    by = ["bundle_key", "seq"]
-    bundles.records.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/records")
+    in the order of their names, are its JSON text (so are files that gzip has
+    packed, unpacked). A bundle of any size is cut into ranges of lines, so no task
+    holds one. `records` has the records as Parquet; the texts are made of those."""
+    by, order = ["bundle_key", "seq"], ["bundle_key", "kind", "at"]
+    packed(bundles.records.repartitionByRange(*by).sortWithinPartitions(*by)).parquet(f"{path}/records")
+    records = bundles.records.sparkSession.read.schema(bundles.records.schema).parquet(f"{path}/records")
+    lines = bundle_lines(Bundles(staged(bundles.headers, "headers"), records, bundles.segments)).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("bundle_key", "value").write.option("compression", compression).partitionBy("bundle_key").text(f"{path}/texts")
 
 
 def read_bundle_lines(spark: SparkSession, path: str) -> Bundles:
